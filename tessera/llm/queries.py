@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, store
-from tessera.llm.common import table
+from tessera.llm import packing, quality, secrets, store, toxicity
+from tessera.llm.common import is_training_row, table
 
 
 def _tokenizer(name: str) -> str:
@@ -22,13 +22,46 @@ def op3_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return _predicted(scores, 0.5).select("doc_id", "held_out", "score", "predicted", F.transform("evidence", lambda e: e["doc_id"]).alias("evidence"))
+
+
+def _predicted(scores: DataFrame, threshold: float) -> DataFrame:
+    held_out = ~is_training_row(F.col("doc_id"))
+    return scores.withColumn("held_out", F.coalesce(held_out, F.lit(False))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), count("novel"))
+
+
+def op9_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return _predicted(quality.scored(docs, model), 0.3).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.store_and_read(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_binary_packing": op3_binary_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_content_store": op6_content_store,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_rule_quality": op9_rule_quality,
 }
 
 ORACLES: dict[str, str] = {}

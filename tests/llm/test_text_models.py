@@ -1,0 +1,106 @@
+"""Quality rules, toxicity neighbours and secret spans against brute force and held-out rows."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+
+from tessera.llm import quality, queries, secrets, toxicity
+
+SF = "/root/testdata/sf0.01"
+ODD = [(1, None, "x"), (2, "", "x"), (None, "no id", "x"), (3, "word " * 30_000, None), (4, "a", "x"), (4, "a", "x"), (5, "\n\n \t", "x"), (6, "ünï ©ødé 漢字 " * 50, "x")]
+COLUMNS = "doc_id long, text string, score string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, COLUMNS)
+
+
+def held_out_quality(spark, got, label):
+    rows = got.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").select("score", "predicted", label).collect()
+    scores, labels = np.array([r["score"] for r in rows]), np.array([r[label] for r in rows])
+    ones, zeros = scores[labels == 1], scores[labels == 0]
+    auc = (ones[:, None] > zeros).mean() + (ones[:, None] == zeros).mean() / 2
+    return auc, np.mean([r["predicted"] == r[label] for r in rows])
+
+
+def test_quality_on_held_out_rows(spark):
+    got = queries.op9_rule_quality(spark, SF)
+    auc, right = held_out_quality(spark, got, "quality")
+    assert got.count() == 1000 and auc > 0.97 and right > 0.95
+
+
+def test_toxicity_on_held_out_rows(spark):
+    got = queries.op5_toxicity(spark, SF)
+    auc, right = held_out_quality(spark, got, "toxic")
+    assert got.count() == 1000 and auc > 0.75 and right > 0.9
+
+
+def test_compiled_rules_equal_the_model(spark, odd):
+    draw = np.random.default_rng(3)
+    x = np.array([quality.measure(t or "") for _, t, _ in ODD] * 40) + draw.random((len(ODD) * 40, len(quality.STATISTICS))) * 0.2
+    model = quality.fit(x, (x[:, 2] > np.median(x[:, 2])).astype(int), trees=10)
+    assert model.rules
+    got = sorted(round(r["score"], 9) for r in quality.scored(odd, model).select("score").collect())
+    assert got == sorted(round(float(s), 9) for s in model.score(np.array([quality.measure(t or "") for _, t, _ in ODD])))
+    kept = quality.accepted(odd, model, 0.0)
+    assert kept.columns == odd.columns and kept.count() == len(ODD)
+    assert quality.accepted(odd.where("false"), model).count() == 0
+
+
+def test_no_labels_or_one_kind(spark, odd):
+    none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
+    assert {r["score"] for r in quality.scored(odd, quality.learn(odd, none)).collect()} == {0.5}
+    toxic = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r["score"] for r in toxicity.scored(odd, toxicity.learn(odd, toxic)).collect()} == {0.0}
+    assert toxicity.scored(odd.where("false"), toxicity.learn(odd.where("false"), toxic)).count() == 0
+
+
+def test_neighbours_equal_brute_force():
+    draw = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+    examples = [(i, int(draw.random() < 0.3), " ".join(draw.choice(words, draw.integers(0, 12)))) for i in range(400)]
+    index = toxicity.build(examples, sorted(words), 0.3)
+    dense = np.concatenate(list(index.blocks), axis=1)
+    for _ in range(100):
+        at, weight = index.vector(" ".join(draw.choice(words, 8)))
+        cosines = weight @ dense[at]
+        order = sorted((i for i in range(400) if cosines[i] > 0), key=lambda i: (-cosines[i], i))[:15]
+        near = index.nearest(at, weight)
+        assert np.allclose([c for c, _ in near], cosines[order]) and {i for c, i in near if c > near[-1][0] + 1e-9} <= {*order}
+
+
+def plain_spans(text):
+    out = []
+    for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        out += [(m.start(), 0, f"assign:{m.start()}:{m.end()}")] * (len(m[2]) >= 6)
+    out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(x for *_, x in sorted(out))
+
+
+def test_base_spans_equal_plain_patterns(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op7_secret_scan(spark, SF).collect():
+        want = plain_spans(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert {*filter(None, want.split(","))} <= {*r["spans"].split(",")}
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(want.count(k + ":") for k in ("assign", "access", "hex"))
+
+
+def test_novel_strings_and_redaction(spark):
+    random = "q7Zp1Kx93LmT0vRw8BnY"
+    text = f"client authorization bearer {random} then access_token_placeholder_01 and the salt your-secret-key-12 é password: hunter22"
+    kinds = [(k, text[a:b]) for k, a, b, _ in secrets.spans_of(text)]
+    assert ("novel", random) in kinds and ("assign", "password: hunter22") in kinds and len(kinds) == 2
+    repeated = f"{random} is a name; key {random}"
+    assert not secrets.spans_of(repeated), "what the surroundings hold is not novel"
+    docs = spark.createDataFrame([(1, text, 0, "k"), (2, None, 0, "k"), (3, "", 0, None)], "doc_id long, text string, n_chars long, spans string")
+    rows = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
+    assert random not in rows[1]["text"] and "[novel]" in rows[1]["text"] and rows[1]["n_chars"] == len(rows[1]["text"]) and rows[2]["text"] is None
+    assert [(r["doc_id"], r["spans"]) for r in secrets.scan(docs.where("doc_id > 1")).orderBy("doc_id").collect()] == [(2, []), (3, [])]
+    assert secrets.scan(docs.where("false")).count() == 0
+
+
