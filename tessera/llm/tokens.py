@@ -16,12 +16,13 @@ from collections.abc import Callable
 
 import regex
 
-#: Words remembered by a worker; beyond that the dictionary starts anew.
-CACHE_WORDS = 250_000
+#: Words remembered by a worker in each of two generations; the older one goes when the newer is full.
+CACHE_WORDS = 300_000
 
-_PLAIN = re.compile("[!-~¡-¬®-ɏ]+").fullmatch
+_PLAIN = re.compile("[!-~¡-¬®-įı-ɏ]+").fullmatch
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 _BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+").findall
+_STOPS = ".,;:!?"
 _RUN = re.compile(r"\s\s").search
 
 
@@ -37,12 +38,16 @@ class _Words(dict):
 
     def __init__(self, make: Callable) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, word):
+        out = self.older.get(word)
+        if out is None:
+            out = self.make(word)
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        self[word] = out = self.make(word)
+        self[word] = out
         return out
 
 
@@ -61,7 +66,7 @@ class Encoder:
             self.words = _Words(self._word)
             self.encode = self._encode_words
         else:
-            self.words = _Words(self._spaced)
+            self.words, self.tails = _Words(self._spaced), _Words(self._exactly)
             self.encode = self._encode_bytes
 
     def _exactly(self, text: str) -> bytes:
@@ -77,15 +82,25 @@ class Encoder:
         text = word.decode()
         if not _PLAIN(text):
             return self._exactly(text)
-        return self._pieces(_WORD_PIECES("".join([c.lower() for c in text])))
+        core = text.rstrip(_STOPS)
+        if core != text and core and core[-1].isalnum():  # stops are pre-tokens of their own after a letter or digit
+            return self.words[core.encode()] + self.words[text[len(core) :].encode()]
+        lower = text.lower() if text.isascii() else "".join([c.lower() for c in text])
+        if lower != text:
+            return self.words[lower.encode()]
+        return self._pieces([text] if text.isalpha() else _WORD_PIECES(text))
 
     def _encode_words(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, text.encode().split()))
 
     def _spaced(self, word: str) -> bytes:
         if not _PLAIN(word):
-            return self._exactly(" " + word)
-        return self._pieces(_BYTE_PIECES(" " + word))
+            before, line, after = word.partition("\n")  # stands between two other characters, as a pre-token of its own
+            return self.words[before] + self.tails[line] + self.tails[after] if before and after else self._exactly(" " + word)
+        core = word.rstrip(_STOPS)
+        if core != word and core and core[-1].isalnum():
+            return self.words[core] + self.tails[word[len(core) :]]
+        return self._pieces([" " + word] if word.isalpha() else _BYTE_PIECES(" " + word))
 
     def _encode_bytes(self, text: str) -> bytes:
         if _RUN(text):
