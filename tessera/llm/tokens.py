@@ -61,7 +61,8 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
-        self.alphabet = byte_alphabet()
+        alphabet = byte_alphabet()
+        self.spelled = {c: "".join([alphabet[b] for b in c.encode()]) for c in map(chr, range(32, 0x250))}
         if self.whole.normalizer is not None:
             self.words = _Words(self._word)
             self.encode = self._encode_words
@@ -72,35 +73,40 @@ class Encoder:
     def _exactly(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize("".join(map(self.spelled.__getitem__, piece)))]).tobytes()
+
     def _pieces(self, pieces: list[str]) -> bytes:
-        ids, alphabet, tokenize = array("I"), self.alphabet, self.model.tokenize
-        for piece in pieces:
-            ids.extend([t.id for t in tokenize("".join([alphabet[b] for b in piece.encode()]))])
-        return ids.tobytes()
+        return b"".join(map(self._piece, pieces))
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
+        if text.isalpha() and text.isascii():
+            lower = text.lower()
+            return self._piece(lower) if lower == text else self.words[lower.encode()]
         if not _PLAIN(text):
             return self._exactly(text)
         core = text.rstrip(_STOPS)
         if core != text and core and core[-1].isalnum():  # stops are pre-tokens of their own after a letter or digit
             return self.words[core.encode()] + self.words[text[len(core) :].encode()]
-        lower = text.lower() if text.isascii() else "".join([c.lower() for c in text])
+        lower = "".join([c.lower() for c in text])
         if lower != text:
             return self.words[lower.encode()]
-        return self._pieces([text] if text.isalpha() else _WORD_PIECES(text))
+        return self._piece(text) if text.isalpha() else self._pieces(_WORD_PIECES(text))
 
     def _encode_words(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, text.encode().split()))
 
     def _spaced(self, word: str) -> bytes:
+        if word.isalpha() and word.isascii():
+            return self._piece(" " + word)
         if not _PLAIN(word):
             before, line, after = word.partition("\n")  # stands between two other characters, as a pre-token of its own
             return self.words[before] + self.tails[line] + self.tails[after] if before and after else self._exactly(" " + word)
         core = word.rstrip(_STOPS)
         if core != word and core and core[-1].isalnum():
             return self.words[core] + self.tails[word[len(core) :]]
-        return self._pieces([" " + word] if word.isalpha() else _BYTE_PIECES(" " + word))
+        return self._piece(" " + word) if word.isalpha() else self._pieces(_BYTE_PIECES(" " + word))
 
     def _encode_bytes(self, text: str) -> bytes:
         if _RUN(text):
