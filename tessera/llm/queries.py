@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mtree, packing, permutation, quality, repeats, secrets, store, toxicity
+from tessera.llm import mtree, neardup, packing, permutation, quality, repeats, secrets, store, toxicity
 from tessera.llm.common import is_training_row, table
 
 
@@ -22,6 +22,10 @@ def op1_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -71,6 +75,7 @@ def op6_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_anchor_dedup": op1_anchor_dedup,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_binary_packing": op3_binary_packing,
     "op4_mtree_top_k": op4_mtree_top_k,
     "op5_toxicity": op5_toxicity,
