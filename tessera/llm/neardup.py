@@ -8,7 +8,7 @@ key counts, which any two classes that agree in ``matches`` coordinates must
 share one of (prefix merging; the order by rarity keeps passages that many
 documents hold out of the prefixes). Pairs found there are counted over the
 remaining coordinates, first by one bit each, which lets most be skipped, then
-in full; those with ``MATCHES`` agreements are confirmed on their full sets.
+in full; those with ``matches`` agreements are confirmed on their full sets.
 
 No list yields all its pairs. In ``ROUNDS`` rounds every list compares its
 members with one leader, confirmed links join components, and lists that lie

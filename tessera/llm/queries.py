@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mtree, neardup, packing, permutation, quality, repeats, secrets, store, toxicity
+from tessera.llm import mtree, neardup, packing, permutation, pieces, quality, repeats, secrets, store, toxicity
 from tessera.llm.common import is_training_row, table
 
 
@@ -63,6 +63,16 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), count("novel"))
 
 
+def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pieces.encode(docs, _tokenizer("piece_bpe_32k.model"))
+    best, second = F.col("nbest")[0], F.get("nbest", 1)
+    return found.select(
+        "doc_id", (F.octet_length(best["ids"]) / 4).cast("long").alias("n_pieces"), best["score"].alias("score"), F.crc32(best["ids"]).alias("ids_crc32"),
+        (F.octet_length(second["ids"]) / 4).cast("long").alias("second_pieces"), second["score"].alias("second_score"), F.crc32(second["ids"]).alias("second_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -81,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_content_store": op6_content_store,
     "op7_secret_scan": op7_secret_scan,
+    "op8_piece_lattice": op8_piece_lattice,
     "op9_rule_quality": op9_rule_quality,
     "op10_permutation_neighbours": op10_permutation_neighbours,
 }
