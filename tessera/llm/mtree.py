@@ -9,7 +9,8 @@ routing point, covering radius and distance to the page's own routing point; an
 entry of a leaf has its point and that distance. A search keeps a queue of pages
 by the least distance that their radius allows and ends when that exceeds the
 k-th best. An entry is skipped without computing its distance where the
-triangle inequality over the stored distance already excludes it. Bounds are
+triangle inequality over the stored distance already excludes it. The queries
+of a block walk the tree together, so that a page is read once for all. Bounds are
 floating point with a slack; scores are integers, computed exactly.
 
 Vectors null, empty or with null or non-finite components take no part, nor do
@@ -32,7 +33,7 @@ from tessera.llm.common import written
 from tessera.llm.vectors import dense, result, searched, usable
 
 CAPACITY, FANOUT = 192, 16
-SLACK = 1e-9
+SLACK = 1e-9  # of squared distances
 _PAGE = "dim int, shard int, node int, leaf boolean, ids array<long>, refs array<long>, points array<double>, radii array<double>, to_parent array<double>"
 
 
@@ -90,59 +91,75 @@ def build(ids: np.ndarray, rows: np.ndarray, x: np.ndarray, seed: int = 0) -> li
     return pages
 
 
-def best_first(pages: list[Page], query: np.ndarray, own: int, k: int, exact, counts: list[int] | None = None) -> list[tuple]:
-    """The k best (score, vec_id) of the tree, best first, ties to the smaller id; row ``own`` is left out.
+def best_first(pages: list[Page], queries: np.ndarray, own: np.ndarray, k: int, counts: list[int] | None = None) -> list[list[tuple[int, int]]]:
+    """For each query the k best (score, vec_id) of the tree, best first, ties to the smaller id; row ``own`` is left out.
 
-    ``counts`` gets the numbers of distances computed and avoided.
+    The queries of a block share one queue, ordered by the least distance that
+    any of them may find below a page; a page is read once, for those queries
+    that it can still concern. ``counts`` gets the numbers of distances computed
+    and avoided.
     """
-    if not pages:
-        return []
-    point = np.append(query, 0.0)
-    first = pages[0]
-    longest = float((first.points[0] ** 2).sum())
-    square = float(query @ query) + longest
+    n = len(queries)
+    best: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # heaps of (score, -id), worst first
+    if not pages or not n:
+        return best
+    longest = float((pages[0].points[0] ** 2).sum())
+    own_squares = (queries * queries).sum(1)
+    square = own_squares + longest
     slack = SLACK * (1 + square)
-    best: list[tuple] = []  # (score, -id), smallest first
-    limit = np.inf  # squared distance of the k-th best, and some slack
-    queue = [(0.0, 0, None)]
+    limit = np.full(n, np.inf)  # squared distance of each query's k-th best, and some slack
+    largest = max(float(np.abs(p.points[:, :-1]).max(initial=0)) for p in pages)
+    safe = largest * float(np.abs(queries).max(initial=0)) * queries.shape[1] < 2**53  # products are exact in floating point
+    queue: list[tuple] = [(0.0, 0, np.zeros(n), None)]
     done = avoided = 0
     while queue:
-        least, node, to_routing = heapq.heappop(queue)
-        if least * least > limit:
+        least, node, bounds, to_routing = heapq.heappop(queue)
+        if least * least > limit.max():
             break
+        concerned = np.flatnonzero(bounds * bounds <= limit)
         page = pages[node]
+        if not len(concerned):
+            avoided += len(page.ids) * n
+            continue
         at = np.arange(len(page.ids))
-        if to_routing is not None and limit < np.inf:
-            gap = np.abs(to_routing - page.to_parent) - page.radii
-            keep = (gap <= 0) | (gap * gap <= limit)
-            avoided += len(at) - int(keep.sum())
-            at = at[keep]
-        done += len(at)
-        if page.leaf:
-            found = page.points[at, :-1] @ query
-            near = np.flatnonzero(square - 2 * found <= limit) if limit < np.inf else np.arange(len(at))
-            for i in at[near[np.argsort(-found[near], kind="stable")]]:
-                if page.refs[i] == own:
-                    continue
-                entry = (exact(page.points[i, :-1], query), -int(page.ids[i]))
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-                elif entry[0] < best[0][0]:
-                    break  # those that follow score no more
-                if len(best) == k:
-                    limit = square - 2 * best[0][0] + slack
-        else:
-            far = np.sqrt(((page.points[at] - point) ** 2).sum(1))
-            bound = np.maximum(far - page.radii[at], 0)
-            for i, d, b in zip(at.tolist(), far.tolist(), bound.tolist()):
-                if b * b <= limit:
-                    heapq.heappush(queue, (b, int(page.ids[i]), d))
+        if to_routing is not None:
+            gap = np.maximum(np.abs(to_routing[concerned, None] - page.to_parent) - page.radii, 0)
+            at = np.flatnonzero((gap * gap <= limit[concerned, None]).any(0))
+        done += len(at) * len(concerned)
+        avoided += len(page.ids) * n - len(at) * len(concerned)
+        if not len(at):
+            continue
+        products = queries[concerned] @ page.points[at, :-1].T
+        if not page.leaf:
+            squares = own_squares[concerned, None] + (page.points[at] ** 2).sum(1) - 2 * products
+            far = np.zeros((n, len(at)))
+            far[concerned] = np.sqrt(np.maximum(squares, 0))
+            below = np.full((n, len(at)), np.inf)
+            below[concerned] = np.maximum(far[concerned] - page.radii[at] - np.sqrt(slack)[concerned, None], 0)
+            for j, i in enumerate(at.tolist()):
+                heapq.heappush(queue, (float(below[:, j].min()), int(page.ids[i]), below[:, j], far[:, j]))
+            continue
+        row, col = np.nonzero(square[concerned, None] - 2 * products <= limit[concerned, None])
+        row, score, col = concerned[row], products[row, col], at[col]
+        row, score, col = (x[page.refs[col] != own[row]] for x in (row, score, col))
+        order = np.lexsort((page.ids[col], -score, row))
+        row, score, col = row[order], score[order], col[order]
+        if safe:  # a page gives a query its first k at most
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            row, score, col = (x[rank < k] for x in (row, score, col))
+        for r, s, c in zip(row.tolist(), score.tolist(), col.tolist(), strict=True):
+            entry = (int(s) if safe else exact_product(page.points[c, :-1], queries[r]), -int(page.ids[c]))
+            heap = best[r]
+            if len(heap) < k:
+                heapq.heappush(heap, entry)
+            elif entry > heap[0]:
+                heapq.heapreplace(heap, entry)
+            if len(heap) == k:
+                limit[r] = square[r] - 2 * heap[0][0] + slack[r]
     if counts is not None:
         counts[0] += done
         counts[1] += avoided
-    return [(s, -i) for s, i in sorted(best, key=lambda e: (-e[0], -e[1]))]
+    return [[(s, -i) for s, i in sorted(heap, key=lambda e: (-e[0], -e[1]))] for heap in best]
 
 
 def exact_product(a: np.ndarray, b: np.ndarray) -> int:
@@ -185,8 +202,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
         tree = read_pages(pages)
         points = quantized(dense(queries["v"]), scale)
         out = []
-        for row, name, query in zip(queries["row"].to_pylist(), queries["vec_id"].to_pylist(), points, strict=True):
-            out += [(row, name, i, s) for s, i in best_first(tree, query, row, k, exact_product)]
+        found = best_first(tree, points, queries["row"].to_numpy(), k)
+        for row, name, list_of in zip(queries["row"].to_pylist(), queries["vec_id"].to_pylist(), found, strict=True):
+            out += [(row, name, i, s) for s, i in list_of]
         return result(out, pa.int64())
 
     return searched(table, index(table, scale), is_query, search, k, "long")

@@ -53,8 +53,11 @@ def test_mtree_avoids_distances_and_stays_exact_with_large_numbers():
     centres = draw.normal(size=(30, 8)) * 1000
     x = np.floor(np.concatenate([c + draw.normal(size=(100, 8)) * 5 for c in centres]))
     pages, counts = mtree.build(np.arange(3000), np.arange(3000), x), [0, 0]
-    for q in x[::100]:
-        mtree.best_first(pages, q, -1, 5, mtree.exact_product, counts)
+    got = mtree.best_first(pages, x[::100], np.arange(3000)[::100], 5, counts)
+    for q, found in zip(range(0, 3000, 100), got):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        assert found == [(int(scores[j]), j) for j in sorted(range(3000), key=lambda j: (-scores[j], j))[:5]]
     assert counts[0] + counts[1] < 30 * 3000 and counts[1] > 0
     large = np.array([2.0**30, 3.0, 1.0])
     assert mtree.exact_product(large, large) == 2**60 + 10
