@@ -36,9 +36,8 @@ WINDOW = 50
 _BATCH = 2_000_000  # bytes of text whose probes are sent together
 
 
-def _anchors(rows: pa.Table) -> pa.Table:
+def _anchors(bucket: int, ids: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that a block of one document and a probe of a document of larger id have in common."""
-    ids, keys, entries = rolling.unpacked(rows, "<u4")
     block, hashes = (entries & np.uint64(1)).astype(bool), entries >> np.uint64(1) << np.uint64(1)
     blocks, first = _extreme(hashes[block], ids[block], smallest=True)
     at = np.searchsorted(blocks, hashes)
@@ -52,8 +51,7 @@ def _anchors(rows: pa.Table) -> pa.Table:
     held = block & (used[of] == hashes if len(used) else False)
     held[held] = last[of[held]] > ids[held]
     both = hit | held
-    bucket = np.uint64(rows["bucket"][0].as_py()) << np.uint64(32)
-    return rolling.replies(ids[both], keys[both], hashes[both] | bucket)
+    return ids[both], hashes[both] | np.uint64(bucket) << np.uint64(32)
 
 
 def _extreme(hashes: np.ndarray, ids: np.ndarray, smallest: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +63,11 @@ def _extreme(hashes: np.ndarray, ids: np.ndarray, smallest: bool) -> tuple[np.nd
     return (hashes[keep], ids[keep]) if len(hashes) else (hashes, ids)
 
 
-def _later(rows: pa.Table) -> pa.Table:
+def _later(bucket: int, ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows that a document of smaller id holds too."""
-    ids, keys, hashes = rolling.unpacked(rows)
     known, first = _extreme(hashes, ids, smallest=True)
     later = ids > first[np.searchsorted(known, hashes)] if len(ids) else np.zeros(0, bool)
-    return rolling.replies(ids[later], keys[later], hashes[later])
+    return ids[later], hashes[later]
 
 
 def _anchor_hashes(words: np.ndarray, block: int) -> np.ndarray:
@@ -95,58 +92,59 @@ def covered(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    """(own_id, own_text, rest), ``rest`` having every other column: as both joins with the documents take all three, and
+    under names that are no column's own, they share one exchange of the texts."""
+    return docs.select(F.col(id_col).cast("long").alias("own_id"), F.col(text_col).cast("string").alias("own_text"), F.struct(*[c for c in docs.columns if c != text_col]).alias("rest"))
 
 
-def repeated_windows(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, found): hashes of the windows that a document of smaller id holds too."""
+def _with_repeats(keyed: DataFrame, window: int) -> DataFrame:
+    """``keyed`` and ``found``: hashes of the windows that a document of smaller id holds too."""
     if window < 2:
         raise ValueError("a window has two words at least")
     block = window // 2
     buckets = np.array(rolling.even_keys(keyed.sparkSession))
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", _BATCH):
-            texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        for batch in slices(batches, "own_text", _BATCH):
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             rows, sent = [], []
             for i, words in enumerate(rolling.word_hashes_of(texts)):
                 if len(words) >= window:
                     hashes = _anchor_hashes(words, block)
                     rows.append(i)
                     sent.append(np.unique(np.concatenate([hashes, hashes[::block] | np.uint64(1)])))
-            yield rolling.packets(ids[rows], keys[rows], sent, buckets, "<u4")
+            yield rolling.packets(ids[rows], sent, buckets, "<u4")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", _BATCH):
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        for batch in slices(batches, "own_text", _BATCH):
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             sent = []
             for words, found in zip(rolling.word_hashes_of(texts), batch.column(3).to_pylist(), strict=True):
                 hits = np.flatnonzero(np.isin(rolling.short(_anchor_hashes(words, block), buckets), rolling.gathered(found)))
                 sent.append(np.unique(rolling.windows(words, window)[around(hits, len(words), block, window)]))
-            yield rolling.packets(ids, keys, sent, buckets)
+            yield rolling.packets(batch.column(0).to_numpy(zero_copy_only=False), sent, buckets)
 
-    known = keyed.where("doc_id is not null")
-    anchors = rolling.exchanged(known.mapInArrow(probes, rolling.PACKET), _anchors)
-    near = known.join(anchors, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "found")
-    return rolling.exchanged(near.mapInArrow(full, rolling.PACKET), _later)
+    known = keyed.where("own_id is not null")
+    anchors = rolling.exchanged(known.select("own_id", "own_text").mapInArrow(probes, rolling.PACKET), _anchors, buckets, "<u4").withColumnRenamed("doc_id", "own_id")
+    near = known.join(anchors, "own_id").select("own_id", "own_text", "rest", "found")
+    later = rolling.exchanged(near.mapInArrow(full, rolling.PACKET), _later, buckets).withColumnRenamed("doc_id", "own_id")
+    rest = keyed.where("own_id is null").withColumn("found", F.lit(None).cast("binary"))
+    return known.join(later, "own_id", "left").select("own_id", "own_text", "rest", "found").unionByName(rest)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row: doc_id, n_words, n_removed, ``kept`` (the words kept, joined by spaces)
     and ``spans`` (the maximal repeats: first word, word after the last)."""
-    keyed = _keyed(docs, id_col, text_col)
-    whole = keyed.join(repeated_windows(keyed, window), ["doc_id", "text_key"], "left").select("doc_id", "text", "found")
+    whole = _with_repeats(_keyed(docs.select(id_col, text_col), id_col, text_col), window)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", _BATCH):
+        for batch in slices(batches, "own_text", _BATCH):
             sizes, gone, kept, spans = [], [], [], []
-            for text, found in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, found in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = (text or b"").split()
                 sizes.append(len(words))
-                if not found:
+                if not found or not words:
                     gone.append(0)
                     kept.append(b" ".join(words))
                     spans.append([])
@@ -167,26 +165,25 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
 def rewritten(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
     """The documents with their repeats taken out of their texts, all columns kept; those of which no word is left go."""
-    names = docs.columns
-    keyed = docs.withColumns({"_id_": F.col(id_col).cast("long"), "_key_": F.xxhash64(F.col(text_col).cast("string"))})
-    found = repeated_windows(_keyed(docs, id_col, text_col), window).select(F.col("doc_id").alias("_id_"), F.col("text_key").alias("_key_"), F.col("found").alias("_found_"))
-    whole = keyed.join(found, ["_id_", "_key_"], "left").select(*names, "_found_")
-    at = names.index(text_col)
+    whole = _with_repeats(_keyed(docs, id_col, text_col), window).select("own_text", "found", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, _BATCH):
+        for batch in slices(batches, "own_text", _BATCH):
             texts, keep = [], []
-            for text, found in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                if found:
+            for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if found and text:
                     raw = text.encode()
                     starts = np.flatnonzero(np.isin(rolling.windows(rolling.word_hashes(raw), window), rolling.gathered(found)))
                     words = raw.split()
-                    text = b" ".join(itertools.compress(words, (~covered(starts, len(words), window)).tolist())).decode()
+                    if len(starts):
+                        text = b" ".join(itertools.compress(words, (~covered(starts, len(words), window)).tolist())).decode()
+                    keep.append(bool(text))
+                else:
+                    keep.append(True)
                 texts.append(text)
-                keep.append(not found or bool(text))
-            columns = [*batch.columns[: len(names)]]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], ["text", "rest"]).filter(pa.array(keep, pa.bool_()))
 
-    out = whole.mapInArrow(run, docs.schema)
-    return out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType)) if count_col in names else out
+    rest_type = whole.schema["rest"].dataType.simpleString()
+    out = whole.mapInArrow(run, f"text string, rest {rest_type}")
+    out = out.select(*[F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns])
+    return out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType)) if count_col in docs.columns else out

@@ -121,9 +121,9 @@ def even_keys(spark: SparkSession) -> list[int]:
 
 
 #: One row holds what one batch of documents sends to one bucket of hashes.
-PACKET = "bucket int, ids binary, keys binary, docs binary, hashes binary"
-#: What comes back: for a document, hashes of its own.
-REPLY = "doc_id long, text_key long, hashes binary"
+PACKET = "bucket int, ids binary, docs binary, hashes binary"
+#: One row holds what a bucket answers to one group of documents.
+_ANSWER = "grp int, ids binary, counts binary, hashes binary"
 
 
 def bounds(n: int) -> np.ndarray:
@@ -137,54 +137,65 @@ def short(hashes: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     return to << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
 
 
-def packets(ids: np.ndarray, keys: np.ndarray, hashes: list[np.ndarray], buckets: np.ndarray, width: str = "<u8") -> pa.RecordBatch:
-    """Packets of a batch: ``hashes[i]`` are distinct and belong to document ``i``. A bucket is a range of hashes;
+def packets(ids: np.ndarray, hashes: list[np.ndarray], buckets: np.ndarray, width: str = "<u8") -> pa.RecordBatch:
+    """Packets of a batch: ``hashes[i]`` are distinct and belong to document ``ids[i]``. A bucket is a range of hashes;
     ``width`` "<u4" sends the low 32 bits, which the bucket completes as far as a filter needs."""
-    n = len(buckets)
     doc = np.repeat(np.arange(len(hashes), dtype=np.uint32), [len(h) for h in hashes])
     every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     by = np.argsort(every, kind="stable")
     every, doc = every[by], doc[by]
-    to = np.searchsorted(every, bounds(n))
+    to = np.searchsorted(every, bounds(len(buckets)))
     rows: list[tuple] = []
     for b, (part, whose) in enumerate(zip(np.split(every, to), np.split(doc, to), strict=True)):
         if len(part):
             order = np.argsort(whose, kind="stable")  # by document, so that the numbers repeat and compress
             present, number = np.unique(whose[order], return_inverse=True)
-            rows.append((int(buckets[b]), ids[present].tobytes(), keys[present].tobytes(), number.astype(np.uint16 if len(present) < 1 << 16 else np.uint32).tobytes(), part[order].astype(width).tobytes()))
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "ids", "keys", "docs", "hashes"])
+            rows.append((int(buckets[b]), ids[present].tobytes(), number.astype(np.uint16 if len(present) < 1 << 16 else np.uint32).tobytes(), part[order].astype(width).tobytes()))
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "ids", "docs", "hashes"])
 
 
-def unpacked(rows: pa.Table, width: str = "<u8") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document id, text key, hash) of all entries of a bucket."""
-    ids, keys, hashes = [], [], []
-    for i, k, d, h in zip(*(rows[c].to_pylist() for c in ("ids", "keys", "docs", "hashes")), strict=True):
-        own = np.frombuffer(i, np.int64)
+def unpacked(rows: pa.Table, width: str) -> tuple[np.ndarray, np.ndarray]:
+    """(document id, hash) of all entries of a bucket."""
+    ids, hashes = [np.zeros(0, np.int64)], [np.zeros(0, width)]
+    for i, d, h in zip(*(rows[c].to_pylist() for c in ("ids", "docs", "hashes")), strict=True):
         values = np.frombuffer(h, width)
-        number = np.frombuffer(d, np.uint16 if len(d) == 2 * len(values) else np.uint32)
-        ids.append(own[number])
-        keys.append(np.frombuffer(k, np.int64)[number])
+        ids.append(np.frombuffer(i, np.int64)[np.frombuffer(d, np.uint16 if len(d) == 2 * len(values) else np.uint32)])
         hashes.append(values)
-    if not ids:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(ids), np.concatenate(keys), np.concatenate(hashes).astype(np.uint64)
-
-
-def replies(ids: np.ndarray, keys: np.ndarray, hashes: np.ndarray) -> pa.Table:
-    """A row a document with those of its hashes that are given."""
-    by = np.lexsort((hashes, keys, ids))
-    ids, keys, hashes = ids[by], keys[by], hashes[by]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(keys) != 0)])) if len(ids) else np.zeros(0, int)
-    parts = np.split(hashes, new[1:]) if len(ids) else []
-    return pa.table({"doc_id": pa.array(ids[new], pa.int64()), "text_key": pa.array(keys[new], pa.int64()), "hashes": pa.array([np.unique(p).astype("<u8").tobytes() for p in parts], pa.binary())})
-
-
-def exchanged(sent: DataFrame, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """Brings the packets of each bucket together, and the answers' hashes together by document."""
-    found = sent.groupBy("bucket").applyInArrow(answer, REPLY)
-    return found.groupBy("doc_id", "text_key").agg(F.collect_list("hashes").alias("found"))
-
-
-def gathered(found: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(found), "<u8")
+    return np.concatenate(ids), np.concatenate(hashes).astype(np.uint64)
+
+
+def _by_document(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct ids in order, and the distinct hashes of each."""
+    by = np.lexsort((hashes, ids))
+    ids, hashes = ids[by], hashes[by]
+    new = np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(hashes) != 0)]) if len(ids) else np.zeros(0, bool)
+    ids, hashes = ids[new], hashes[new]
+    own, starts = np.unique(ids, return_index=True)
+    return own, np.split(hashes, starts[1:]) if len(own) else []
+
+
+def exchanged(sent: DataFrame, answer: Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: np.ndarray, width: str = "<u8") -> DataFrame:
+    """Brings the packets of each bucket together and returns (doc_id, hashes): for each document those of its hashes
+    that ``answer(bucket, ids, hashes)`` picks. Answers travel packed, a row a bucket and group of documents."""
+    def answered(rows: pa.Table) -> pa.Table:
+        ids, hashes = answer(rows["bucket"][0].as_py(), *unpacked(rows, width))
+        own, parts = _by_document(ids, hashes)
+        group = (mixed(own.astype(np.uint64)) % np.uint64(len(buckets))).astype(np.int64)
+        out = []
+        for g in np.unique(group).tolist():
+            here = np.flatnonzero(group == g).tolist()
+            out.append((int(buckets[g]), own[here].tobytes(), np.array([len(parts[i]) for i in here], np.int32).tobytes(), np.concatenate([parts[i] for i in here]).astype("<u8").tobytes()))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 4
+        return pa.table({"grp": pa.array(cols[0], pa.int32()), "ids": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary()), "hashes": pa.array(cols[3], pa.binary())})
+
+    def opened(rows: pa.Table) -> pa.Table:
+        ids = [np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.int32)) for i, c in zip(rows["ids"].to_pylist(), rows["counts"].to_pylist(), strict=True)]
+        own, parts = _by_document(np.concatenate(ids), np.frombuffer(b"".join(rows["hashes"].to_pylist()), "<u8"))
+        return pa.table({"doc_id": pa.array(own, pa.int64()), "found": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+    return sent.groupBy("bucket").applyInArrow(answered, _ANSWER).groupBy("grp").applyInArrow(opened, "doc_id long, found binary")
+
+
+def gathered(found: bytes) -> np.ndarray:
+    return np.frombuffer(found, "<u8")
