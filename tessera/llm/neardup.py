@@ -10,11 +10,13 @@ documents hold out of the prefixes). Pairs found there are counted over the
 remaining coordinates, first by one bit each, which lets most be skipped, then
 in full; those with ``matches`` agreements are confirmed on their full sets.
 
-No list yields all its pairs. In ``ROUNDS`` rounds every list compares its
-members with one leader, confirmed links join components, and lists that lie
-within one component are done. A last round compares what is left across
-components, long lists in blocks. So a group of n copies costs n comparisons a
-round, and every link that matters to the components has been looked at.
+No list yields all its pairs. In ``ROUNDS`` rounds every list has a leader, each
+member is confirmed against the one of its lists' leaders that agrees with it
+most, links join components, and lists that lie within one component are done.
+A last round compares what is left across components, long lists in blocks,
+each pair at the first key that both have. So a group of n copies costs n
+comparisons a round, and every link that matters to the components has been
+looked at.
 
 ``matches`` and the bit filter follow from the similarity: a pair just at it
 fails either with a chance below ``MISS``, pairs above it with a smaller one.
@@ -40,7 +42,7 @@ from tessera.llm import rolling
 from tessera.llm.common import slices, written
 from tessera.llm.graph import components
 
-COORDINATES, ROUNDS = 64, 3
+COORDINATES, ROUNDS, LEADERS = 64, 4, 4
 MISS = 1e-6  # chance with which a pair just at the threshold may fail the count, and the bit filter
 SLOTS = 1 << 18  # of the sketch of key counts
 MARKS = 1 << 26  # of the bitmap that tells which documents' sets are wanted
@@ -126,21 +128,21 @@ def key_counts(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def postings(classes: DataFrame, counts: np.ndarray, matches: int) -> DataFrame:
-    """(key, node, bits): each class under the rarest of its keys."""
+def prefixes(classes: DataFrame, counts: np.ndarray, matches: int) -> DataFrame:
+    """(node, bits, keys): each class with the rarest of its keys, rarest first, in an order that is the same for all."""
     prefix = COORDINATES - matches + 1
     shared = classes.sparkSession.sparkContext.broadcast(counts)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                keys, slots = _keys(part.column(1))
+                keys, slots = _keys(part.column(2))
                 rare = np.lexsort((keys, shared.value[slots]))[:, :prefix]
                 chosen = np.take_along_axis(keys, rare, 1).astype(np.int64)
-                node, bits = (np.repeat(part.column(i).to_numpy(), prefix) for i in (0, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel()), pa.array(node), pa.array(bits)], ["key", "node", "bits"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, chosen.size + 1, prefix, dtype=np.int32)), pa.array(chosen.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["node", "bits", "keys"])
 
-    return classes.select("node", "signature", "bits").mapInArrow(post, "key long, node long, bits long")
+    return classes.select("node", "bits", "signature").mapInArrow(choose, "node long, bits long, keys array<long>")
 
 
 def _near(a: str, b: str, apart: int) -> Column:
@@ -199,11 +201,14 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
 
 def _led(posted: DataFrame, of: DataFrame | None, turn: int, apart: int) -> DataFrame:
-    """Pairs of each list's leader with the members of other components."""
+    """Pairs of members with leaders of other components: every list has a leader of its own in every turn, and each
+    member keeps the ``LEADERS`` of its lists' leaders that it is nearest to by its bits."""
     here = _placed(posted, of)
-    lead = F.min(F.struct(F.xxhash64(F.col("node") + turn).alias("h"), F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("bits").alias("bits_a")))
+    lead = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("bits").alias("bits_a")))
     lists = here.groupBy("key").agg(lead.alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "lead.a", "lead.of_a", "lead.bits_a")
-    return here.join(lists, "key").where((F.col("component") != F.col("of_a")) & _near("bits", "bits_a", apart)).select("a", F.col("node").alias("b")).distinct()
+    met = here.join(lists, "key").where((F.col("component") != F.col("of_a")) & _near("bits", "bits_a", apart))
+    best = F.slice(F.sort_array(F.collect_set(F.struct(F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_a"))).alias("d"), F.col("a").alias("a")))), 1, LEADERS)
+    return met.groupBy(F.col("node").alias("b")).agg(best.alias("best")).select(F.explode("best.a").alias("a"), "b")
 
 
 def _placed(posted: DataFrame, of: DataFrame | None) -> DataFrame:
@@ -212,16 +217,18 @@ def _placed(posted: DataFrame, of: DataFrame | None) -> DataFrame:
     return posted.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _across(posted: DataFrame, of: DataFrame, apart: int) -> DataFrame:
-    """All pairs of each list across components, lists dealt out in blocks of about ``LIST_BLOCK``."""
-    here = _placed(posted, of)
+def _across(prefixed: DataFrame, of: DataFrame, apart: int) -> DataFrame:
+    """All pairs across components that share a key, each at the first key that both have; lists dealt out in blocks of about ``LIST_BLOCK``."""
+    here = _placed(prefixed.select("node", "bits", "keys", F.posexplode("keys").alias("place", "key")), of)
     lists = here.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     lists = lists.select("key", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks"))
-    rows = written(here.join(lists, "key").withColumn("block", F.pmod(F.xxhash64(F.col("node") + 99), F.col("blocks")).cast("int")), "lists")
-    left = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("bits").alias("bits_a"))
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("bits").alias("bits_b"))
-    met = left.join(right, ["key", "i", "j"]).where((F.col("of_a") != F.col("of_b")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & _near("bits_a", "bits_b", apart))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    earlier = F.slice("keys", 1, F.col("place"))
+    rows = written(here.join(lists, "key").select("key", "node", "component", "bits", "blocks", earlier.alias("before"), F.pmod(F.xxhash64(F.col("node") + 99), F.col("blocks")).cast("int").alias("block")), "lists")
+    left = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("bits").alias("bits_a"), F.col("before").alias("before_a"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("bits").alias("bits_b"), F.col("before").alias("before_b"))
+    first = ~F.arrays_overlap("before_a", "before_b")
+    met = left.join(right, ["key", "i", "j"]).where((F.col("of_a") != F.col("of_b")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & _near("bits_a", "bits_b", apart) & first)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _merged(of: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -241,10 +248,11 @@ def linked(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "do
     rows = written(sketched(source, width), "sketches")
     grouped = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bits").alias("bits"))
     classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    posted = written(postings(classes, key_counts(classes), matches), "postings")
+    prefixed = written(prefixes(classes, key_counts(classes), matches), "prefixes")
+    posted = prefixed.select("node", "bits", F.explode("keys").alias("key"))
     of = None
     for turn in range(rounds + 1):
-        pairs = _led(posted, of, turn, apart) if turn < rounds else _across(posted, of, apart)
+        pairs = _led(posted, of, turn, apart) if turn < rounds else _across(prefixed, of, apart)
         found = counted(pairs, classes, matches)
         if turn < rounds:  # the best leader of each; what it may miss comes in the last round
             found = found.groupBy("b").agg(F.max_by("a", F.struct("matches", F.col("a"))).alias("a"))
