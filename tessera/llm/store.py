@@ -48,10 +48,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    gear = _GEAR[ids & 0xFFFF]
-    rolling = gear.copy()
-    for k in range(1, WINDOW):
-        rolling[k:] += gear[:-k] << np.uint32(2 * k)
+    rolling = _GEAR[ids & 0xFFFF]
+    k = 1
+    while k < WINDOW:  # twice as many ids in each step
+        rolling[k:] = rolling[k:] + (rolling[:-k] << np.uint32(2 * k))
+        k *= 2
     ends, last = [], 0
     for at in np.flatnonzero((rolling >> np.uint32(16)) & np.uint32(MASK) == 0) + 1:
         at = int(at)

@@ -112,7 +112,7 @@ class Encoder:
         if _RUN(text):
             return self._exactly(text)
         first, *rest = text.split(" ")
-        return (self._exactly(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
+        return (self.tails[first] if first else b"") + b"".join(map(self.words.__getitem__, rest))
 
 
 _encoders: dict[str, Encoder] = {}
