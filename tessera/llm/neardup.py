@@ -89,7 +89,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature, bits) of every row; no signature for empty sets."""
+    """(doc_id, text_key, n_shingles, set_key, signature, bits) of every row; no signature for empty sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _BATCH):
             sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), width)
@@ -100,9 +100,9 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                 packed = np.packbits((minima & 1).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0]
                 for i, m, b in zip(full, minima, packed.tolist(), strict=True):
                     keys[i], found[i], bits[i] = set_key(sets[i]), m.tobytes(), b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.binary()), pa.array(bits, pa.int64())], ["doc_id", "n_shingles", "set_key", "signature", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.binary()), pa.array(bits, pa.int64())], ["doc_id", "text_key", "n_shingles", "set_key", "signature", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary, bits long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, signature binary, bits long")
 
 
 def _keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +242,7 @@ def _merged(of: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """One row a row: doc_id, n_shingles, set_key, component_id, kept."""
+    """One row a row: doc_id, text_key (a hash of its text), n_shingles, set_key, component_id, kept."""
     matches, apart = thresholds(percent)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = written(sketched(source, width), "sketches")
@@ -261,12 +261,13 @@ def linked(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "do
     placed = classes.select("node", "set_key", "rep").join(of, "node", "left").select("set_key", "rep", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = placed.join(least, "component").select("set_key", "component_id")
-    whole = rows.select("doc_id", "n_shingles", "set_key").join(ids, "set_key", "left")
+    whole = rows.select("doc_id", "text_key", "n_shingles", "set_key").join(ids, "set_key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return whole.select("doc_id", "n_shingles", "set_key", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return whole.select("doc_id", "text_key", "n_shingles", "set_key", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that their groups keep, with their own columns."""
-    dropped = linked(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_dropped_")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped_"), "left_anti")
+    """The rows of ``docs`` that their groups keep, with their own columns. Rows of one id and text go or stay together."""
+    dropped = linked(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_dropped_"), F.col("text_key").alias("_key_")).distinct()
+    same = (docs["doc_id"].cast("long") == F.col("_dropped_")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_key_"))
+    return docs.join(dropped, same, "left_anti")

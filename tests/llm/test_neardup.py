@@ -57,6 +57,8 @@ def test_small_families_equal_brute_force(spark):
     kept = neardup.representatives(docs, 3, 85)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if r["kept"]}
     assert neardup.linked(docs.where("false")).count() == 0
+    twice = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (2, "something else here")], "doc_id long, text string")
+    assert sorted(map(tuple, neardup.representatives(twice, 3, 85).collect())) == [(1, "a b c d"), (2, "something else here")]
 
 
 def test_whole_table_equals_brute_force(spark):
