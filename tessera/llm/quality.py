@@ -44,6 +44,15 @@ _CLASSES[128:] = 8
 _SYMBOLS = re.compile(r"[#$%&*+/<=>@\[\\\]^_`{}~|!]")
 
 
+def changed(line: str, low: str) -> int:
+    """The characters of a line that its lower case ``low`` writes differently; a character may become two there."""
+    if len(low) != len(line):
+        return sum(c != c.lower() for c in line)
+    if line.isascii():
+        return int((np.frombuffer(line.encode(), np.uint8) != np.frombuffer(low.encode(), np.uint8)).sum())
+    return int((np.frombuffer(line.encode("utf-32-le"), "<u4") != np.frombuffer(low.encode("utf-32-le"), "<u4")).sum())
+
+
 def measure(text: str) -> list[float]:
     """The statistics of a whole text; zeros where there are no words."""
     words = text.split()
@@ -62,7 +71,7 @@ def measure(text: str) -> list[float]:
         if len(line) >= 20:
             worst_symbols = max(worst_symbols, len(_SYMBOLS.findall(line)) / len(line)) if _SYMBOLS.search(line) else worst_symbols
             if (low := line.lower()) != line:
-                worst_upper = max(worst_upper, sum(a != b for a, b in zip(line, low)) / len(line)) if len(line) < 4000 or line.isupper() else worst_upper
+                worst_upper = max(worst_upper, changed(line, low) / len(line))
     return [
         float(n), sum(map(len, words)) / n, len(counts) / n, max(counts.values()) / n, sum(map(str.__eq__, words, words[1:])) / n, upper / max(1, upper + lower), digits / size, (symbols + pipes + bangs) / size, pipes / n, bangs / n,
         sum(w[-1] in "#$%&*!" for w in counts) / len(counts), float(len(lines)), 1 - len(set(lines)) / max(1, len(lines)), worst_upper, worst_symbols, sum(len(w) > 20 for w in counts) / len(counts), stops / n, wide / size,

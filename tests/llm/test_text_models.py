@@ -50,6 +50,14 @@ def test_compiled_rules_equal_the_model(spark, odd):
     assert quality.accepted(odd.where("false"), model).count() == 0
 
 
+def test_upper_case_share_of_lines_of_any_length():
+    def worst(text):
+        return quality.measure(text)[quality.STATISTICS.index("worst_line_upper")]
+
+    for line in ("A" * 3800 + "b" * 199, "A" * 3800 + "b" * 200, "Äb" * 3000, "ABé\u0130x" * 2000, "x" * 19 + "Y" + "z" * 9000):
+        assert worst("short Words here\n" + line) == sum(c != c.lower() for c in line) / len(line)
+
+
 def test_no_labels_or_one_kind(spark, odd):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     assert {r["score"] for r in quality.scored(odd, quality.learn(odd, none)).collect()} == {0.5}
