@@ -1,12 +1,15 @@
 """Secret scanning: fixed patterns, and novelty measured with a dictionary-primed zstandard compressor.
 
-The patterns give the base spans. The method adds strings of mixed characters
-that stand in a sensitive context (a word such as ``key`` or ``bearer`` shortly
-before them) and are incompressible there: the compressor is primed with a
-dictionary of identifiers and code and with the text around the candidate, and
-the candidate's marginal size is what the frame grows by when it is appended.
-Words, paths and repeated identifiers cost a few bytes; random strings cost
-nearly as many as they have.
+The patterns give the base spans. The method adds strings that stand in a
+sensitive context (a word such as ``key`` or ``bearer`` within ``CONTEXT``
+characters before them, or a string in such a context within ``CARRY``, so that
+all lines of a private key and all parts of a dotted token are in it) and are
+incompressible there: the compressor is primed with a dictionary of identifiers
+and code and with the text around the candidate, and the candidate's marginal
+size is what the frame grows by when it is appended. Words of the dictionary,
+paths and repeated identifiers cost a few bytes; random strings cost nearly as
+many as they have. Which characters a string has doesn't count: a long word or
+number that its surroundings don't hold is novel too.
 
 Nothing is shuffled. Nulls: a null text counts as an empty one, without spans;
 null ids and repeated rows are kept; an empty table gives no rows; other
@@ -29,13 +32,16 @@ from tessera.llm.common import slices
 KINDS = ("assign", "access", "hex", "novel")
 NOVELTY = 0.75  # marginal bytes for each byte of the candidate
 LEAST_CHARS = 16
-CONTEXT = 48  # characters before a candidate in which a sensitive word must stand
+CONTEXT = 256  # characters before a candidate in which a sensitive word must stand
+CARRY = 32  # characters from a candidate in sensitive context to the next one, which is then in it as well
 SURROUNDINGS = 1024  # characters on either side that prime the compressor
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CHARS)
+#: The last line of an armoured block where it is too short for a candidate; it is measured with the line before it.
+_REST = re.compile(r"""(?:[\s"'+,>|#*]|\\[nr]){1,%d}[A-Za-z0-9+/=]{1,%d}(?=(?:[\s"'+,>|#*]|\\[nr])+-----END)""" % (CARRY, LEAST_CHARS - 1))
 _SENSITIVE = re.compile(r"(?ai:key|secret|token|passw|pwd|credential|bearer|authori[sz]ation|private|signature|session|cookie|salt|nonce|pin\b)")
 
 #: What commonly surrounds credentials without being one.
@@ -68,15 +74,18 @@ def spans_of(text: str, least: float = NOVELTY) -> list[tuple[str, int, int, flo
     if "AKIA" in text:
         found += [("access", *m.span(), None) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", *m.span(), None) for m in _HEX.finditer(text)]
+    carried = -CARRY - 1  # the end of the last candidate in sensitive context
     for m in _CANDIDATE.finditer(text):
-        word = m.group()
-        if word.isalpha() or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
-            continue
         start, end = m.span()
         before = text[max(0, start - SURROUNDINGS) : start]
-        if not _SENSITIVE.search(before, max(0, len(before) - CONTEXT)) or any(a < end and start < b for _, a, b, _ in found):
+        if start - carried > CARRY and not _SENSITIVE.search(before, max(0, len(before) - CONTEXT)):
+            continue
+        carried = end
+        if rest := _REST.match(text, end):
+            end = rest.end()
+        if any(a < end and start < b for _, a, b, _ in found):
             continue
-        measured = novelty(word, before, text[end : end + SURROUNDINGS])
+        measured = novelty(text[start:end], before, text[end : end + SURROUNDINGS])
         if measured >= least:
             found.append(("novel", start, end, measured))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
