@@ -41,6 +41,11 @@ def checkpoints(changes: DataFrame, run: str, order: str, failed: Column, policy
     return rows.groupBy(run).agg(F.count_if(applied).alias("applied"), F.max(F.when(passed, F.col(order))).alias("checkpoint"))
 
 
+def retired(current: DataFrame, item: str) -> DataFrame:
+    """(item, state, cleanup_pending): every current row of a slot superseded, awaiting cleanup; a deleted record leaves none."""
+    return current.select(item, F.lit("superseded").alias("state"), F.lit(True).alias("cleanup_pending"))
+
+
 def replaced(current: DataFrame, incoming: DataFrame, slot: str, item: str) -> DataFrame:
     """(slot, item, outcome): promoted, superseded or unchanged, slot by slot that arrives."""
     a, b = current.select(slot, item, F.lit(True).alias("_old_")), incoming.select(slot, item, F.lit(True).alias("_new_"))

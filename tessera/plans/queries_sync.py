@@ -123,9 +123,16 @@ def lifecycle_replace(load, spark):
     return out
 
 
+@query("lifecycle_retire_slot", "SELECT doc_id, 'superseded' AS state, true AS cleanup_pending FROM documents WHERE source = 'src1'")
+def lifecycle_retire_slot(load, spark):
+    return sync.retired(load("documents").where("source = 'src1'"), "doc_id")
+
+
+# the first 50 rows that await cleanup, by id; what is retired is said by lifecycle_retire_slot
 @query("lifecycle_retire", "SELECT doc_id, 'superseded' AS state FROM documents WHERE source = 'src1' ORDER BY doc_id LIMIT 50")
 def lifecycle_retire(load, spark):
-    return load("documents").where("source = 'src1'").orderBy("doc_id").limit(50).select("doc_id", F.lit("superseded").alias("state"))
+    pending = sync.retired(load("documents").where("source = 'src1'"), "doc_id").where("cleanup_pending")
+    return pending.orderBy("doc_id").limit(50).select("doc_id", "state")
 
 
 @query("slot_keys", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'record:' || doc_id WHEN 1 THEN 'attachment:' || source || '|' || lang END AS slot FROM documents")
