@@ -272,22 +272,35 @@ def document_file_ids(load, spark):
 _WORD = "(CASE WHEN regexp_matches(lower(b), '\\b{0}\\b') THEN 1 ELSE 0 END)"
 
 
-def _class_sql():
+def _class_sql(window="length(text) - 100 + 1"):
     ladder = []
     for kind, words, against, weight in documents.CLASSES:
         hits = " + ".join(_WORD.format(w) for w in words)
         veto = " + ".join(_WORD.format(w) for w in against) or "0"
         ladder.append(f"CASE WHEN ({veto}) > 0 THEN 0.0 ELSE ({hits}) * {weight} END")
     kinds = "[" + ",".join(f"'{c[0]}'" for c in documents.CLASSES) + "]"
-    return f"""WITH d AS (SELECT item_id, substr(text || ' ' || ['invoice', 'policy invoice', 'contract terms', 'nothing'][1 + item_id % 4], length(text) - 100 + 1) AS b FROM benchmark), s AS (SELECT item_id, [{','.join(ladder)}]::DOUBLE[] AS v FROM d)
+    return f"""WITH d AS (SELECT item_id, substr(text || ' ' || ['invoice', 'policy invoice', 'contract terms', 'nothing'][1 + item_id % 4], {window}) AS b FROM benchmark), s AS (SELECT item_id, [{','.join(ladder)}]::DOUBLE[] AS v FROM d)
 SELECT item_id, CASE WHEN list_max(v) > 0 THEN {kinds}[list_position(v, list_max(v))] ELSE 'unclassified_document' END AS kind, CASE WHEN list_sum(v) > 0 THEN round(list_max(v) / list_sum(v), 6) ELSE 0.0 END AS confidence FROM s"""
 
 
 @query("classify_documents", _class_sql())
 def classify_documents(load, spark):
+    """The classes by the texts' ends; classify_whole_documents reads them from the start."""
+    whole = _marked_text()
+    return _classes(load, whole.substr(F.length("text") - 100 + 1, F.length(whole)))
+
+
+@query("classify_whole_documents", _class_sql("1, 2000"))
+def classify_whole_documents(load, spark):
+    return _classes(load, _marked_text())
+
+
+def _marked_text():
     extra = F.get(F.array(F.lit("invoice"), F.lit("policy invoice"), F.lit("contract terms"), F.lit("nothing")), (F.col("item_id") % 4).cast("int"))
-    whole = F.concat_ws(" ", "text", extra)
-    body = whole.substr(F.length("text") - 100 + 1, F.length(whole))
+    return F.concat_ws(" ", "text", extra)
+
+
+def _classes(load, body):
     found = documents.classified(F.lit(""), body)
     return load("benchmark").select("item_id", found["kind"].alias("kind"), found["confidence"].alias("confidence"))
 
