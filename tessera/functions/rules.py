@@ -91,6 +91,11 @@ def concat(fields: Sequence[Column], separator: str = "", skip_missing: bool = T
     return F.struct(F.when(~missing, joined).alias("value"), F.when(missing, "CONCAT_INPUT_NULL").alias("issue"))
 
 
+def at_key(value: Column, key: Column) -> Column:
+    """struct<value, issue>: the text that a JSON object holds at each row's own key, whatever characters the key has."""
+    return F.struct(F.try_element_at(F.from_json(value, "map<string,string>"), key).alias("value"), no_issue().alias("issue"))
+
+
 def compiled(chain: Sequence[tuple[str, dict]], value: Column) -> Column:
     """struct<value, issue> of a chain of (operation, options); unknown operations are refused at once."""
     issue = no_issue()

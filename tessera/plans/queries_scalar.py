@@ -238,11 +238,8 @@ def rule_enum_map(load, spark):
 
 @query("rule_nested_path", f"SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS value, {_NO_ISSUE} FROM events")
 def rule_nested_path(load, spark):
-    events = load("events")
-    keys = sorted({k for r in events.select(F.json_object_keys("props").alias("k")).distinct().limit(50).collect() for k in r["k"] or ()})
-    first = F.get(F.json_object_keys("props"), F.lit(0))
-    picked = F.coalesce(*[F.when(first == k, rules.compiled([("nested_path", {"path": k})], F.col("props"))["value"]) for k in keys])
-    return events.select("event_id", picked.alias("value"), rules.no_issue().alias("issue"))
+    found = rules.at_key(F.col("props"), F.get(F.json_object_keys("props"), F.lit(0)))
+    return load("events").select("event_id", found["value"].alias("value"), found["issue"].alias("issue"))
 
 
 @query("rule_date_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS value, CASE WHEN o_orderkey % 11 = 0 THEN 'DATE_PARSE_FAILED' END AS issue FROM orders")

@@ -27,3 +27,11 @@ def test_words_anywhere_in_a_text_classify_it(spark, tmp_path):
     got = run(spark, tmp_path, "classify_whole_documents", benchmark=spark.createDataFrame(texts, "item_id long, text string"))
     kinds = {r["item_id"]: r["kind"] for r in got}
     assert kinds[7] == "unclassified_document" and kinds[3] == kinds[11] != kinds[7]
+
+
+def test_first_key_of_more_than_fifty_key_lists(spark, tmp_path):
+    rows = [(i, json.dumps({f"k{i}": f"v{i}", "z": 1})) for i in range(300)]
+    odd = [(300, '{"a.b": "dot"}'), (301, '{"a b": {"c": [1, 2]}}'), (302, "{\"it's\": 1.5}"), (303, '{"n": null}'), (304, "{}"), (305, "not json"), (306, None), (307, '{"": "empty"}'), (308, '{"t": true}'), (309, '{"b": 12345678901234567890123}')]
+    got = {r["event_id"]: (r["value"], r["issue"]) for r in run(spark, tmp_path, "rule_nested_path", events=spark.createDataFrame(rows + odd, "event_id long, props string"))}
+    assert all(got[i] == (f"v{i}", None) for i in range(300))
+    assert [got[i][0] for i in range(300, 310)] == ["dot", '{"c":[1,2]}', "1.5", None, None, None, None, "empty", "true", "12345678901234567890123"]
