@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import inspect
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions.ident import cosine
 from tessera.functions.text import identifier
 from tessera.operators import catalog, mapping, tiers
+from tessera.plans import registry
 from tessera.plans.registry import query
 
 # -- catalogs: two versions of the orders' fields, as literals ----------------------------------------------------
@@ -280,10 +283,10 @@ _UNIT = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
 
 
 def similarities(load, queries, corpus):
-    """Exact cosines of a stated set of queries against the corpus; the queries are few by their filter."""
+    """Exact cosines of a stated set of queries against the corpus, in cells of one block of each: neither side is broadcast whole beyond Spark's threshold."""
     q = load("embeddings").where(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
     e = load("embeddings").where(corpus).select("vec_id", "embedding", "label")
-    return e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
+    return e.join(q, F.col("vec_id") != F.col("query_id")).withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
 
 
 def ranked(rows, k):
@@ -296,8 +299,8 @@ def _rank_sql(where, k):
 
 
 @query("vector_topk", f"SELECT query_id, rank, vec_id, score FROM {_rank_sql('q.vec_id < 5', 10)}")
-def vector_topk(load, spark):
-    return ranked(similarities(load, "vec_id < 5", "true"), 10).select("query_id", "rank", "vec_id", "score")
+def vector_topk(load, spark, queries="vec_id < 5"):
+    return ranked(similarities(load, queries, "true"), 10).select("query_id", "rank", "vec_id", "score")
 
 
 @query("knn_bruteforce", f"SELECT query_id, vec_id, score FROM {_rank_sql('q.vec_id % 100 = 0', 3)}")
@@ -306,8 +309,8 @@ def knn_bruteforce(load, spark):
 
 
 @query("hybrid_search", f"SELECT query_id, rank, vec_id, score FROM {_rank_sql('q.vec_id < 5 AND e.label % 2 = 0 AND e.vec_id % 13 <> 0', 5)}")
-def hybrid_search(load, spark):
-    return ranked(similarities(load, "vec_id < 5", "label % 2 = 0 and vec_id % 13 <> 0"), 5).select("query_id", "rank", "vec_id", "score")
+def hybrid_search(load, spark, queries="vec_id < 5"):
+    return ranked(similarities(load, queries, "label % 2 = 0 and vec_id % 13 <> 0"), 5).select("query_id", "rank", "vec_id", "score")
 
 
 @query("filtered_search_predicate", "SELECT vec_id FROM embeddings WHERE label = 3 AND vec_id % 2 = 0")
@@ -334,8 +337,8 @@ def retrieval_eval(load, spark):
 
 
 @query("similarity_separation", f"SELECT label = q_label AS related, round(avg(score), 4) AS mean, min(score) AS low, max(score) AS high FROM {_rank_sql('q.vec_id < 20', 100000000)} GROUP BY 1")
-def similarity_separation(load, spark):
-    rows = similarities(load, "vec_id < 20", "true")
+def similarity_separation(load, spark, queries="vec_id < 20"):
+    rows = similarities(load, queries, "true")
     return rows.groupBy((F.col("label") == F.col("q_label")).alias("related")).agg(F.round(F.avg("score"), 4).alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"))
 
 
@@ -361,36 +364,49 @@ def hot_warm_overlap(load, spark):
 
 
 @query("hits_join_state", f"SELECT query_id, vec_id, current_tier FROM {_rank_sql('q.vec_id < 5', 10)} JOIN {_STATE} USING (vec_id) WHERE current_tier IS NOT NULL")
-def hits_join_state(load, spark):
+def hits_join_state(load, spark, queries="vec_id < 5"):
     state = tier_state(load).where("current_tier is not null").select("vec_id", "current_tier")
-    return ranked(similarities(load, "vec_id < 5", "true"), 10).join(state, "vec_id").select("query_id", "vec_id", "current_tier")
+    return ranked(similarities(load, queries, "true"), 10).join(state, "vec_id").select("query_id", "vec_id", "current_tier")
 
 
 @query("hits_resolve_text", f"SELECT query_id, h.vec_id, d.text IS NOT NULL AS text_available FROM {_rank_sql('q.vec_id < 5', 10)} h LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 <> 0) d ON d.doc_id = h.vec_id")
-def hits_resolve_text(load, spark):
+def hits_resolve_text(load, spark, queries="vec_id < 5"):
     texts = load("documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("vec_id"), F.lit(True).alias("there"))
-    return ranked(similarities(load, "vec_id < 5", "true"), 10).join(texts, "vec_id", "left").select("query_id", "vec_id", F.coalesce("there", F.lit(False)).alias("text_available"))
+    return ranked(similarities(load, queries, "true"), 10).join(texts, "vec_id", "left").select("query_id", "vec_id", F.coalesce("there", F.lit(False)).alias("text_available"))
 
 
 @query("retrieve_min_score", f"SELECT query_id, vec_id FROM {_rank_sql('q.vec_id < 20', 10)} WHERE score >= 0.3")
-def retrieve_min_score(load, spark):
-    return ranked(similarities(load, "vec_id < 20", "true"), 10).where("score >= 0.3").select("query_id", "vec_id")
+def retrieve_min_score(load, spark, queries="vec_id < 20"):
+    return ranked(similarities(load, queries, "true"), 10).where("score >= 0.3").select("query_id", "vec_id")
 
 
 @query("retrieve_text_budget", f"SELECT query_id, rank, greatest(0, least(n_chars, 5000 - before)) AS taken, n_chars > 5000 - before AS truncated FROM (SELECT query_id, rank, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM {_rank_sql('q.vec_id < 5', 10)} JOIN documents ON doc_id = vec_id)")
-def retrieve_text_budget(load, spark):
-    hits = ranked(similarities(load, "vec_id < 5", "true"), 10).join(load("documents").select(F.col("doc_id").alias("vec_id"), "n_chars"), "vec_id")
+def retrieve_text_budget(load, spark, queries="vec_id < 5"):
+    hits = ranked(similarities(load, queries, "true"), 10).join(load("documents").select(F.col("doc_id").alias("vec_id"), "n_chars"), "vec_id")
     left = F.lit(5000) - F.coalesce(F.sum("n_chars").over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return hits.select("query_id", "rank", F.greatest(F.lit(0), F.least("n_chars", left)).alias("taken"), (F.col("n_chars") > left).alias("truncated"))
 
 
 @query("library_search", f"SELECT query_id, label AS document, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS r FROM {_rank_sql('q.vec_id < 5', 100000000)}) WHERE r = 1")
-def library_search(load, spark):
+def library_search(load, spark, queries="vec_id < 5"):
     at = W.partitionBy("query_id", "label").orderBy(F.desc("score"), "vec_id")
-    best = similarities(load, "vec_id < 5", "true").withColumn("r", F.row_number().over(at)).where("r = 1")
+    best = similarities(load, queries, "true").withColumn("r", F.row_number().over(at)).where("r = 1")
     return best.select("query_id", F.col("label").alias("document"), "vec_id", "score")
 
 
+def _every_hundredth(search):
+    """The same search for every vector whose id divides by 100, beside the few of the query itself."""
+    name, few = search.__name__, inspect.signature(search).parameters["queries"].default
+    sql = registry.ORACLES[name]
+    if f"q.{few}" not in sql:
+        raise ValueError(f"{name} does not state its queries")
+    query(f"{name}_hundredths", sql.replace(f"q.{few}", "q.vec_id % 100 = 0"))(lambda load, spark: search(load, spark, "vec_id % 100 = 0"))
+
+
+for _search in (vector_topk, hybrid_search, similarity_separation, hits_join_state, hits_resolve_text, retrieve_min_score, retrieve_text_budget, library_search):
+    _every_hundredth(_search)
+
+
 @query("collection_route", "SELECT label, 'c_' || substr(sha256('w1|schema|' || label), 1, 12) AS collection FROM embeddings GROUP BY label")
 def collection_route(load, spark):
     return load("embeddings").select("label").distinct().select("label", F.concat(F.lit("c_"), F.substring(F.sha2(F.concat_ws("|", F.lit("w1"), F.lit("schema"), F.col("label").cast("string")), 256), 1, 12)).alias("collection"))

@@ -49,8 +49,8 @@ def _opened(archives):
 
 @query("cold_search")
 def cold_search(load, spark):
-    q = load("embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # five rows
-    rows = _opened(_archived(load)).join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
+    q = load("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    rows = _opened(_archived(load)).join(q, F.col("vec_id") != F.col("query_id")).withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
     return ranked(rows, 5).select("query_id", "rank", "vec_id", "score")
 
 

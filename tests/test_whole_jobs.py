@@ -35,3 +35,10 @@ def test_first_key_of_more_than_fifty_key_lists(spark, tmp_path):
     got = {r["event_id"]: (r["value"], r["issue"]) for r in run(spark, tmp_path, "rule_nested_path", events=spark.createDataFrame(rows + odd, "event_id long, props string"))}
     assert all(got[i] == (f"v{i}", None) for i in range(300))
     assert [got[i][0] for i in range(300, 310)] == ["dot", '{"c":[1,2]}', "1.5", None, None, None, None, "empty", "true", "12345678901234567890123"]
+
+
+def test_searches_answer_every_hundredth_vector(spark, tmp_path):
+    vectors = spark.range(700).select(F.col("id").alias("vec_id"), F.array(*[F.sin(F.col("id") * k).cast("float") for k in (1, 2, 3, 5)]).alias("embedding"), (F.col("id") % 5).cast("int").alias("label"))
+    for i, name in enumerate(("cold_search", "vector_topk_hundredths", "library_search_hundredths")):
+        got = run(spark, tmp_path / str(i), name, embeddings=vectors)
+        assert {r["query_id"] for r in got} == {*range(0, 700, 100)}, name
