@@ -200,10 +200,21 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     _write_manifest(spark, path)
 
 
-def _part_roots(spark: SparkSession, path: str) -> DataFrame:
+def _checked_leaves(recipes: DataFrame) -> DataFrame:
+    """(part, start, n_tokens, leaf): the leaf anew from the chunk ids, empty where the recipe holds another."""
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anew = [name_of(b"".join(ids or [])) for ids in batch.column(4).to_pylist()]
+            leaves = [a if a == b else b"" for a, b in zip(anew, batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(leaves, pa.binary())], ["part", "start", "n_tokens", "leaf"])
+
+    return recipes.select("part", "start", "n_tokens", "leaf", "chunk_ids").mapInArrow(named, "part int, start long, n_tokens long, leaf binary")
+
+
+def _part_roots(recipes: DataFrame) -> DataFrame:
     """One row a part, of as many documents as one file holds."""
     leaves = F.transform(F.array_sort(F.collect_list(F.struct("start", "n_tokens", "leaf"))), lambda x: x["leaf"])
-    parts = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), leaves.alias("leaves"))
+    parts = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), leaves.alias("leaves"))
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,17 +224,17 @@ def _part_roots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _write_manifest(spark: SparkSession, path: str) -> None:
-    rows = sorted(_part_roots(spark, path).collect(), key=lambda r: r["part"])  # one row a file
+    rows = sorted(_part_roots(spark.read.parquet(f"{path}/recipes")).collect(), key=lambda r: r["part"])  # one row a file
     root = merkle_root([bytes(r["root"]) for r in rows])
     spark.createDataFrame([(*r, bytearray(root)) for r in rows], "part int, n_docs long, n_tokens long, root binary, store_root binary").coalesce(1).write.parquet(f"{path}/manifest")
 
 
 def verify_manifest(spark: SparkSession, path: str) -> bool:
-    """Whether the recipes as they lie there give the roots that the manifest holds."""
-    held = {r["part"]: (bytes(r["root"]), bytes(r["store_root"])) for r in spark.read.parquet(f"{path}/manifest").collect()}
-    found = {r["part"]: bytes(r["root"]) for r in _part_roots(spark, path).collect()}
-    root = merkle_root([found[k] for k in sorted(found)])
-    return held.keys() == found.keys() and all(held[k] == (found[k], root) for k in found)
+    """Whether the recipes as they lie there, named anew by their chunk ids, give the counts and roots that the manifest holds."""
+    held = {r["part"]: (r["n_docs"], r["n_tokens"], bytes(r["root"]), bytes(r["store_root"])) for r in spark.read.parquet(f"{path}/manifest").collect()}
+    found = {r["part"]: (r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in _part_roots(_checked_leaves(spark.read.parquet(f"{path}/recipes"))).collect()}
+    root = merkle_root([found[k][2] for k in sorted(found)])
+    return held.keys() == found.keys() and all(held[k] == (*found[k], root) for k in found)
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -252,7 +263,9 @@ def _entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """Reads the store back: each document's id, start, number of ids and their CRC-32."""
+    """Reads the store back, its recipes checked against the manifest first: each document's id, start, number of ids and their CRC-32."""
+    if not verify_manifest(spark, path):
+        raise ValueError("the recipes do not give the roots that the manifest holds")
     recipes = spark.read.parquet(f"{path}/recipes")
     found = _entries(spark, path).join(chunk_checksums(spark, path), "chunk_id", "left")
     lists = found.groupBy("start").agg(F.sum("n_ids").alias("n_read"), F.array_sort(F.collect_list(F.struct("at", "crc", "n_ids"))).alias("parts"))

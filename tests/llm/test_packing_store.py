@@ -95,3 +95,25 @@ def test_cuts_stay_within_bounds_and_follow_content():
     assert ends[-1] == len(ids) and sizes.max() <= store.MOST and sizes[:-1].min() >= store.LEAST
     moved = store.cuts(np.concatenate([ids[:50], ids[40:]]))
     assert len({len(ids) - e for e in ends} & {len(ids) + 10 - e for e in moved}) > len(ends) * 0.8
+
+
+@pytest.mark.parametrize("change", ["chunks", "leaf", "start"])
+def test_altered_recipes_are_refused(spark, docs, change):
+    path = new_path(spark, "store")
+    store.write_store(docs, path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    recipes = spark.read.parquet(f"{path}/recipes")
+    rows = [r.asDict() for r in recipes.collect()]
+    a, b = next((x, y) for x in rows for y in rows if x["n_tokens"] == y["n_tokens"] and x["leaf"] != y["leaf"])
+    if change == "start":
+        a["start"], b["start"] = b["start"], a["start"]
+    else:
+        a["chunk_ids"] = b["chunk_ids"]
+        a["leaf"] = b["leaf"] if change == "leaf" else a["leaf"]
+    altered = new_path(spark, "store")
+    for part in ("objects", "manifest"):
+        held = spark.read.parquet(f"{path}/{part}")
+        (held.write.partitionBy("kind") if part == "objects" else held.write).parquet(f"{altered}/{part}")
+    spark.createDataFrame(rows, recipes.schema).write.parquet(f"{altered}/recipes")
+    assert store.verify_manifest(spark, path) and not store.verify_manifest(spark, altered)
+    with pytest.raises(ValueError, match="manifest"):
+        store.read_checksums(spark, altered)
