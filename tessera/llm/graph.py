@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import erase, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node that each node of an edge reaches.
+    """(node, component): the smallest node that each node of an edge reaches; a written table.
 
     Every round gives a node the least label among its neighbours and itself,
     then that label's own label, so long paths shorten by half or better.
@@ -23,6 +23,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         stepped = labels.join(seen, "u").select("u", "label", F.least("label", "near").alias("step"))
         jump = labels.select(F.col("u").alias("step"), F.col("label").alias("far"))
         new = written(stepped.join(jump, "step", "left").select("u", F.least("step", F.coalesce("far", "step")).alias("label"), (F.least("step", F.coalesce("far", "step")) < F.col("label")).alias("moved")), "labels")
-        labels = new.select("u", "label")
+        erase(labels)
         if new.where("moved").isEmpty():
-            return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
+            erase(both)
+            return new.select(F.col("u").alias("node"), F.col("label").alias("component"))
+        labels = new

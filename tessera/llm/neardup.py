@@ -6,9 +6,17 @@ Documents of equal sets are one class; classes carry a signature of
 posted under the ``COORDINATES - matches + 1`` rarest of its keys by a sketch of
 key counts, which any two classes that agree in ``matches`` coordinates must
 share one of (prefix merging; the order by rarity keeps passages that many
-documents hold out of the prefixes). Pairs found there are counted over the
-remaining coordinates, first by one bit each, which lets most be skipped, then
-in full; those with ``matches`` agreements are confirmed on their full sets.
+documents hold out of the prefixes). Keys that only one class has are left out
+at once. Pairs found at a key are looked at in three steps, each of which lets
+most be skipped: by one bit of each coordinate and by the parities below, on
+the remaining coordinates in full, and those with ``matches`` agreements on
+their full sets.
+
+Parities: a class keeps, for each of ``BUCKETS`` buckets, whether it has an odd
+number of shingles there. Two sets differ in as many shingles at least as they
+have unlike buckets, so a pair with too many of them for its sizes is no link.
+This bound is exact; it parts the members of a large group of loose copies,
+whose signatures all agree in more than ``matches`` coordinates.
 
 No list yields all its pairs. In ``ROUNDS`` rounds every list has a leader, each
 member is confirmed against the one of its lists' leaders that agrees with it
@@ -21,6 +29,9 @@ looked at.
 ``matches`` and the bit filter follow from the similarity: a pair just at it
 fails either with a chance below ``MISS``, pairs above it with a smaller one.
 
+Tables between the steps are written to the shared folder and removed once
+their successors are there; a class's full set is fetched from its text once.
+
 Nulls: a null or wordless text has an empty set and links with nothing; rows
 with a null id are not linked; rows that repeat an id are judged by their own
 sets; an empty table gives no rows; other columns are ignored, or kept by
@@ -30,6 +41,7 @@ sets; an empty table gives no rows; other columns are ignored, or kept by
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from math import comb
 
@@ -39,15 +51,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import rolling
-from tessera.llm.common import slices, written
+from tessera.llm.common import erase, slices, written
 from tessera.llm.graph import components
 
-COORDINATES, ROUNDS, LEADERS = 64, 4, 4
+COORDINATES, ROUNDS, LEADERS, BUCKETS = 64, 2, 2, 512
 MISS = 1e-6  # chance with which a pair just at the threshold may fail the count, and the bit filter
 SLOTS = 1 << 18  # of the sketch of key counts
 MARKS = 1 << 26  # of the bitmap that tells which documents' sets are wanted
 LIST_BLOCK = 256
 _BATCH = 500_000
+_PAIR_BYTES = 4_000_000  # of sets compared at a time
 _RANDOM = np.random.default_rng(64)
 _XOR = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 _MULTIPLY = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,21 +101,30 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Of every set, one bit a bucket: whether an odd number of its shingles fall there; as 64-bit words."""
+    bucket = (rolling.mixed(np.concatenate(sets)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    odd = np.bincount(owner * BUCKETS + bucket, minlength=len(sets) * BUCKETS).reshape(-1, BUCKETS) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
+
+
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_key, n_shingles, set_key, signature, bits) of every row; no signature for empty sets."""
+    """(doc_id, text_key, n_shingles, set_key, signature, bits, parity) of every row; no signature for empty sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _BATCH):
             sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), width)
             full = [i for i, s in enumerate(sets) if len(s)]
-            keys, found, bits = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            keys, found, bits, parity = ([None] * len(sets) for _ in range(4))
             if full:
                 minima = signatures([sets[i] for i in full])
                 packed = np.packbits((minima & 1).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0]
-                for i, m, b in zip(full, minima, packed.tolist(), strict=True):
-                    keys[i], found[i], bits[i] = set_key(sets[i]), m.tobytes(), b
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.binary()), pa.array(bits, pa.int64())], ["doc_id", "text_key", "n_shingles", "set_key", "signature", "bits"])
+                for i, m, b, odd in zip(full, minima, packed.tolist(), parities([sets[i] for i in full]).tolist(), strict=True):
+                    keys[i], found[i], bits[i], parity[i] = set_key(sets[i]), m.tobytes(), b, odd
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes, pa.array(keys, pa.binary()), pa.array(found, pa.binary()), pa.array(bits, pa.int64()), pa.array(parity, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "set_key", "signature", "bits", "parity"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, signature binary, bits long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, signature binary, bits long, parity array<long>")
 
 
 def _keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,24 +151,31 @@ def key_counts(classes: DataFrame) -> np.ndarray:
 
 
 def prefixes(classes: DataFrame, counts: np.ndarray, matches: int) -> DataFrame:
-    """(node, bits, keys): each class with the rarest of its keys, rarest first, in an order that is the same for all."""
+    """(node, keys): each class with the rarest of its keys, rarest first, in an order that is the same for all."""
     prefix = COORDINATES - matches + 1
     shared = classes.sparkSession.sparkContext.broadcast(counts)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                keys, slots = _keys(part.column(2))
+                keys, slots = _keys(part.column(1))
                 rare = np.lexsort((keys, shared.value[slots]))[:, :prefix]
                 chosen = np.take_along_axis(keys, rare, 1).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, chosen.size + 1, prefix, dtype=np.int32)), pa.array(chosen.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["node", "bits", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "keys"])
 
-    return classes.select("node", "bits", "signature").mapInArrow(choose, "node long, bits long, keys array<long>")
+    return classes.select("node", "signature").mapInArrow(choose, "node long, keys array<long>")
 
 
-def _near(a: str, b: str, apart: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= apart
+def _near(x: str, y: str, apart: int, percent: int) -> Column:
+    """Whether the classes ``sketch_x`` and ``sketch_y`` may be a link, by bits, sizes and parities."""
+    p, q = F.col(f"sketch_{x}"), F.col(f"sketch_{y}")
+    both = p["n"] + q["n"]
+    unlike = F.abs(p["n"] - q["n"])
+    odd = sum((F.bit_count(p[f"p{i}"].bitwiseXOR(q[f"p{i}"])) for i in range(1, BUCKETS // 64)), F.bit_count(p["p0"].bitwiseXOR(q["p0"])))
+    # sets that differ in d shingles have (both - d) / 2 in common and (both + d) / 2 in all
+    links = [(100 + percent) * d <= (100 - percent) * both for d in (unlike, odd)]
+    return links[0] & (F.bit_count(p["bits"].bitwiseXOR(q["bits"])) <= apart) & links[1]
 
 
 def counted(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
@@ -164,50 +193,90 @@ def counted(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, matches int")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach ``percent`` of their union in common."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "set_key", "rep"), "node")
-    wanted = written(wanted, "wanted")
-    place = F.xxhash64("rep").bitwiseAND(F.lit(MARKS - 1))
-    words = wanted.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(xxhash64(rep) & 63 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # MARKS / 64 rows at most
-    marks = np.zeros(MARKS // 64, np.int64)
-    marks[words["word"].to_numpy()] = words["mask"].to_numpy()
-    shared = spark.sparkContext.broadcast(marks)
+def _bytes_at(column: pa.Array) -> list[memoryview]:
+    """The values of a binary column without a copy."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = memoryview(column.buffers()[2] or b"")
+    return [data[i:j] for i, j in zip(ends, ends[1:])]
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy() & (MARKS - 1)
-            here = shared.value[at >> 6] >> (at & 63) & 1
-            for part in slices(iter([batch.filter(pa.array(here == 1))]), "text", _BATCH):
-                sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "members"])
 
-    sets = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("place")).mapInArrow(sets_of, "set_key binary, members binary")
-    sets = written(wanted.select("node", "set_key").join(sets, "set_key").select("node", "members").dropDuplicates(["node"]), "sets")
-    both = pairs.select("a", "b").join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a")
+def fetched(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, members): the full sets of classes (node, set_key, rep), from their texts in one pass over the documents.
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                n = (len(x) + len(y)) // 8
-                every = np.sort(np.frombuffer(x + y, np.uint64), kind="stable")
-                common = int((every[1:] == every[:-1]).sum())
-                keep.append(100 * common >= percent * (n - common))
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+    A bitmap by the hash of the id, MARKS / 64 words at most whatever the number of
+    documents, keeps the other texts from leaving the scan; what it lets through
+    is told apart by the set's key.
+    """
+    place = F.xxhash64("rep").bitwiseAND(F.lit(MARKS - 1))
+    words = wanted.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(xxhash64(rep) & 63 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    placed = docs.where("doc_id is not null").select("text", F.xxhash64("doc_id").bitwiseAND(F.lit(MARKS - 1)).alias("place"))
+    marked = F.expr("shiftrightunsigned(mask, cast(place & 63 as int)) & 1 = 1")
+    here = placed.join(F.broadcast(words), (F.shiftright("place", 6) == F.col("word")) & marked).select("text")
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", _BATCH):
+            sets = shingle_sets(part.column(0).cast(pa.binary()).to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "members"])
+
+    sets = here.mapInArrow(sets_of, "set_key binary, members binary")
+    return written(wanted.select("node", "set_key").join(sets, "set_key").select("node", "members").dropDuplicates(["node"]), "sets")
+
+
+class Confirming:
+    """Compares pairs of classes on their full sets, each of which it fetches once."""
+
+    def __init__(self, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> None:
+        self.classes, self.docs, self.width, self.percent = classes, docs, width, percent
+        self.sets: list[DataFrame] = []
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets reach ``percent`` of their union in common."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        for known in self.sets:
+            nodes = nodes.join(known.select("node"), "node", "left_anti")
+        wanted = written(nodes.join(self.classes.select("node", "set_key", "rep"), "node"), "wanted")
+        if not self.sets or not wanted.isEmpty():
+            self.sets.append(fetched(wanted, self.docs, self.width))
+        erase(wanted)
+        sets = self.sets[0]
+        for more in self.sets[1:]:
+            sets = sets.unionByName(more)
+        both = pairs.select("a", "b").join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a")
+        percent = self.percent
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (part for whole in slices(batches, "of_a", _PAIR_BYTES) for part in slices(iter([whole]), "of_b", _PAIR_BYTES)):
+                keep = []
+                for x, y in zip(_bytes_at(batch.column(2)), _bytes_at(batch.column(3)), strict=True):
+                    every = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
+                    common = int((every[1:] == every[:-1]).sum())
+                    keep.append(100 * common >= percent * (len(every) - common))
+                yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+        return written(both.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long"), "links")
+
+
+def shared_postings(prefixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, place, node, sketch) of the keys that more than one class is posted under."""
+    posted = prefixed.select("node", F.posexplode("keys").alias("place", "key"))
+    shared = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    sketch = F.struct(F.col("n_shingles").alias("n"), "bits", *(F.col("parity")[i].alias(f"p{i}") for i in range(BUCKETS // 64))).alias("sketch")
+    kept = written(posted.join(shared, "key"), "shared")
+    out = written(kept.join(classes.select("node", sketch), "node").select("key", "place", "node", "sketch"), "postings")
+    erase(kept)
+    return out
 
 
-def _led(posted: DataFrame, of: DataFrame | None, turn: int, apart: int) -> DataFrame:
+def _led(posted: DataFrame, of: DataFrame | None, turn: int, apart: int, percent: int) -> DataFrame:
     """Pairs of members with leaders of other components: every list has a leader of its own in every turn, and each
     member keeps the ``LEADERS`` of its lists' leaders that it is nearest to by its bits."""
     here = _placed(posted, of)
-    lead = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("bits").alias("bits_a")))
-    lists = here.groupBy("key").agg(lead.alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "lead.a", "lead.of_a", "lead.bits_a")
-    met = here.join(lists, "key").where((F.col("component") != F.col("of_a")) & _near("bits", "bits_a", apart))
-    best = F.slice(F.sort_array(F.collect_set(F.struct(F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_a"))).alias("d"), F.col("a").alias("a")))), 1, LEADERS)
+    lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("sketch").alias("sketch_a")))
+    lists = here.groupBy("key").agg(lead.alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "lead.a", "lead.of_a", "lead.sketch_a")
+    lists = written(lists, "leaders")  # a table of its own, so that the join's long lists can be split at run time
+    met = here.withColumnRenamed("sketch", "sketch_b").join(lists, "key").where((F.col("component") != F.col("of_a")) & _near("a", "b", apart, percent))
+    closest = F.bit_count(F.col("sketch_a.bits").bitwiseXOR(F.col("sketch_b.bits")))
+    best = F.slice(F.sort_array(F.collect_set(F.struct(closest.alias("d"), F.col("a").alias("a")))), 1, LEADERS)
     return met.groupBy(F.col("node").alias("b")).agg(best.alias("best")).select(F.explode("best.a").alias("a"), "b")
 
 
@@ -217,17 +286,19 @@ def _placed(posted: DataFrame, of: DataFrame | None) -> DataFrame:
     return posted.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _across(prefixed: DataFrame, of: DataFrame, apart: int) -> DataFrame:
+def _across(posted: DataFrame, prefixed: DataFrame, of: DataFrame, apart: int, percent: int) -> DataFrame:
     """All pairs across components that share a key, each at the first key that both have; lists dealt out in blocks of about ``LIST_BLOCK``."""
-    here = _placed(prefixed.select("node", "bits", "keys", F.posexplode("keys").alias("place", "key")), of)
+    here = _placed(posted, of)
     lists = here.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    lists = lists.select("key", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks"))
+    lists = written(lists.select("key", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks")), "lists")
     earlier = F.slice("keys", 1, F.col("place"))
-    rows = written(here.join(lists, "key").select("key", "node", "component", "bits", "blocks", earlier.alias("before"), F.pmod(F.xxhash64(F.col("node") + 99), F.col("blocks")).cast("int").alias("block")), "lists")
-    left = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("bits").alias("bits_a"), F.col("before").alias("before_a"))
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("bits").alias("bits_b"), F.col("before").alias("before_b"))
+    alive = here.join(lists, "key").join(prefixed, "node")
+    rows = written(alive.select("key", "node", "component", "sketch", "blocks", earlier.alias("before"), F.pmod(F.xxhash64(F.col("node") + 99), F.col("blocks")).cast("int").alias("block")), "blocks")
+    left = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("sketch").alias("sketch_a"), F.col("before").alias("before_a"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("sketch").alias("sketch_b"), F.col("before").alias("before_b"))
     first = ~F.arrays_overlap("before_a", "before_b")
-    met = left.join(right, ["key", "i", "j"]).where((F.col("of_a") != F.col("of_b")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & _near("bits_a", "bits_b", apart) & first)
+    apart_here = (F.col("of_a") != F.col("of_b")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
+    met = left.join(right, ["key", "i", "j"]).where(apart_here & _near("a", "b", apart, percent) & first)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -238,7 +309,9 @@ def _merged(of: DataFrame | None, links: DataFrame) -> DataFrame:
     a = links.join(of.toDF("a", "of_a"), "a", "left").join(of.toDF("b", "of_b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b")
     new = components(a)
     old = of.join(new.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return written(old.unionByName(new.join(old.select("node"), "node", "left_anti")), "components")
+    out = written(old.unionByName(new.join(old.select("node"), "node", "left_anti")), "components")
+    erase(of)
+    return out
 
 
 def linked(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -246,18 +319,23 @@ def linked(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "do
     matches, apart = thresholds(percent)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = written(sketched(source, width), "sketches")
-    grouped = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bits").alias("bits"))
+    sketch = [F.first(c).alias(c) for c in ("signature", "bits", "parity", "n_shingles")]
+    grouped = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), *sketch)
     classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
     prefixed = written(prefixes(classes, key_counts(classes), matches), "prefixes")
-    posted = prefixed.select("node", "bits", F.explode("keys").alias("key"))
+    posted = shared_postings(prefixed, classes)
+    confirming = Confirming(classes, source, width, percent)
     of = None
     for turn in range(rounds + 1):
-        pairs = _led(posted, of, turn, apart) if turn < rounds else _across(prefixed, of, apart)
+        pairs = _led(posted, of, turn, apart, percent) if turn < rounds else _across(posted, prefixed, of, apart, percent)
         found = counted(pairs, classes, matches)
         if turn < rounds:  # the best leader of each; what it may miss comes in the last round
             found = found.groupBy("b").agg(F.max_by("a", F.struct("matches", F.col("a"))).alias("a"))
-        links = written(confirmed(written(found.select("a", "b"), "pairs"), classes, source, width, percent), "links")
+        found = written(found.select("a", "b"), "pairs")
+        links = confirming.links(found)
         of = _merged(of, links)
+        erase(found, links)
+    erase(prefixed, posted, *confirming.sets)
     placed = classes.select("node", "set_key", "rep").join(of, "node", "left").select("set_key", "rep", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = placed.join(least, "component").select("set_key", "component_id")
@@ -268,6 +346,7 @@ def linked(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "do
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that their groups keep, with their own columns. Rows of one id and text go or stay together."""
-    dropped = linked(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_dropped_"), F.col("text_key").alias("_key_")).distinct()
-    same = (docs["doc_id"].cast("long") == F.col("_dropped_")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_key_"))
+    gone, key = (f"{name}_{uuid.uuid4().hex}" for name in ("dropped", "key"))  # names that no column of the input has
+    dropped = linked(docs, width, percent).where("not kept").select(F.col("doc_id").alias(gone), F.col("text_key").alias(key)).distinct()
+    same = (docs["doc_id"].cast("long") == F.col(gone)) & (F.xxhash64(docs["text"].cast("string")) == F.col(key))
     return docs.join(dropped, same, "left_anti")

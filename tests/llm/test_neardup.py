@@ -4,6 +4,8 @@ import random
 import re
 from math import comb
 
+import numpy as np
+
 from tessera.llm import graph, neardup, queries
 
 SF = "/root/testdata/sf0.01"
@@ -61,6 +63,28 @@ def test_small_families_equal_brute_force(spark):
     assert sorted(map(tuple, neardup.representatives(twice, 3, 85).collect())) == [(1, "a b c d"), (2, "something else here")]
 
 
+def test_parities_bound_the_difference_from_below():
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 40, 900)]
+    sets += [np.unique(np.concatenate([s[: len(s) - k], draw.integers(0, 1 << 63, k, dtype=np.uint64)])) for s in sets for k in (0, 1, len(s) // 5)]
+    words = neardup.parities(sets)
+    for x, p in zip(sets, words, strict=True):
+        for y, q in zip(sets, words, strict=True):
+            unlike = sum(int(w).bit_count() for w in (p ^ q).view(np.uint64))
+            assert unlike <= len(np.setxor1d(x, y)) and (len(x) != 40 or len(y) != 40 or unlike >= 0.8 * len(np.setxor1d(x, y)))
+
+
+def test_names_that_clash_and_a_large_group_of_loose_copies(spark):
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(w if draw.random() > i / 6000 else f"x{draw.randint(0, 10**6)}" for w in base), 1, 2, 3) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _dropped_ int, _key_ int, node int")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.linked(docs).collect()), key=str)
+    assert got == brute([r[:2] for r in rows], 3, 85) and 50 < sum(c == 0 for _, _, c in got) < 650
+    kept = neardup.representatives(docs, 3, 85)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in got})
+
+
 def test_whole_table_equals_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in queries.op2_near_duplicates(spark, SF).collect()), key=str)
