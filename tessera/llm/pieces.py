@@ -5,7 +5,11 @@ the piece's score, and for every character without a piece of its own one edge
 of its bytes' ids (``BYTE_PENALTY`` below the least ordinary score). A forward
 Viterbi pass gives the best score of reaching each position; backward A* from
 the end takes these as its heuristic, which is exact, so segmentations leave the
-queue in the order of their scores.
+queue in the order of their scores. Since every entry of the queue ends in a
+segmentation of just its own score, the queue keeps no more entries than are
+still to be found, and an entry is followed to the start along its best edges:
+N walks give the N best, however many segmentations tie. All words that a batch
+of texts brings anew are searched side by side, as arrays.
 
 Between two characters that stand next to each other in no piece every
 segmentation has a boundary. Words are cut there, the parts' N-best lists are
@@ -19,14 +23,15 @@ but for U+2581 itself, which becomes a space.
 
 Nulls: a null text has no pieces, as an empty one; null ids and repeated rows
 are kept; an empty table gives no rows; other columns are ignored. Of equal
-scores the one whose last pieces are longer comes first.
+scores the one that departs from a better one nearer the start comes first, and
+at one place the longer piece.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,117 +40,238 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices
-from tessera.llm.tokens import _Words
+from tessera.llm.tokens import CACHE_LENGTH, _Words
 
 NBEST = 2
 BYTE_PENALTY = 10.0
 SPACE = "▁"
-_END = ""
+#: Cells of the path arrays of units that are searched together.
+_CELLS = 1 << 21
 #: (ids as bytes, score, gaps), gaps being (score below the best, ids) of the other segmentations, in order.
 Found = tuple[bytes, float, tuple]
 
 
+def split_words(text: str) -> list[str]:
+    """Words at single spaces; further spaces go before the word that follows them."""
+    if "  " in text or text[:1] == " " or text[-1:] == " ":
+        return [w[1:] for w in re.findall(" +[^ ]*", " " + text)]
+    return text.split(" ") if text else []
+
+
+class Trie:
+    """Pieces by their characters. Nodes are numbers, 0 the root; a step looks up node and character together."""
+
+    def __init__(self, pieces: list[tuple[str, int, float]]) -> None:
+        """``pieces``: (text, id, score)."""
+        chars = {c: k for k, c in enumerate(sorted({c for text, _, _ in pieces for c in text}), 1)}
+        self.kinds = len(chars) + 1
+        self.kind = np.zeros(0x110000, np.int64)  # 0: in no piece
+        self.kind[[ord(c) for c in chars]] = [*chars.values()]
+        steps: dict[int, int] = {}
+        ends: dict[int, tuple[int, float]] = {}
+        for text, i, score in pieces:
+            node = 0
+            for c in text:
+                node = steps.setdefault(node * self.kinds + chars[c], len(steps) + 1)
+            ends[node] = (i, score)
+        at = sorted(steps)
+        self.keys, self.nodes = np.array(at, np.int64), np.array([steps[k] for k in at], np.int64)
+        self.piece, self.score = np.full(len(steps) + 1, -1, np.int64), np.zeros(len(steps) + 1)
+        self.piece[[*ends]], self.score[[*ends]] = [i for i, _ in ends.values()], [x for _, x in ends.values()]
+
+    def step(self, node: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The next nodes, -1 where there is none."""
+        key = node * self.kinds + kind
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (kind > 0), self.nodes[at], -1)
+
+
 class Lattice:
     """The pieces of a model as a trie, and N-best search over them."""
 
     def __init__(self, pieces: list[tuple[str, float, str]], nbest: int = NBEST) -> None:
         """``pieces``: (text, score, kind) by id; kind is "piece", "byte" or "other"."""
-        self.nbest, self.trie, self.byte_ids, self.pairs = nbest, {}, {}, set()
-        self.spelled: list[bytes] = []
-        least = 0.0
-        for i, (text, score, kind) in enumerate(pieces):
-            self.spelled.append(text.encode() if kind == "piece" else bytes([int(text[1:-1], 16)]) if kind == "byte" else b"")
-            if kind == "byte":
-                self.byte_ids[int(text[1:-1], 16)] = i
-            elif kind == "piece":
-                node = self.trie
-                for c in text:
-                    node = node.setdefault(c, {})
-                node[_END] = (i, score)
-                least = min(least, score) if score > -1e8 else least
-                self.pairs.update(map("".join, zip(text, text[1:])))
-        self.byte_score = least - BYTE_PENALTY
-        self.parts, self.words = _Words(self._search), _Words(self._word)
-
-    def _search(self, unit: str) -> Found:
-        n, trie, byte_score = len(unit), self.trie, self.byte_score
-        best: list[float] = [0.0] + [-1e300] * n
-        into: list[list] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            reach = best[i]
-            node = trie.get(unit[i])
-            if node is None or _END not in node:  # no piece of its own
-                ids = [self.byte_ids[b] for b in unit[i].encode()]
-                score = byte_score * len(ids)
-                into[i + 1].append((i, ids, score))
-                if reach + score > best[i + 1]:
-                    best[i + 1] = reach + score
-            j = i
-            while node is not None:
+        self.nbest = nbest
+        self.spelled = [text.encode() if kind == "piece" else bytes([int(text[1:-1], 16)]) if kind == "byte" else b"" for text, _, kind in pieces]
+        self.byte_ids = {int(text[1:-1], 16): i for i, (text, _, kind) in enumerate(pieces) if kind == "byte"}
+        whole = [(text, i, score) for i, (text, score, kind) in enumerate(pieces) if kind == "piece"]
+        self.pairs = {x + y for text, _, _ in whole for x, y in zip(text, text[1:])}
+        self.byte_score = min((score for _, _, score in whole if score > -1e8), default=0.0) - BYTE_PENALTY
+        self.trie = Trie(whole)
+        self.parts, self.words = _Words(lambda unit: self.search([unit])[0]), _Words(self._word)
+
+    def search(self, units: list[str]) -> list[Found]:
+        """N-best lists of units of one character at least."""
+        order = sorted(range(len(units)), key=lambda i: len(units[i]))
+        found: list = [None] * len(units)
+        i = 0
+        while i < len(order):  # units of about one length together
+            j = i + 1
+            while j < len(order) and (j + 1 - i) * len(units[order[j]]) <= _CELLS:
                 j += 1
-                if (end := node.get(_END)) is not None:
-                    score = end[1]
-                    into[j].append((i, end[0], score))
-                    if reach + score > best[j]:
-                        best[j] = reach + score
-                node = node.get(unit[j]) if j < n else None
-        queue = [(-best[n], 0, n, 0.0, None)]
-        found, count = [], 0
-        while queue and len(found) < self.nbest:
-            f, _, at, after, link = heapq.heappop(queue)
-            while at and len(into[at]) == 1:  # nothing to choose
-                i, piece, score = into[at][0]
-                at, after, link = i, after + score, (piece, link)
-            if not at:
-                ids = array("I")
-                while link is not None:
-                    piece, link = link
-                    if isinstance(piece, int):
-                        ids.append(piece)
-                    else:
-                        ids.extend(piece)
-                found.append((after, ids.tobytes()))
-                continue
-            for i, piece, score in into[at]:
-                count += 1
-                heapq.heappush(queue, (-(after + score + best[i]), count, i, after + score, (piece, link)))
-        top, ids = found[0]
-        return ids, top, tuple((top - s, x) for s, x in found[1:])
+            for k, x in zip(order[i:j], self._searched([units[k] for k in order[i:j]]), strict=True):
+                found[k] = x
+            i = j
+        return found
 
-    def _word(self, word: str) -> Found:
-        """N-best list of a word with the space before it."""
+    def _edges(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """Positions are numbered through all units, n + 1 for n characters. Edges by their end, longer ones first:
+        (from, to, id, score), -1 for the id of a character as its bytes; and the characters' codes."""
+        lengths = np.array([len(u) for u in units])
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        unit = np.repeat(np.arange(len(units)), lengths)
+        at = np.arange(len(codes)) + unit  # the position before each character
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # characters to the end of the unit
+        kinds = self.trie.kind[codes]
+        here = np.arange(len(codes))
+        node = self.trie.step(np.zeros(len(codes), np.int64), kinds)
+        own = np.where(node >= 0, self.trie.piece[node], -1)
+        bare = np.flatnonzero(own < 0)
+        bytes_of = 1 + (codes[bare] > 0x7F) + (codes[bare] > 0x7FF) + (codes[bare] > 0xFFFF)
+        parts = [(at[bare], at[bare] + 1, np.full(len(bare), -1), self.byte_score * bytes_of)]
+        depth = 1
+        while True:
+            alive = node >= 0
+            here, node = here[alive], node[alive]
+            if not len(here):
+                break
+            ends = self.trie.piece[node] >= 0
+            parts.append((at[here[ends]], at[here[ends]] + depth, self.trie.piece[node[ends]], self.trie.score[node[ends]]))
+            more = left[here] > depth
+            here, node = here[more], node[more]
+            node = self.trie.step(node, kinds[here + depth])
+            depth += 1
+        start, end, piece, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.lexsort((start, end))
+        return start[by], end[by], piece[by], score[by], codes
+
+    def _searched(self, units: list[str]) -> list[Found]:
+        n = len(units)
+        lengths = np.array([len(u) for u in units])
+        first = np.concatenate([[0], np.cumsum(lengths + 1)])  # each unit's first position, its last being before the next's
+        start, end, piece, score, codes = self._edges(units)
+        edge_of = np.searchsorted(end, np.arange(first[-1] + 1))  # the edges into each position
+        # forward: the best score of reaching each position, and the edge that does
+        best, back = np.zeros(first[-1]), np.full(first[-1], -1)
+        for k in range(1, int(lengths.max()) + 1):
+            to = first[:-1][lengths >= k] + k
+            count = edge_of[to + 1] - edge_of[to]
+            group = np.concatenate([[0], np.cumsum(count)])
+            edges = np.arange(group[-1]) + np.repeat(edge_of[to] - group[:-1], count)
+            reached = best[start[edges]] + score[edges]
+            top = np.maximum.reduceat(reached, group[:-1])
+            best[to] = top
+            back[to] = np.minimum.reduceat(np.where(reached == np.repeat(top, count), edges, len(start)), group[:-1])
+        # backward: entries of the queue are (unit, -f, steps from the end, edge, score after it, walk it departs from)
+        found: list[list[tuple[float, bytes]]] = [[] for _ in units]
+        paths: list[np.ndarray] = []
+        queue = tuple(np.zeros(0, t) for t in (np.int64, float, np.int64, np.int64, float, np.int64))
+        unit, at, after, depth = np.arange(n), first[1:] - 1, np.zeros(n), np.zeros(n, np.int64)
+        path = np.zeros((n, int(lengths.max())), np.int64)
+        while len(unit):
+            wanted, met = self.nbest - len(paths) - 1, [queue]
+            steps, total = np.zeros(n, np.int64), np.zeros(n)
+            while len(unit):
+                ended = at == first[unit]
+                steps[unit[ended]], total[unit[ended]] = depth[ended], after[ended]
+                unit, at, after, depth = (x[~ended] for x in (unit, at, after, depth))
+                edge = back[at]
+                if wanted and len(unit):
+                    count = edge_of[at + 1] - edge_of[at]
+                    group = np.concatenate([[0], np.cumsum(count)])
+                    other = np.arange(group[-1]) + np.repeat(edge_of[at] - group[:-1], count)
+                    owner = np.repeat(np.arange(len(unit)), count)
+                    apart = other != edge[owner]
+                    other, owner = other[apart], owner[apart]
+                    behind = after[owner] + score[other]
+                    met.append((unit[owner], -(behind + best[start[other]]), depth[owner], other, behind, np.full(len(other), len(paths))))
+                path[unit, depth] = edge
+                at, after, depth = start[edge], after + score[edge], depth + 1
+            paths.append(path)
+            for u, x in self._spelt(path, steps, start, piece, codes):
+                found[u].append((float(total[u]), x))
+            if not wanted:
+                break
+            queue = tuple(np.concatenate(x) for x in zip(*met, strict=True))
+            by = np.lexsort((start[queue[3]], -queue[2], queue[1], queue[0]))
+            queue = tuple(x[by] for x in queue)
+            place = np.arange(len(by)) - np.searchsorted(queue[0], queue[0])  # within the unit
+            unit, _, depth, edge, after, parent = (x[place == 0] for x in queue)
+            queue = tuple(x[(place > 0) & (place < wanted)] for x in queue)
+            path = np.zeros_like(path)
+            for w, earlier in enumerate(paths):
+                path[unit[parent == w]] = earlier[unit[parent == w]]
+            path[unit, depth] = edge
+            at, depth = start[edge], depth + 1
+        return [(x[0][1], x[0][0], tuple([(x[0][0] - score_of, ids) for score_of, ids in x[1:]])) for x in found]
+
+    def _spelt(self, path: np.ndarray, steps: np.ndarray, start: np.ndarray, piece: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(unit, ids) of each unit that took steps, whose path runs from the end to the start."""
+        unit, step = np.nonzero(np.arange(path.shape[1]) < steps[:, None])
+        edges = path[unit, steps[unit] - 1 - step]
+        ids = piece[edges]
+        bare = np.flatnonzero(ids < 0)
+        as_bytes = [chr(codes[start[e] - u]).encode() for e, u in zip(edges[bare].tolist(), unit[bare].tolist(), strict=True)]
+        count = np.ones(len(ids), np.int64)
+        count[bare] = [len(x) for x in as_bytes]
+        ids = np.repeat(ids, count)
+        ids[ids < 0] = [self.byte_ids[b] for x in as_bytes for b in x]
+        ends = np.cumsum(np.bincount(unit, weights=count, minlength=len(steps)).astype(np.int64)) * 4
+        data, last = ids.astype("<u4").tobytes(), 0
+        for u, (n, to) in enumerate(zip(steps.tolist(), ends.tolist(), strict=True)):
+            if n:
+                yield u, data[last:to]
+            last = to
+
+    def _units(self, word: str) -> list[str]:
+        """A word with the space before it, cut between characters that stand together in no piece."""
         unit = SPACE + word.replace(" ", SPACE)
-        if word.isalpha():
-            return self._search(unit)
+        if word.isalpha() and word.isascii():
+            return [unit]
         pairs, cut, last = self.pairs, [], 0
         for k in range(1, len(unit)):
             if unit[k - 1 : k + 1] not in pairs:
                 cut.append(unit[last:k])
                 last = k
         cut.append(unit[last:])
-        ids, score, gaps = self.joined([self.parts[p] for p in cut])
-        return ids, score, tuple(gaps)
+        return cut
+
+    def _word(self, word: str) -> Found:
+        """N-best list of a word."""
+        return self.joined([self.parts[p] for p in self._units(word)])
+
+    def learn(self, texts: list[str]) -> None:
+        """Searches all new units of the texts' words side by side, and keeps the words' N-best lists."""
+        known, older, parts = self.words, self.words.older, self.parts
+        new = {w for text in texts for w in split_words(text) if w not in known and w not in older and len(w) <= CACHE_LENGTH}
+        cut = {w: self._units(w) for w in new}
+        units = [u for u in {u for of_word in cut.values() for u in of_word} if u not in parts and u not in parts.older]
+        for unit, found in zip(units, self.search(units), strict=True):
+            parts.keep(unit, found)
+        for word, of_word in cut.items():
+            known.keep(word, self.joined([parts[u] for u in of_word]))
 
     def joined(self, units: list[Found]) -> Found:
         """N-best list of the concatenation."""
+        if len(units) == 1:
+            return units[0]
         ids = [u[0] for u in units]
         k = self.nbest - 1
-        near = heapq.nsmallest(k, [(u[2][0][0], i) for i, u in enumerate(units) if u[2]]) if k else []
+        near = [(u[2][0][0], i) for i, u in enumerate(units) if u[2]]
+        if k == 1 and near:
+            gap, i = min(near)
+            second = b"".join([*ids[:i], units[i][2][0][1], *ids[i + 1 :]])
+            return b"".join(ids), sum([u[1] for u in units]), ((gap, second),)
+        near = heapq.nsmallest(k, near)
         top: list[tuple[float, dict[int, bytes]]] = [(0.0, {})]
         for _, i in near:
             more = [(gap + other, changed | {i: x}) for gap, changed in top for other, x in units[i][2]]
             top = heapq.nsmallest(self.nbest, top + more, key=lambda t: t[0])
-        gaps = tuple((gap, b"".join([changed.get(i, x) for i, x in enumerate(ids)])) for gap, changed in top[1:])
+        gaps = tuple([(gap, b"".join([changed.get(i, x) for i, x in enumerate(ids)])) for gap, changed in top[1:]])
         return b"".join(ids), sum([u[1] for u in units]), gaps
 
     def encode(self, text: str) -> Found:
-        if not text:
-            return b"", 0.0, ()
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            words = [w[1:] for w in re.findall(" +[^ ]*", " " + text)]
-        else:
-            words = text.split(" ")
-        return self.joined([*map(self.words.__getitem__, words)])
+        return self.joined([*map(self.words.__getitem__, split_words(text))]) if text else (b"", 0.0, ())
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids; bytes that are no UTF-8 become replacement characters."""
@@ -177,8 +303,11 @@ def encode(docs: DataFrame, model: str, nbest: int = NBEST, id_col: str = "doc_i
         search = lattice(model, nbest)
         for batch in slices(batches, "text", 500_000):
             lists, texts = [], []
-            for text in batch.column(1).to_pylist():
-                ids, score, gaps = search.encode(text or "")
+            whole = [text or "" for text in batch.column(1).to_pylist()]
+            search.learn(whole)
+            gc.freeze()  # what is remembered holds no cycles
+            for text in whole:
+                ids, score, gaps = search.encode(text)
                 lists.append([{"score": score, "ids": ids}, *({"score": score - g, "ids": x} for g, x in gaps)])
                 texts.append(search.decode(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, kind), pa.array(texts, pa.string())], ["doc_id", "nbest", "decoded"])

@@ -18,6 +18,8 @@ import regex
 
 #: Words remembered by a worker in each of two generations; the older one goes when the newer is full.
 CACHE_WORDS = 300_000
+#: Longer words are not remembered, so that their number bounds the memory.
+CACHE_LENGTH = 64
 
 _PLAIN = re.compile("[!-~¡-¬®-įı-ɏ]+").fullmatch
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
@@ -41,14 +43,19 @@ class _Words(dict):
         self.make, self.older = make, {}
 
     def __missing__(self, word):
+        if len(word) > CACHE_LENGTH:
+            return self.make(word)
         out = self.older.get(word)
         if out is None:
             out = self.make(word)
+        self.keep(word, out)
+        return out
+
+    def keep(self, word, out) -> None:
         if len(self) >= CACHE_WORDS:
             self.older = dict(self)
             self.clear()
         self[word] = out
-        return out
 
 
 class Encoder:
