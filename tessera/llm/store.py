@@ -4,11 +4,14 @@ A rolling hash over the last ``WINDOW`` ids cuts each document's ids into
 chunks, so an insertion moves only the cuts near it. A chunk is named by the
 BLAKE2b digest of its ids and stored once, however many documents hold it. A
 document is a recipe: the names of its chunks in order. Recipes lie in files in
-ascending order of their ids; each file has the Merkle root of its recipes in
-the manifest, whose own root stands for the whole store.
+ascending order of their ids, ``PART_DOCS`` or so in each at most. A recipe's
+leaf is the name of all it holds: id, start, count and chunk names; each file
+has the Merkle root of its leaves in the manifest, whose own root stands for the
+whole store. Reading makes the leaves anew from the recipes and refuses a store
+whose roots differ.
 
 Layout under the store's path: ``objects/kind=chunk`` (chunk_id, payload),
-``recipes`` (doc_id, start, n_tokens, chunk_ids, leaf, part) and ``manifest``
+``recipes`` (doc_id, start, n_tokens, chunk_ids, part) and ``manifest``
 (part, n_docs, n_tokens, root, store_root).
 
 Scale: one shuffle moves each task's distinct chunks by their names; all else
@@ -40,6 +43,8 @@ from tessera.llm.tokens import encoder
 WINDOW, LEAST, MOST, MASK = 16, 128, 2048, 511
 #: Names a task remembers to send a chunk once; more only cost repeated rows, which the store drops.
 SEEN = 200_000
+#: Documents in a file of recipes, about; a file's leaves of 16 bytes meet in one row.
+PART_DOCS = 100_000
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 1 << 16, dtype=np.uint64).astype(np.uint32)
 
 
@@ -185,7 +190,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     objects = spark.read.schema(f"name binary, payload binary, doc_id {id_type}, n_tokens long, chunk_ids array<binary>, kind string").parquet(f"{path}/objects")
     recipes = objects.where("kind = 'recipe'").select("doc_id", F.col("name").alias("leaf"), "n_tokens", "chunk_ids", F.monotonically_increasing_id().alias("row"))
     by = ["doc_id", "leaf", "row"]
-    n_parts = max(1, shuffle_partitions(spark) // 4)
+    n_parts = max(1, shuffle_partitions(spark) // 4, -(-recipes.count() // PART_DOCS))
     ordered = written(recipes.repartitionByRange(n_parts, *by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()), "recipes")
     sums = ordered.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))  # one row a part: as many as there are files
     before = {r["part"]: r["part_tokens"] for r in sums.collect()}
@@ -196,25 +201,21 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     base = spark.createDataFrame(offsets, "part int, base long")
     running = F.sum("n_tokens").over(W.partitionBy("part").orderBy(*by).rowsBetween(W.unboundedPreceding, -1))
     placed = ordered.withColumn("inner", F.coalesce(running, F.lit(0))).join(F.broadcast(base), "part")
-    placed.select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "chunk_ids", "leaf", "part").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    placed.select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "chunk_ids", "part").write.option("compression", "zstd").parquet(f"{path}/recipes")
     _write_manifest(spark, path)
 
 
-def _checked_leaves(recipes: DataFrame) -> DataFrame:
-    """(part, start, n_tokens, leaf): the leaf anew from the chunk ids, empty where the recipe holds another."""
+def _part_roots(recipes: DataFrame) -> DataFrame:
+    """One row a part: counts, and the root of the leaves that its recipes give."""
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anew = [name_of(b"".join(ids or [])) for ids in batch.column(4).to_pylist()]
-            leaves = [a if a == b else b"" for a, b in zip(anew, batch.column(3).to_pylist(), strict=True)]
+            own = zip(*(batch.column(i).to_pylist() for i in (3, 1, 2, 4)), strict=True)
+            leaves = [name_of(b"".join([f"{doc_id}\0{start}\0{n}\0".encode(), *(ids or [])])) for doc_id, start, n, ids in own]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(leaves, pa.binary())], ["part", "start", "n_tokens", "leaf"])
 
-    return recipes.select("part", "start", "n_tokens", "leaf", "chunk_ids").mapInArrow(named, "part int, start long, n_tokens long, leaf binary")
-
-
-def _part_roots(recipes: DataFrame) -> DataFrame:
-    """One row a part, of as many documents as one file holds."""
-    leaves = F.transform(F.array_sort(F.collect_list(F.struct("start", "n_tokens", "leaf"))), lambda x: x["leaf"])
-    parts = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), leaves.alias("leaves"))
+    leaves = recipes.select("part", "start", "n_tokens", "doc_id", "chunk_ids").mapInArrow(named, "part int, start long, n_tokens long, leaf binary")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("start", "leaf"))), lambda x: x["leaf"])
+    parts = leaves.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), in_order.alias("leaves"))
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,9 +231,9 @@ def _write_manifest(spark: SparkSession, path: str) -> None:
 
 
 def verify_manifest(spark: SparkSession, path: str) -> bool:
-    """Whether the recipes as they lie there, named anew by their chunk ids, give the counts and roots that the manifest holds."""
+    """Whether the recipes as they lie there give the counts and roots that the manifest holds."""
     held = {r["part"]: (r["n_docs"], r["n_tokens"], bytes(r["root"]), bytes(r["store_root"])) for r in spark.read.parquet(f"{path}/manifest").collect()}
-    found = {r["part"]: (r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in _part_roots(_checked_leaves(spark.read.parquet(f"{path}/recipes"))).collect()}
+    found = {r["part"]: (r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in _part_roots(spark.read.parquet(f"{path}/recipes")).collect()}
     root = merkle_root([found[k][2] for k in sorted(found)])
     return held.keys() == found.keys() and all(held[k] == (*found[k], root) for k in found)
 

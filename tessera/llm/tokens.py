@@ -3,8 +3,9 @@
 Both public vocabularies split a text into pre-tokens before any merge, so a
 word between isolated spaces has the same ids wherever it stands. Each worker
 keeps the ids of words it has met, in a dictionary of bounded size, and asks
-the library's model only for new ones. Words outside plain Latin letters and
-texts with runs of white space go through the library's whole encoder.
+the library's model only for new ones. Words outside plain Latin letters, texts
+with runs of white space and texts that spell a special token of the vocabulary
+go through the library's whole encoder, whose defaults hold.
 """
 
 from __future__ import annotations
@@ -43,12 +44,15 @@ class _Words(dict):
         self.make, self.older = make, {}
 
     def __missing__(self, word):
-        if len(word) > CACHE_LENGTH:
-            return self.make(word)
         out = self.older.get(word)
         if out is None:
             out = self.make(word)
-        self.keep(word, out)
+            if len(word) > CACHE_LENGTH:
+                return out
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = out
         return out
 
     def keep(self, word, out) -> None:
@@ -66,22 +70,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.model = self.whole.model
+        self.tokenize = self.whole.model.tokenize
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         alphabet = byte_alphabet()
         self.spelled = {c: "".join([alphabet[b] for b in c.encode()]) for c in map(chr, range(32, 0x250))}
         if self.whole.normalizer is not None:
             self.words = _Words(self._word)
-            self.encode = self._encode_words
+            self.plain = self._encode_words
         else:
             self.words, self.tails = _Words(self._spaced), _Words(self._exactly)
-            self.encode = self._encode_bytes
+            self.plain = self._encode_bytes
+
+    def encode(self, text: str) -> bytes:
+        return self._exactly(text) if any(s in text for s in self.special) else self.plain(text)
 
     def _exactly(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize("".join(map(self.spelled.__getitem__, piece)))]).tobytes()
+        if not piece.isascii():
+            piece = "".join(map(self.spelled.__getitem__, piece))
+        elif piece[0] == " ":
+            piece = self.spelled[" "] + piece[1:]
+        return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
 
     def _pieces(self, pieces: list[str]) -> bytes:
         return b"".join(map(self._piece, pieces))
@@ -105,8 +116,8 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, text.encode().split()))
 
     def _spaced(self, word: str) -> bytes:
-        if word.isalpha() and word.isascii():
-            return self._piece(" " + word)
+        if word.isascii() and word.isalpha():
+            return array("I", [t.id for t in self.tokenize("Ġ" + word)]).tobytes()
         if not _PLAIN(word):
             before, line, after = word.partition("\n")  # stands between two other characters, as a pre-token of its own
             return self.words[before] + self.tails[line] + self.tails[after] if before and after else self._exactly(" " + word)
