@@ -70,8 +70,13 @@ def test_neighbours_equal_brute_force():
     draw = np.random.default_rng(5)
     words = [f"w{i}" for i in range(60)]
     examples = [(i, int(draw.random() < 0.3), " ".join(draw.choice(words, draw.integers(0, 12)))) for i in range(400)]
-    index = toxicity.build(examples, sorted(words), 0.3)
-    dense = np.concatenate(list(index.blocks), axis=1)
+    index = toxicity.build([(i, y, toxicity.family(t), toxicity.terms_of(t)) for i, y, t in examples], 0.3)
+    assert index.terms.keys() == {w for _, _, t in examples for w in t.split()} and (index.weights > 0).all()
+    dense = np.zeros((len(index.terms), 400))
+    for i, (x, y) in enumerate(zip(index.ids.tolist(), index.labels.tolist(), strict=True)):
+        assert examples[x][1] == y
+        at, weight = index.vector(examples[x][2])
+        dense[at, i] = weight
     for _ in range(100):
         at, weight = index.vector(" ".join(draw.choice(words, 8)))
         cosines = weight @ dense[at]
