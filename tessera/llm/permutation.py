@@ -3,9 +3,10 @@
 ``PIVOTS`` distinct vectors, the first among ``DRAW`` times as many rows by a
 hash of the row, stand for the space. A vector is the list of its ``PREFIX`` nearest pivots in order; a shard's
 inverted files hold, for each pivot, the vectors that list it and where. A query
-reads the files of its own pivots, adds up each vector's footrule distance (a
-pivot that a list lacks counts as at its end), takes the ``SHARE`` of the shard
-that is nearest so, and ranks those by their exact cosine.
+reads the files of its own ``PROBES`` nearest pivots, adds up each vector's
+footrule distance over these (a pivot that a list lacks counts as at its end),
+takes the ``SHARE`` of the shard that is nearest so, ``LEAST`` rows at least, and
+ranks those by their exact cosine.
 
 Every row is indexed; only the pivots are a sample, of bounded size. Vectors
 null, empty, zero or with null or non-finite components take no part, nor do
@@ -26,8 +27,8 @@ from pyspark.sql.window import Window as W
 from tessera.llm.common import written
 from tessera.llm.vectors import dense, result, searched, usable
 
-PIVOTS, DRAW, PREFIX, SHARE, LEAST = 80, 8, 64, 0.22, 512
-_PAGE = "dim int, shard int, pivot int, members array<int>, places array<int>, rows array<long>, ids array<long>, points array<double>"
+PIVOTS, DRAW, PREFIX, PROBES, SHARE, LEAST = 256, 4, 128, 64, 0.05, 512
+_PAGE = "dim int, shard int, pivot int, members array<int>, places binary, rows array<long>, ids array<long>, points array<double>"
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -42,13 +43,14 @@ def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 
 
 def footrules(order: np.ndarray, files: dict[int, tuple[np.ndarray, np.ndarray]], n: int, prefix: int) -> np.ndarray:
-    """Footrule distances of the n vectors of a shard to a query's list, by reading the files of its pivots."""
-    # a pair that shares no pivot is as far as can be; each shared one takes off what its places allow
-    total = np.full(n, prefix * (prefix + 1), np.int32)
+    """Footrule distances of the n vectors of a shard to the beginning of a query's list, by reading the files of its pivots."""
+    # a vector that shares no pivot is as far as can be; each shared one takes off what its places allow
+    own = len(order)
+    total = np.full(n, own * prefix - own * (own - 1) // 2 + prefix * (prefix + 1) // 2, np.int32)
     for place, pivot in enumerate(order.tolist()):
         if pivot in files:
             members, places = files[pivot]
-            total[members] -= 2 * (prefix - np.maximum(places, place))
+            total[members] -= 2 * (prefix - np.maximum(places, place).astype(np.int32))
     return total
 
 
@@ -76,21 +78,21 @@ def index(table: DataFrame, pivots: dict[int, np.ndarray], prefix: int) -> DataF
         dim, shard, x = rows["dim"][0].as_py(), rows["shard"][0].as_py(), dense(rows["v"])
         order = orders(x, pivots[dim], prefix)
         member = np.repeat(np.arange(len(x), dtype=np.int32), order.shape[1])
-        place = np.tile(np.arange(order.shape[1], dtype=np.int32), len(x))
+        place = np.tile(np.arange(order.shape[1], dtype="<u2"), len(x))
         by = np.argsort(order.ravel(), kind="stable")
         ends = np.searchsorted(order.ravel()[by], np.arange(len(pivots[dim]) + 1))
         out = [(dim, shard, -1, None, None, rows["row"].to_numpy(), rows["vec_id"].to_numpy(), x.ravel())]
         for p in range(len(pivots[dim])):
             here = by[ends[p] : ends[p + 1]]
             if len(here):
-                out.append((dim, shard, p, member[here], place[here], None, None, None))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()))
+                out.append((dim, shard, p, member[here], place[here].tobytes(), None, None, None))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()))
         return pa.table({n: pa.array(list(c), t) for n, c, t in zip(("dim", "shard", "pivot", "members", "places", "rows", "ids", "points"), zip(*out, strict=True), kinds, strict=True)})
 
     return written(table.groupBy("dim", "shard").applyInArrow(built, _PAGE), "permutations")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, prefix: int = PREFIX, probes: int = PROBES, share: float = SHARE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Each query's k nearest found: query_id, rank, vec_id, score (cosine)."""
     table = usable(vectors, id_col, vector_col, nonzero=True)
     places = chosen_pivots(table, pivots)
@@ -105,12 +107,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVO
                 rows, ids = (np.asarray(pages[n][i].values) for n in ("rows", "ids"))
                 x = np.asarray(pages["points"][i].values).reshape(len(rows), -1)
             else:
-                files[pivot] = tuple(np.asarray(pages[n][i].values) for n in ("members", "places"))
+                files[pivot] = np.asarray(pages["members"][i].values), np.frombuffer(pages["places"][i].as_py(), "<u2")
         own = dense(queries["v"])
         want = min(len(rows), max(LEAST, int(np.ceil(share * len(rows)))) + 1)
         rank_id = np.argsort(np.argsort(ids, kind="stable")).astype(np.int64)
         out = []
-        used = orders(own, places[dim], prefix)
+        used = orders(own, places[dim], probes)
         for row, name, query, order in zip(queries["row"].to_pylist(), queries["vec_id"].to_pylist(), own, used, strict=True):
             far = footrules(order, files, len(rows), prefix).astype(np.int64) * len(rows) + rank_id
             near = np.argpartition(far, want - 1)[:want]

@@ -3,7 +3,9 @@
 Every row is dealt to one shard of about ``SHARD_ROWS`` rows, every query to one
 block of about ``BLOCK_QUERIES``. A cell holds one shard's pages and one block's
 queries, so its size is bounded whatever the tables hold; each cell gives its
-queries' k best, and the k best of those are the answer.
+queries' k best, and the k best of those are the answer. With blocks about as
+large as shards, pages and queries together are copied as little as cells of
+that size allow.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql.window import Window as W
 
 from tessera.llm.common import written
 
-SHARD_ROWS, BLOCK_QUERIES = 8192, 512
+SHARD_ROWS, BLOCK_QUERIES = 8192, 4096
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, nonzero: bool) -> DataFrame:
