@@ -45,6 +45,9 @@ from tessera.llm.tokens import CACHE_LENGTH, _Words
 NBEST = 2
 BYTE_PENALTY = 10.0
 SPACE = "▁"
+_OTHERS = re.compile(r"[\W\d_]+").finditer
+#: N-best lists remembered by a worker in each of two generations.
+CACHE_LISTS = 300_000
 #: Cells of the path arrays of units that are searched together.
 _CELLS = 1 << 21
 #: (ids as bytes, score, gaps), gaps being (score below the best, ids) of the other segmentations, in order.
@@ -98,7 +101,7 @@ class Lattice:
         self.pairs = {x + y for text, _, _ in whole for x, y in zip(text, text[1:])}
         self.byte_score = min((score for _, _, score in whole if score > -1e8), default=0.0) - BYTE_PENALTY
         self.trie = Trie(whole)
-        self.parts, self.words = _Words(lambda unit: self.search([unit])[0]), _Words(self._word)
+        self.parts, self.words = _Words(lambda unit: self.search([unit])[0], CACHE_LISTS), _Words(self._word, CACHE_LISTS)
 
     def search(self, units: list[str]) -> list[Found]:
         """N-best lists of units of one character at least."""
@@ -224,13 +227,16 @@ class Lattice:
             last = to
 
     def _units(self, word: str) -> list[str]:
-        """A word with the space before it, cut between characters that stand together in no piece."""
+        """A word with the space before it, cut beside characters other than letters where two stand together in no
+        piece; long words wherever two do."""
         unit = SPACE + word.replace(" ", SPACE)
-        if word.isalpha() and word.isascii():
+        long = len(unit) > CACHE_LENGTH
+        if word.isalpha() and not long:
             return [unit]
         pairs, cut, last = self.pairs, [], 0
-        for k in range(1, len(unit)):
-            if unit[k - 1 : k + 1] not in pairs:
+        places = range(1, len(unit)) if long else sorted({k for m in _OTHERS(unit, 1) for k in range(m.start(), m.end() + 1)})
+        for k in places:
+            if k < len(unit) and unit[k - 1 : k + 1] not in pairs:
                 cut.append(unit[last:k])
                 last = k
         cut.append(unit[last:])
@@ -240,38 +246,56 @@ class Lattice:
         """N-best list of a word."""
         return self.joined([self.parts[p] for p in self._units(word)])
 
-    def learn(self, texts: list[str]) -> None:
+    def learn(self, texts: list[list[str]]) -> None:
         """Searches all new units of the texts' words side by side, and keeps the words' N-best lists."""
         known, older, parts = self.words, self.words.older, self.parts
-        new = {w for text in texts for w in split_words(text) if w not in known and w not in older and len(w) <= CACHE_LENGTH}
-        cut = {w: self._units(w) for w in new}
-        units = [u for u in {u for of_word in cut.values() for u in of_word} if u not in parts and u not in parts.older]
-        for unit, found in zip(units, self.search(units), strict=True):
-            parts.keep(unit, found)
+        cut = {w: self._units(w) for w in set().union(*texts) if w not in known and w not in older and len(w) < CACHE_LENGTH}
+        units = [*{u for of_word in cut.values() for u in of_word if u not in parts and u not in parts.older}]
+        new = dict(zip(units, self.search(units), strict=True))
         for word, of_word in cut.items():
+            if len(of_word) == 1:
+                known.keep(word, new[of_word[0]] if of_word[0] in new else parts[of_word[0]])
+                continue
+            for unit in of_word:
+                if unit in new:
+                    parts.keep(unit, new[unit])
             known.keep(word, self.joined([parts[u] for u in of_word]))
 
     def joined(self, units: list[Found]) -> Found:
         """N-best list of the concatenation."""
         if len(units) == 1:
             return units[0]
-        ids = [u[0] for u in units]
-        k = self.nbest - 1
-        near = [(u[2][0][0], i) for i, u in enumerate(units) if u[2]]
-        if k == 1 and near:
-            gap, i = min(near)
-            second = b"".join([*ids[:i], units[i][2][0][1], *ids[i + 1 :]])
-            return b"".join(ids), sum([u[1] for u in units]), ((gap, second),)
-        near = heapq.nsmallest(k, near)
+        ids, total, near = [], 0.0, []
+        if self.nbest == 2:
+            least, at = 1e300, -1
+            for i, (x, score, gaps) in enumerate(units):
+                ids.append(x)
+                total += score
+                if gaps and gaps[0][0] < least:
+                    least, at = gaps[0][0], i
+            best = b"".join(ids)
+            if at < 0:
+                return best, total, ()
+            ids[at] = units[at][2][0][1]
+            return best, total, ((least, b"".join(ids)),)
+        for i, (x, score, gaps) in enumerate(units):
+            ids.append(x)
+            total += score
+            if gaps:
+                near.append((gaps[0][0], i))
+        near = heapq.nsmallest(self.nbest - 1, near)
         top: list[tuple[float, dict[int, bytes]]] = [(0.0, {})]
         for _, i in near:
             more = [(gap + other, changed | {i: x}) for gap, changed in top for other, x in units[i][2]]
             top = heapq.nsmallest(self.nbest, top + more, key=lambda t: t[0])
         gaps = tuple([(gap, b"".join([changed.get(i, x) for i, x in enumerate(ids)])) for gap, changed in top[1:]])
-        return b"".join(ids), sum([u[1] for u in units]), gaps
+        return b"".join(ids), total, gaps
 
     def encode(self, text: str) -> Found:
-        return self.joined([*map(self.words.__getitem__, split_words(text))]) if text else (b"", 0.0, ())
+        return self.of_words(split_words(text))
+
+    def of_words(self, words: list[str]) -> Found:
+        return self.joined([*map(self.words.__getitem__, words)]) if words else (b"", 0.0, ())
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids; bytes that are no UTF-8 become replacement characters."""
@@ -303,11 +327,11 @@ def encode(docs: DataFrame, model: str, nbest: int = NBEST, id_col: str = "doc_i
         search = lattice(model, nbest)
         for batch in slices(batches, "text", 500_000):
             lists, texts = [], []
-            whole = [text or "" for text in batch.column(1).to_pylist()]
-            search.learn(whole)
+            split = [split_words(text or "") for text in batch.column(1).to_pylist()]
+            search.learn(split)
             gc.freeze()  # what is remembered holds no cycles
-            for text in whole:
-                ids, score, gaps = search.encode(text)
+            for words in split:
+                ids, score, gaps = search.of_words(words)
                 lists.append([{"score": score, "ids": ids}, *({"score": score - g, "ids": x} for g, x in gaps)])
                 texts.append(search.decode(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, kind), pa.array(texts, pa.string())], ["doc_id", "nbest", "decoded"])

@@ -79,10 +79,9 @@ def name_of(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def squeezed(data: bytes) -> bytes:
-    """Ids in 16 bits each where they fit; the first byte tells."""
-    ids = np.frombuffer(data, "<u4")
-    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + data
+def squeezed(ids: np.ndarray) -> tuple[bytes, bytes, int]:
+    """A mark, ids in 16 bits each where they all fit, and the bytes that one takes."""
+    return (b"\x02", ids.astype("<u2").tobytes(), 2) if not len(ids) or ids.max() < 1 << 16 else (b"\x04", ids.tobytes(), 4)
 
 
 def opened(payload: bytes) -> bytes:
@@ -148,17 +147,19 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
             names, payloads, totals, recipes = [], [], [], []
             for text in batch.column(1).to_pylist():
                 data = encode(text or "") + end
+                ids = np.frombuffer(data, "<u4")
+                mark, short, width = squeezed(ids)
                 last, recipe = 0, []
-                for to in cuts(np.frombuffer(data, "<u4")):
+                for to in cuts(ids):
                     part = data[4 * last : 4 * to]
                     recipe.append(name := name_of(part))
-                    last = to
                     if name not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(name)
                         names.append(name)
-                        payloads.append(squeezed(part))
+                        payloads.append(mark + short[width * last : width * to])
+                    last = to
                 totals.append(last)
                 recipes.append(recipe)
             n, m = len(names), len(recipes)
@@ -185,7 +186,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     # recipes of equal documents share a name, so they are dealt out by a salt of their row besides
     salted = source.mapInArrow(chunked, schema).withColumn("salt", F.when(F.col("kind") == "recipe", F.monotonically_increasing_id()))
     dealt = salted.repartition(shuffle_partitions(spark), "name", "salt").drop("salt")
-    dealt.mapInArrow(once, schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/objects")
+    dealt.mapInArrow(once, schema).write.option("compression", "snappy").option("parquet.enable.dictionary", "false").partitionBy("kind").parquet(f"{path}/objects")
 
     objects = spark.read.schema(f"name binary, payload binary, doc_id {id_type}, n_tokens long, chunk_ids array<binary>, kind string").parquet(f"{path}/objects")
     recipes = objects.where("kind = 'recipe'").select("doc_id", F.col("name").alias("leaf"), "n_tokens", "chunk_ids", F.monotonically_increasing_id().alias("row"))

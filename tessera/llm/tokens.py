@@ -18,7 +18,7 @@ from collections.abc import Callable
 import regex
 
 #: Words remembered by a worker in each of two generations; the older one goes when the newer is full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: Longer words are not remembered, so that their number bounds the memory.
 CACHE_LENGTH = 64
 
@@ -39,9 +39,9 @@ def byte_alphabet() -> dict[int, str]:
 class _Words(dict):
     """Bytes of a word's ids (little-endian, unsigned, 32 bits), made when first asked for."""
 
-    def __init__(self, make: Callable) -> None:
+    def __init__(self, make: Callable, most: int = CACHE_WORDS) -> None:
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, word):
         out = self.older.get(word)
@@ -49,14 +49,14 @@ class _Words(dict):
             out = self.make(word)
             if len(word) > CACHE_LENGTH:
                 return out
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[word] = out
         return out
 
     def keep(self, word, out) -> None:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[word] = out

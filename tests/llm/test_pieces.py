@@ -78,7 +78,7 @@ def test_words_learnt_together_equal_words_asked_one_by_one():
     draw = random.Random(4)
     texts = ["  ".join("".join(draw.choices("aenrstABü字.,-\n", k=draw.randint(1, 14))) for _ in range(40)) for _ in range(30)] + ["", " ", "x" * 200]
     together, alone = pieces.Lattice(pieces_of(), 3), pieces.Lattice(pieces_of(), 3)
-    together.learn(texts)
+    together.learn([pieces.split_words(t) for t in texts])
     assert [together.encode(t) for t in texts] == [alone.encode(t) for t in texts]
 
 
