@@ -6,28 +6,72 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.functions.text import canonical_tokens
+from tessera.functions.text import canonical_tokens, split_tokens
 
 # Weights and limits.
 ALIAS, NAME, ENTITY, IDENTITY = 0.45, 0.30, 0.15, 0.10
 LEAST, MOST_FIELDS, MOST_CHARS = 0.25, 24, 8000
-STOPWORDS = ("what", "is", "of", "for", "show", "me", "get", "and", "in", "to", "on", "with", "by", "list", "all", "which", "are")
+# Words that tell nothing about a field, those that a question's phrasing stands for, structural parts of
+# field names, endings of identifying fields, and words that ask for a whole record.
+STOPWORDS = (
+    "a", "an", "and", "any", "are", "as", "at", "be", "by", "can", "did", "do", "does", "for", "from", "get", "give", "has", "have", "how", "i", "in", "is", "it", "its", "many", "me", "much",
+    "my", "of", "on", "or", "please", "show", "that", "the", "their", "them", "there", "these", "this", "to", "was", "were", "what", "when", "where", "which", "who", "why", "will", "with", "you", "your",
+)
+INTENTS = {
+    "how much": ("amount", "total", "price"), "how many": ("quantity", "count"), "total": ("amount",), "cost": ("amount",), "costs": ("amount",), "price": ("amount",), "worth": ("amount",),
+    "owe": ("amount", "status"), "owed": ("amount", "status"), "outstanding": ("amount", "status"), "balance": ("amount", "status"), "who": ("customer", "supplier", "name"), "named": ("name",),
+    "called": ("name",), "when": ("date",), "where": ("address", "location"), "overdue": ("due", "date", "status"), "late": ("due", "date", "status"), "paid": ("status", "payment"),
+    "unpaid": ("status", "payment"), "settled": ("status", "payment"), "approved": ("status",), "approval": ("status",), "rejected": ("status",), "pending": ("status",), "contact": ("email", "phone"),
+    "reach": ("email", "phone"), "tax": ("tax", "amount"), "vat": ("tax", "amount"), "shipped": ("status", "date", "address"), "delivered": ("status", "date", "address"),
+}
+STRUCTURAL = ("id", "no", "num", "nbr", "number", "code", "key", "ref", "reference", "name", "value", "flag", "ind", "indicator")
+IDENTITY_ENDINGS = ("id", "no", "num", "nbr", "number", "ident")
+BROAD = ("everything", "all", "full", "complete", "entire", "whole", "overview", "summary", "details", "anything")
 
 
 def query_tokens(query: Column) -> Column:
-    return F.array_distinct(F.filter(canonical_tokens(query), lambda w: ~w.isin(*STOPWORDS)))
+    """The content words of a question, then what its phrasing implies; each once."""
+    raw = canonical_tokens(F.coalesce(query, F.lit("")))
+    spaced = F.concat(F.lit(" "), F.array_join(raw, " "), F.lit(" "))
+    implied = [F.when(F.contains(spaced, F.lit(f" {phrase} ")), F.array(*map(F.lit, words))).otherwise(F.array().cast("array<string>")) for phrase, words in INTENTS.items()]
+    return F.array_distinct(F.concat(F.filter(raw, lambda w: ~w.isin(*STOPWORDS)), *implied))
 
 
-def coverage(a: Column, b: Column) -> Column:
-    """Shared tokens over the smaller set."""
+def is_broad(tokens: Column) -> Column:
+    """Whether a question asks for the whole record."""
+    return F.arrays_overlap(tokens, F.array(*map(F.lit, BROAD)))
+
+
+def coverage(target: Column, query: Column, ignore: Column | None = None) -> Column:
+    """Shared tokens over the smaller set. Structural parts of a name count only where it has no others; ``ignore``
+    (the words of the record's own entity) counts on neither side."""
+    telling = F.filter(target, lambda w: ~w.isin(*STRUCTURAL))
+    a, b = F.array_distinct(F.when(F.size(telling) > 0, telling).otherwise(target)), F.array_distinct(query)
+    if ignore is not None:
+        a, b = F.array_except(a, ignore), F.array_except(b, ignore)
     least = F.least(F.size(a), F.size(b))
-    return F.when(least == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(a, b)) / least, 6))
+    return F.when(least <= 0, 0.0).otherwise(F.round(F.size(F.array_intersect(a, b)) / least, 6))
+
 
+def relevance(field: Column, names: Column, of_entity: Column, is_identity: Column, entity: Column, query: Column) -> Column:
+    """Weighted mean of the alias, name, entity and identity signals of a field.
 
-def relevance(name: Column, entity: Column, query: Column, is_identity: Column, alias: Column) -> Column:
-    """Weighted mean of the alias, name, entity and identity signals."""
+    ``names``: name and aliases of the canonical field it maps to, null where it
+    maps to none; ``of_entity``: that field's entity; ``entity``: the record's.
+    A broad question has no words of its own.
+    """
     words = query_tokens(query)
-    return F.round(ALIAS * F.greatest(alias.cast("double"), F.lit(0.0)) + NAME * coverage(canonical_tokens(name), words) + ENTITY * coverage(canonical_tokens(entity), words) + IDENTITY * is_identity.cast("double"), 6)
+    words = F.when(is_broad(words), F.array().cast("array<string>")).otherwise(words)
+    own = canonical_tokens(F.coalesce(entity, F.lit("")))
+    alias = F.coalesce(F.array_max(F.transform(names, lambda n: coverage(canonical_tokens(n), words, own))), F.lit(0.0))
+    belongs = F.when(names.isNull(), 0.0).when(entity.isNull(), 0.5).when(of_entity == entity, 1.0).otherwise(0.25)
+    return F.round(ALIAS * alias + NAME * coverage(canonical_tokens(field), words, own) + ENTITY * belongs + IDENTITY * F.coalesce(is_identity, F.lit(False)).cast("double"), 6)
+
+
+def inferred_identity(names: Column) -> Column:
+    """The first of a record's field names that ends like an identifier, null where none does."""
+    parts = lambda n: split_tokens(n)
+    return F.get(F.filter(names, lambda n: (F.size(parts(n)) > 1) & F.element_at(parts(n), -1).isin(*IDENTITY_ENDINGS)), 0)
 
 
 def selected(fields: DataFrame, case: str, most: int = MOST_FIELDS, least: float = LEAST) -> DataFrame:

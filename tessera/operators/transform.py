@@ -6,7 +6,8 @@ partitioned by key or run, so nothing is sorted in one place unless a run is.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,3 +110,54 @@ def before_threshold(records: DataFrame, run: str, order: str, failed: Column, m
     at = W.partitionBy(run).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum(failed.cast("long")).over(at), F.lit(0))
     return records.withColumn("failures_before", earlier).where(F.col("failures_before") <= most)
+
+
+JSON_KINDS = {"string": ("STRING",), "integer": ("BIGINT",), "decimal": ("BIGINT", "DECIMAL", "DOUBLE"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",)}
+
+
+def typed(value: Column, field: str, expected: str) -> Column:
+    """An issue where a JSON text holds a value of another type than ``expected``; none for missing values and nulls.
+
+    Text that is no JSON holds a value of no type.
+    """
+    kind = F.regexp_extract(F.schema_of_variant(F.try_parse_json(value)), "^[A-Z]+", 0)
+    wrong = F.coalesce(~kind.isin("VOID", *JSON_KINDS[expected]), F.lit(True))
+    return issue(value.isNotNull() & wrong, "DATATYPE_MISMATCH", field)
+
+
+def nested(values: Mapping[str, Column]) -> Column:
+    """A struct from columns by dotted paths; a path that is given twice, or both as a value and as an object, is refused."""
+    tree: dict = {}
+    for path, column in values.items():
+        *above, leaf = path.split(".")
+        at = tree
+        for i, part in enumerate(above):
+            at = at.setdefault(part, {})
+            if not isinstance(at, dict):
+                raise ValueError(f"{'.'.join(above[: i + 1])} holds a value and cannot hold {path}")
+        if leaf in at:
+            raise ValueError(f"{path} is assigned twice")
+        at[leaf] = column
+
+    def struct_of(node: dict) -> Column:
+        return F.struct(*[(struct_of(x) if isinstance(x, dict) else x).alias(name) for name, x in node.items()])
+
+    return struct_of(tree)
+
+
+def computed_order(sources: Mapping[str, Sequence[str]]) -> list[str]:
+    """Computed fields in an order in which each comes after those it needs; a cycle is refused. Fields of the record
+    itself, and a field's own former value, ask for no order."""
+    needs = {target: [s for s in of if s in sources and s != target] for target, of in sources.items()}
+    try:
+        return [*TopologicalSorter(needs).static_order()]
+    except CycleError as cycle:
+        raise ValueError(f"computed fields need each other: {' -> '.join(reversed(cycle.args[1]))}") from None
+
+
+def with_computed(records: DataFrame, fields: Mapping[str, tuple[Sequence[str], Callable[..., Column]]]) -> DataFrame:
+    """Adds computed fields, each (sources, a function of their columns), in an order that their sources allow."""
+    for target in computed_order({t: of for t, (of, _) in fields.items()}):
+        of, made = fields[target]
+        records = records.withColumn(target, made(*map(F.col, of)))
+    return records

@@ -283,10 +283,13 @@ _UNIT = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
 
 
 def similarities(load, queries, corpus):
-    """Exact cosines of a stated set of queries against the corpus, in cells of one block of each: neither side is broadcast whole beyond Spark's threshold."""
-    q = load("embeddings").where(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
-    e = load("embeddings").where(corpus).select("vec_id", "embedding", "label")
-    return e.join(q, F.col("vec_id") != F.col("query_id")).withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
+    """Exact cosines of a stated set of queries against the corpus. The corpus is dealt to as many cells as there are
+    shuffle partitions and the queries go to every cell, so this is a join on the cell, each of bounded size."""
+    cells = int(load("embeddings").sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = load("embeddings").where(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    e = load("embeddings").where(corpus).select("vec_id", "embedding", "label", F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int").alias("cell"))
+    met = e.join(q, "cell").where(F.col("vec_id") != F.col("query_id")).drop("cell")
+    return met.withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
 
 
 def ranked(rows, k):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import functions as F
 
 from tessera.functions.ident import cosine
@@ -10,10 +12,18 @@ from tessera.operators import adapt, catalog, tiers
 from tessera.plans.queries_catalog import ranked, tier_state
 from tessera.plans.registry import query
 
-_KEY = "0123456789abcdef0123456789abcdef"  # stands for a key that a deployment keeps in its secret store
+KEY_SETTING = "spark.tessera.archiveKey"
 SCHEMA_CHARS = 900
 
 
+def _key(rows):
+    """The archive's key: a session setting that a deployment fills from its secret store; a session without one gets its own."""
+    conf = rows.sparkSession.conf
+    if conf.get(KEY_SETTING, None) is None:
+        conf.set(KEY_SETTING, secrets.token_hex(16))
+    return F.lit(conf.get(KEY_SETTING))
+
+
 @query("tier_store_merge", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN vec_id % 30 ELSE 0 END AS accesses, CASE WHEN vec_id % 3 = 0 THEN 'kept' ELSE 'new' END AS origin FROM embeddings")
 def tier_store_merge(load, spark):
     prior = tier_state(load).where("vec_id % 3 = 0").select("vec_id", F.col("accesses").alias("had"))
@@ -38,12 +48,12 @@ def schema_text_chunks(load, spark):
 
 
 def _archived(load):
-    sealed = F.aes_encrypt(F.to_json(F.struct("vec_id", "embedding")), F.lit(_KEY), F.lit("GCM"))
+    sealed = F.aes_encrypt(F.to_json(F.struct("vec_id", "embedding")), _key(load("embeddings")), F.lit("GCM"))
     return load("embeddings").where("vec_id % 3 = 2").select("vec_id", sealed.alias("archive"))
 
 
 def _opened(archives):
-    body = F.from_json(F.aes_decrypt("archive", F.lit(_KEY), F.lit("GCM")).cast("string"), "vec_id bigint, embedding array<float>")
+    body = F.from_json(F.aes_decrypt("archive", _key(archives), F.lit("GCM")).cast("string"), "vec_id bigint, embedding array<float>")
     return archives.select("vec_id", body["embedding"].alias("embedding"))
 
 

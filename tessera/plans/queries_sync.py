@@ -11,16 +11,22 @@ from tessera.plans.registry import query
 from tessera.sources import files
 from tessera.streaming import changes
 
+
+
+def _after_event(load, tie):
+    """Events after the one with id 500; none where there is no such event."""
+    at = load("events").where("event_id = 500").select("ts").first()
+    return sync.after(load("events"), "ts", "event_id", str(at["ts"]), tie) if at else load("events").where("false")
+
+
 @query("incremental_timestamp", "SELECT event_id FROM events WHERE ts > (SELECT ts FROM events WHERE event_id = 500)")
 def incremental_timestamp(load, spark):
-    at = load("events").where("event_id = 500").first()["ts"]
-    return sync.after(load("events"), "ts", "event_id", str(at)).select("event_id")
+    return _after_event(load, None).select("event_id")
 
 
 @query("incremental_composite", "SELECT event_id FROM events WHERE ts > (SELECT ts FROM events WHERE event_id = 500) OR (ts = (SELECT ts FROM events WHERE event_id = 500) AND event_id > 500)")
 def incremental_composite(load, spark):
-    at = load("events").where("event_id = 500").first()["ts"]
-    return sync.after(load("events"), "ts", "event_id", str(at), 500).select("event_id")
+    return _after_event(load, 500).select("event_id")
 
 
 @query("incremental_monotonic", "SELECT event_id FROM events WHERE event_id > 500")
@@ -225,9 +231,16 @@ def pair_records(load, spark):
 
 # -- response adaptation ---------------------------------------------------------------------------------------
 _QUERY = "show me the total amount and status of the invoice"
-_PAYLOAD = [("invoice_id", True, False), ("total_amt", False, True), ("status", False, False), ("currency", False, False), ("created_by", False, False), ("invoice_date", False, False)]
-_RELEVANCE = [("invoice_id", 0.4), ("total_amt", 0.9), ("status", 0.45), ("currency", 0.15), ("created_by", 0.15), ("invoice_date", 0.3)]
-_REASON = [("invoice_id", "IDENTITY"), ("total_amt", "RELEVANT"), ("status", "RELEVANT"), ("currency", "IRRELEVANT"), ("created_by", "IRRELEVANT"), ("invoice_date", "OVER_BUDGET")]
+# field, name and aliases of its canonical field, whether it identifies; then the words that count of its names, for the SQL
+_PAYLOAD = [
+    ("invoice_id", ["invoice_id", "invoice_number"], True), ("total_amt", ["amount", "invoice_amount", "total_amount"], False), ("status", ["status", "invoice_status"], False),
+    ("currency", ["currency", "currency_code"], False), ("created_by", None, False), ("invoice_date", ["invoice_date", "date"], False),
+]
+_WORDS = """(VALUES ('invoice_id', [], [[], []], true, true), ('total_amt', ['total', 'amount'], [['amount'], ['amount'], ['total', 'amount']], true, false), ('status', ['status'], [['status'], ['status']], true, false),
+ ('currency', ['currency'], [['currency'], ['currency']], true, false), ('created_by', ['created', 'by'], [[]], false, false), ('invoice_date', ['date'], [['date'], ['date']], true, false)) w(field, own, names, mapped, is_identity)"""
+_COVER = "CASE WHEN len({t}) = 0 THEN 0 ELSE round(len(list_intersect({t}, ['total', 'amount', 'status'])) / least(len({t}), 3), 6) END"
+_SCORED = f"(SELECT field, is_identity, round(0.45 * list_max(list_transform(names, lambda t: {_COVER.format(t='t')})) + 0.3 * {_COVER.format(t='own')} + CASE WHEN mapped THEN 0.15 ELSE 0 END + CASE WHEN is_identity THEN 0.1 ELSE 0 END, 6) AS score FROM {_WORDS})"
+_REASON = f"(SELECT field, CASE WHEN is_identity THEN 'IDENTITY' WHEN score < 0.25 THEN 'IRRELEVANT' WHEN row_number() OVER (PARTITION BY is_identity OR score < 0.25 ORDER BY score DESC, field) <= 1 THEN 'RELEVANT' ELSE 'OVER_BUDGET' END AS reason FROM {_SCORED})"
 
 
 def _values(rows, names):
@@ -235,28 +248,28 @@ def _values(rows, names):
 
 
 def _scored(spark):
-    rows = spark.createDataFrame(_PAYLOAD, "field string, is_identity boolean, is_alias boolean").withColumn("case_id", F.lit("c1"))
-    return rows.withColumn("score", adapt.relevance(F.col("field"), F.lit("invoice"), F.lit(_QUERY), F.col("is_identity"), F.col("is_alias")))
+    rows = spark.createDataFrame(_PAYLOAD, "field string, names array<string>, is_identity boolean").withColumn("case_id", F.lit("c1"))
+    return rows.withColumn("score", adapt.relevance(F.col("field"), F.col("names"), F.lit("invoice"), F.col("is_identity"), F.lit("invoice"), F.lit(_QUERY)))
 
 
-@query("query_tokens", "SELECT 'total amount status invoice' AS tokens")
+@query("query_tokens", "SELECT array_to_string(list_filter(string_split('show me the total amount and status of the invoice', ' '), lambda w: NOT list_contains(['show', 'me', 'the', 'and', 'of'], w)), ' ') AS tokens")
 def query_tokens(load, spark):
     return spark.range(1).select(F.array_join(adapt.query_tokens(F.lit(_QUERY)), " ").alias("tokens"))
 
 
-@query("field_relevance", f"SELECT * FROM {_values(_RELEVANCE, 'field, score')}")
+@query("field_relevance", f"SELECT field, CAST(score AS DOUBLE) AS score FROM {_SCORED}")
 def field_relevance(load, spark):
     return _scored(spark).select("field", "score")
 
 
-@query("field_selection", f"SELECT * FROM {_values(_REASON, 'field, reason')}")
+@query("field_selection", f"SELECT * FROM {_REASON}")
 def field_selection(load, spark):
-    return adapt.selected(_scored(spark), "case_id", most=2).select("field", "reason")
+    return adapt.selected(_scored(spark), "case_id", most=1).select("field", "reason")
 
 
-@query("removal_summary", "SELECT 'IRRELEVANT' AS reason, 2::BIGINT AS n UNION ALL SELECT 'OVER_BUDGET', 1")
+@query("removal_summary", f"SELECT reason, count(*) AS n FROM {_REASON} WHERE reason IN ('IRRELEVANT', 'OVER_BUDGET') GROUP BY 1")
 def removal_summary(load, spark):
-    return adapt.selected(_scored(spark), "case_id", most=2).where("not selected").groupBy("reason").agg(F.count("*").alias("n"))
+    return adapt.selected(_scored(spark), "case_id", most=1).where("not selected").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("character_budget", "SELECT event_id, sum(length(props)) OVER (PARTITION BY user_id ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING) <= 200 AS kept FROM events")

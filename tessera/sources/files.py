@@ -44,21 +44,33 @@ def header_names(raw: list[str]) -> list[str]:
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """All values as text, with ``missing_fields`` and ``extra_values`` of each row. Only the head is read to plan."""
+    """All values as text, with ``missing_fields``, ``extra_values`` and the ``extra`` values of each row. Only the head is
+    read to plan. UTF-16 is refused, and so is a value with bytes that are no UTF-8 (or with U+FFFD, which stands for such)."""
     first = spark.read.format("binaryFile").load(path).select("path").first()["path"]  # type: ignore[index]
     head = [r["value"] for r in spark.read.text(first).limit(20).collect()]
     if not head:
-        return spark.createDataFrame([], "missing_fields int, extra_values int")
-    encoding_of(head[0].encode()[:4])
-    head[0] = head[0].removeprefix("﻿")
+        return spark.createDataFrame([], "missing_fields int, extra_values int, extra array<string>")
+    if any("\x00" in line for line in head):
+        raise ValueError("UTF-16 files are not supported")
+    head[0] = head[0].removeprefix("\ufeff")
     d = delimiter_of(head)
     names = header_names(next(csv.reader(io.StringIO(head[0]), delimiter=d)))
-    n, spare = len(names), 8
-    schema = ", ".join(f"`c{i}` string" for i in range(n + spare))
-    raw = spark.read.csv(path, sep=d, header=True, multiLine=True, escape='"', schema=schema, mode="PERMISSIVE", enforceSchema=True, nullValue="\x00", emptyValue="")
-    present = [F.col(f"c{i}").isNotNull().cast("int") for i in range(n + spare)]
-    width = F.greatest(*[p * (i + 1) for i, p in enumerate(present)])
-    return raw.where(width > 0).select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(names)], F.greatest(F.lit(0), F.lit(n) - width).alias("missing_fields"), F.greatest(F.lit(0), width - n).alias("extra_values"))
+    n = len(names)
+    schema = ", ".join(f"`c{i}` string" for i in range(n)) + ", `record` string"
+    raw = spark.read.csv(path, sep=d, header=True, multiLine=True, escape='"', schema=schema, mode="PERMISSIVE", enforceSchema=True, nullValue="\x00", emptyValue="", columnNameOfCorruptRecord="record")
+    width = F.greatest(F.lit(0), *[F.col(f"c{i}").isNotNull().cast("int") * (i + 1) for i in range(n)])
+    # a record that is not as wide as the header comes whole besides; what lies beyond the header is cut out of it
+    one = re.escape(d)
+    cells = F.regexp_extract_all("record", F.lit(f'(?:^|{one})("(?:[^"]|"")*"|[^{one}]*)'), F.lit(1))
+    whole = F.transform(cells, lambda c: F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"'))
+    extra = F.when(F.size(whole) > n, F.slice(whole, n + 1, F.greatest(F.lit(1), F.size(whole) - n))).otherwise(F.array().cast("array<string>"))
+    extra = F.coalesce(extra, F.array().cast("array<string>"))
+
+    def sound(c: Column) -> Column:
+        return F.when(F.contains(c, F.lit("\ufffd")), F.raise_error(F.lit("a value is not valid UTF-8"))).otherwise(c)
+
+    values = [sound(F.col(f"c{i}")).alias(x) for i, x in enumerate(names)]
+    return raw.where(width > 0).select(*values, (F.lit(n) - width).alias("missing_fields"), F.size(extra).alias("extra_values"), extra.alias("extra"))
 
 
 def file_kind(content: Column, name: Column) -> Column:

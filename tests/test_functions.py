@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import json
+import random
 import time
 import uuid
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import casts, ident, rules, text
-from tessera.operators import documents, sync, transform
+from tessera.operators import adapt, documents, sync, transform
 from tessera.sources import files, specs
 from tessera.streaming import changes
 
@@ -66,8 +67,16 @@ def test_delimited_files(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_bytes("﻿amount;Amount;;total\n1;2;3\n\n4;5;6;7;8\n\"x;y\";2;3;4\n".encode())
     got = files.read_delimited(spark, str(path))
-    assert got.columns == ["amount", "amount.2", "column_3", "total", "missing_fields", "extra_values"]
-    assert sorted(map(tuple, got.collect())) == [("1", "2", "3", None, 1, 0), ("4", "5", "6", "7", 0, 1), ("x;y", "2", "3", "4", 0, 0)]
+    assert got.columns == ["amount", "amount.2", "column_3", "total", "missing_fields", "extra_values", "extra"]
+    assert sorted(map(tuple, got.collect())) == [("1", "2", "3", None, 1, 0, []), ("4", "5", "6", "7", 0, 1, ["8"]), ("x;y", "2", "3", "4", 0, 0, [])]
+    path.write_text("a,b\n1,2," + ",".join(f"x{i}" for i in range(11)) + ',"y,""z"""\n')
+    assert [(r["a"], r["b"], r["extra_values"], r["extra"]) for r in files.read_delimited(spark, str(path)).collect()] == [("1", "2", 12, [*(f"x{i}" for i in range(11)), 'y,"z"'])]
+    path.write_bytes("a,b\n1,2\n".encode("utf-16"))
+    with pytest.raises(ValueError, match="UTF-16"):
+        files.read_delimited(spark, str(path))
+    path.write_bytes(b"a,b\n1,\xff\xfe\n")
+    with pytest.raises(Exception, match="UTF-8"):
+        files.read_delimited(spark, str(path)).collect()
     assert files.delimiter_of(["a\tb", "1\t2"]) == "\t" and files.delimiter_of(["abc"]) == ","
     with pytest.raises(ValueError):
         files.encoding_of(b"\xff\xfea\0")
@@ -128,3 +137,66 @@ def test_running_cases_equal_batch(spark, tmp_path):
     got = {r["user_id"]: (r["n"], r["s"]) for r in spark.sql("select user_id, max(n_events) n, max_by(current_state, n_events) s from live group by 1").collect()}
     want = {r["user_id"]: (r["n"], r["s"]) for r in events.groupBy("user_id").agg(F.count("*").alias("n"), F.max_by("event_type", "event_id").alias("s")).collect()}
     assert got == want
+
+
+def plain_relevance(field, names, of_entity, is_identity, entity, query):
+    """The scores from their definition."""
+    def words(text):
+        return text.lower().replace("_", " ").split()
+
+    raw = words(query)
+    tokens = [w for w in raw if w not in adapt.STOPWORDS]
+    for phrase, implied in adapt.INTENTS.items():
+        k = len(phrase.split())
+        if any(raw[i : i + k] == phrase.split() for i in range(len(raw))):
+            tokens += implied
+    tokens = [] if {*tokens} & {*adapt.BROAD} else tokens
+
+    def cover(name):
+        t = [w for w in words(name) if w not in adapt.STRUCTURAL] or words(name)
+        a, b = {*t} - {entity}, {*tokens} - {entity}
+        return round(len(a & b) / min(len(a), len(b)), 6) if a and b else 0.0
+
+    alias = max(map(cover, names), default=0.0) if names is not None else 0.0
+    belongs = 0.0 if names is None else 0.5 if entity is None else 1.0 if of_entity == entity else 0.25
+    return 0.45 * alias + 0.3 * cover(field) + 0.15 * belongs + 0.1 * is_identity
+
+
+def test_relevance_equals_its_definition(spark):
+    draw = random.Random(6)
+    vocabulary = "show me how much how many is the invoice total when was it paid who late status all overview where customer email of and shipped".split()
+    fields = [("status", ["status", "payment_status"]), ("due_date", ["date", "due_date"]), ("customer_name", ["customer"]), ("email", ["email", "contact_email"]), ("id", ["id"]), ("unknown", None)]
+    rows = []
+    for _ in range(120):
+        field, names = draw.choice(fields)
+        rows.append((field, names, draw.choice(["invoice", "customer"]), draw.random() < 0.3, draw.choice(["invoice", "customer", None]), " ".join(draw.choices(vocabulary, k=draw.randint(0, 7)))))
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, field string, names array<string>, of_entity string, is_identity boolean, entity string, query string")
+    got = {r["i"]: r["s"] for r in table.select("i", adapt.relevance(*(F.col(c) for c in ("field", "names", "of_entity", "is_identity", "entity", "query"))).alias("s")).collect()}
+    assert all(abs(got[i] - plain_relevance(*r)) < 2e-6 for i, r in enumerate(rows))
+
+
+def test_inferred_identity(spark):
+    rows = spark.createDataFrame([(["status", "case_no", "order_id"],), (["currency_code", "id"],), ([],)], "n array<string>")
+    assert [r[0] for r in rows.select(adapt.inferred_identity(F.col("n"))).collect()] == ["case_no", None, None]
+
+
+def test_nested_assignment_and_computed_order(spark):
+    row = spark.range(1).select(transform.nested({"id": F.lit(1), "customer.name": F.lit("a"), "customer.address.city": F.lit("b")}).alias("r")).first()["r"]
+    assert row.asDict(recursive=True) == {"id": 1, "customer": {"name": "a", "address": {"city": "b"}}}
+    for values in ({"a": 1, "a.b": 2}, {"a.b": 1, "a": 2}, {"a.b": 1, "a.b.c": 2}):
+        with pytest.raises(ValueError):
+            transform.nested({k: F.lit(v) for k, v in values.items()})
+    assert transform.computed_order({"c": ["b", "x"], "a": ["x"], "b": ["a", "b"]}) == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="need each other"):
+        transform.computed_order({"a": ["b"], "b": ["c"], "c": ["a"]})
+    made = transform.with_computed(spark.range(3), {"c": (["b"], lambda b: b + 1), "b": (["id"], lambda i: i * 2)})
+    assert sorted((r["b"], r["c"]) for r in made.collect()) == [(0, 1), (2, 3), (4, 5)]
+
+
+def test_types_of_values(spark):
+    values = ["1", "1.5", '"x"', "true", "null", "[1]", "{}", "x y", None]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    fine = {"integer": {"1"}, "decimal": {"1", "1.5"}, "string": {'"x"'}, "boolean": {"true"}, "array": {"[1]"}, "object": {"{}"}}
+    for expected, right in fine.items():
+        got = {r["v"] for r in rows.where(transform.typed(F.col("v"), "f", expected).isNull()).collect()}
+        assert got == right | {"null", None}
