@@ -31,10 +31,12 @@ BROAD = ("everything", "all", "full", "complete", "entire", "whole", "overview",
 
 def query_tokens(query: Column) -> Column:
     """The content words of a question, then what its phrasing implies; each once."""
-    raw = canonical_tokens(F.coalesce(query, F.lit("")))
-    spaced = F.concat(F.lit(" "), F.array_join(raw, " "), F.lit(" "))
-    implied = [F.when(F.contains(spaced, F.lit(f" {phrase} ")), F.array(*map(F.lit, words))).otherwise(F.array().cast("array<string>")) for phrase, words in INTENTS.items()]
-    return F.array_distinct(F.concat(F.filter(raw, lambda w: ~w.isin(*STOPWORDS)), *implied))
+    def content(raw: Column) -> Column:
+        spaced = F.concat(F.lit(" "), F.array_join(raw, " "), F.lit(" "))
+        implied = [F.when(F.contains(spaced, F.lit(f" {phrase} ")), F.array(*map(F.lit, words))).otherwise(F.array().cast("array<string>")) for phrase, words in INTENTS.items()]
+        return F.array_distinct(F.concat(F.filter(raw, lambda w: ~w.isin(*STOPWORDS)), *implied))
+
+    return F.transform(F.array(canonical_tokens(F.coalesce(query, F.lit("")))), content)[0]  # a lambda, so that the split text is made once
 
 
 def is_broad(tokens: Column) -> Column:
