@@ -136,18 +136,18 @@ def combined_crc(parts: list[tuple[int, int]]) -> int:
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every row's whole text, appends ``end_id`` and writes the store to ``path``."""
     spark = docs.sparkSession
-    end = end_id.to_bytes(4, "little")
+    end = np.array([end_id], "<u4")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     schema = f"kind string, name binary, payload binary, doc_id {id_type}, n_tokens long, chunk_ids array<binary>"
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoder(tokenizer).encode, set()
-        for batch in slices(batches, "text", 1_000_000):
+        encode_all, seen = encoder(tokenizer).encode_all, set()
+        for batch in slices(batches, "text"):
             names, payloads, totals, recipes = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                data = encode(text or "") + end
-                ids = np.frombuffer(data, "<u4")
+            for ids in encode_all(batch.column(1).to_pylist()):
+                ids = np.concatenate([ids, end])
+                data = ids.tobytes()
                 mark, short, width = squeezed(ids)
                 last, recipe = 0, []
                 for to in cuts(ids):

@@ -3,9 +3,14 @@
 Both public vocabularies split a text into pre-tokens before any merge, so a
 word between isolated spaces has the same ids wherever it stands. Each worker
 keeps the ids of words it has met, in a dictionary of bounded size, and asks
-the library's model only for new ones. Words outside plain Latin letters, texts
-with runs of white space and texts that spell a special token of the vocabulary
-go through the library's whole encoder, whose defaults hold.
+the library only for new ones. Texts that spell a special token of the
+vocabulary go through the library's whole encoder, whose defaults hold.
+
+The byte vocabulary takes many texts at once: each different word of them is
+looked up once, the new ones go to the library's model in one call (the space
+before a word begins a token of its own, which tells the words apart), and the
+texts' ids are gathered by word. Words outside plain Latin letters, and in the
+byte vocabulary texts with runs of white space, go through the whole encoder.
 """
 
 from __future__ import annotations
@@ -15,6 +20,9 @@ import re
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Words remembered by a worker in each of two generations; the older one goes when the newer is full.
@@ -24,9 +32,12 @@ CACHE_LENGTH = 64
 
 _PLAIN = re.compile("[!-~¡-¬®-įı-ɏ]+").fullmatch
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-_BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+").findall
+_PLAIN_LINES = re.compile("[!-~¡-¬®-įı-ɏ][\n!-~¡-¬®-įı-ɏ]*(?<!\n)").fullmatch
+_BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+").findall
+_BEYOND = "\u0250"
 _STOPS = ".,;:!?"
 _RUN = re.compile(r"\s\s").search
+_NO_IDS = np.zeros(0, "<u4")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -67,28 +78,52 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.tokenize = self.whole.model.tokenize
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         alphabet = byte_alphabet()
-        self.spelled = {c: "".join([alphabet[b] for b in c.encode()]) for c in map(chr, range(32, 0x250))}
+        self.spelled = {c: "".join([alphabet[b] for b in c.encode()]) for c in map(chr, range(0x250))}
         if self.whole.normalizer is not None:
             self.words = _Words(self._word)
-            self.plain = self._encode_words
+            self.begins = None
         else:
-            self.words, self.tails = _Words(self._spaced), _Words(self._exactly)
-            self.plain = self._encode_bytes
+            self.words, self.firsts, self.tails = _Words(self._spaced), _Words(self._exactly), _Words(self._piece)
+            self.pieces = Tokenizer(self.whole.model)  # takes pre-tokens as they are, between spaces
+            self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.space, self.spell = alphabet[32], str.maketrans(self.spelled)
+            vocabulary = self.whole.get_vocab()
+            self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that start with a space
+            self.begins[[i for token, i in vocabulary.items() if token[0] == alphabet[32]]] = True
 
     def encode(self, text: str) -> bytes:
-        return self._exactly(text) if any(s in text for s in self.special) else self.plain(text)
+        return self.encode_all([text])[0].tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, little-endian and unsigned in 32 bits; none for a null."""
+        out, together = [_NO_IDS] * len(texts), []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if any([s in text for s in self.special]):
+                out[i] = np.frombuffer(self._exactly(text), "<u4")
+            elif self.begins is None:
+                out[i] = np.frombuffer(self._encode_words(text), "<u4")
+            elif _RUN(text):
+                out[i] = np.frombuffer(self._exactly(text), "<u4")
+            else:
+                together.append(i)
+        if together:
+            for i, ids in zip(together, self._encode_spaced([texts[i] for i in together]), strict=True):
+                out[i] = ids
+        return out
 
     def _exactly(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if not piece.isascii():
+        if not piece.isascii() or piece.isspace():
             piece = "".join(map(self.spelled.__getitem__, piece))
         elif piece[0] == " ":
             piece = self.spelled[" "] + piece[1:]
@@ -116,21 +151,75 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, text.encode().split()))
 
     def _spaced(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            return array("I", [t.id for t in self.tokenize("Ġ" + word)]).tobytes()
-        if not _PLAIN(word):
-            before, line, after = word.partition("\n")  # stands between two other characters, as a pre-token of its own
-            return self.words[before] + self.tails[line] + self.tails[after] if before and after else self._exactly(" " + word)
-        core = word.rstrip(_STOPS)
-        if core != word and core and core[-1].isalnum():
-            return self.words[core] + self.tails[word[len(core) :]]
-        return self._piece(" " + word) if word.isalpha() else self._pieces(_BYTE_PIECES(" " + word))
-
-    def _encode_bytes(self, text: str) -> bytes:
-        if _RUN(text):
-            return self._exactly(text)
-        first, *rest = text.split(" ")
-        return (self.tails[first] if first else b"") + b"".join(map(self.words.__getitem__, rest))
+        return self._exactly(" " + word)
+
+    def _found(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it; the new words' first pre-tokens are encoded in one call."""
+        known, tails = self.words, self.tails
+        out = list(map(known.get, words))
+        new, asked = [], {}
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            word, rest, odd = words[i], b"", False
+            if word.isascii() and word.isalpha():
+                head = word
+            else:
+                before, line, after = word.partition("\n")
+                head = before.rstrip(_STOPS)  # stops and line ends are pre-tokens of their own after a letter
+                if head.isalpha() and (head.isascii() or max(head) < _BEYOND) and (not line or after.isascii() and after.isalpha()):
+                    if len(head) < len(before):
+                        rest = tails[before[len(head) :]]
+                    if line:
+                        rest += tails[line] + tails[after]
+                elif (ids := known.older.get(word)) is not None:
+                    out[i] = ids
+                    known.keep(word, ids)
+                    continue
+                elif _PLAIN_LINES(word):
+                    first, *others = _BYTE_PIECES(" " + word)
+                    head, rest, odd = first[1:], b"".join(map(tails.__getitem__, others)), len(word) <= CACHE_LENGTH
+                else:
+                    out[i] = known[word]
+                    continue
+            ids = known.get(head)
+            if ids is None and (ids := known.older.get(head)) is not None:
+                known.keep(head, ids)
+            if ids is None:
+                asked[head] = None
+                new.append((i, head, rest, odd))
+                continue
+            out[i] = ids + rest
+            if odd:
+                known.keep(word, out[i])
+        if asked:
+            text = self.space + f" {self.space}".join([x if x.isascii() else x.translate(self.spell) for x in asked])
+            ids = np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            starts, data = np.flatnonzero(self.begins[ids]).tolist(), ids.tobytes()
+            for head, a, b in zip(list(asked), starts, [*starts[1:], len(ids)], strict=True):
+                asked[head] = made = data[4 * a : 4 * b]
+                if len(head) <= CACHE_LENGTH:
+                    known.keep(head, made)
+        for i, head, rest, odd in new:
+            out[i] = asked[head] + rest
+            if odd:
+                known.keep(words[i], out[i])
+        return out
+
+    def _encode_spaced(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without runs of white space; only a text's first word has no space before it."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.values.dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes, bounds = coded.indices.to_numpy().copy(), split.offsets.to_numpy()
+        firsts = [self.firsts[different[c]] for c in codes[bounds[:-1]].tolist()]
+        codes[bounds[:-1]] = np.arange(len(different), len(different) + len(texts))
+        ids_of = self._found(different) + firsts
+        sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
+        begin, count = np.cumsum(sizes) - sizes, sizes[codes]
+        ends = np.cumsum(count)
+        at = np.repeat(begin[codes] - (ends - count), count)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(ids_of), "<u4")[at]
+        return np.split(ids, ends[bounds[1:-1] - 1])
 
 
 _encoders: dict[str, Encoder] = {}
