@@ -143,7 +143,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all, seen = encoder(tokenizer).encode_all, set()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2_000_000):
             names, payloads, totals, recipes = [], [], [], []
             for ids in encode_all(batch.column(1).to_pylist()):
                 ids = np.concatenate([ids, end])
