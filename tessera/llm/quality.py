@@ -224,6 +224,7 @@ def scored(docs: DataFrame, model: RuleEnsemble, keep: tuple[str, ...] = ("doc_i
 
 def accepted(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with their own columns."""
-    names = tuple(docs.columns)
-    copy = docs.withColumn("_copy_", F.col("text"))
-    return statistics(copy, "_copy_", names).where(model.column() >= threshold).select(*names)
+    names = [f"own_{i}" for i in range(len(docs.columns))]  # whatever the columns are called, they clash with no statistic
+    own = docs.toDF(*names)
+    read = own.withColumn("read", F.col(names[docs.columns.index("text")]))
+    return statistics(read, "read", tuple(names)).where(model.column() >= threshold).select(*names).toDF(*docs.columns)

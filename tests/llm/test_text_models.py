@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import quality, queries, secrets, toxicity
 
@@ -48,6 +49,10 @@ def test_compiled_rules_equal_the_model(spark, odd):
     kept = quality.accepted(odd, model, 0.0)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
     assert quality.accepted(odd.where("false"), model).count() == 0
+    clashing = odd.withColumn("_copy_", F.lit("c")).withColumn("stat_n_words", F.lit(-1)).withColumn("own_1", F.lit(7))
+    rows = quality.accepted(clashing, model, 0.0)
+    assert rows.columns == clashing.columns
+    assert sorted(map(str, rows.collect())) == sorted(map(str, clashing.collect()))
 
 
 def test_upper_case_share_of_lines_of_any_length():
