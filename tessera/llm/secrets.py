@@ -19,7 +19,9 @@ columns are ignored by ``scan`` and kept by ``redact``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -66,6 +68,19 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return (len(compressor.compress(base + data)) - len(compressor.compress(base))) / len(data)
 
 
+class Taken:
+    """Whether spans meet any of a fixed set: one bisection a question."""
+
+    def __init__(self, spans: list[tuple]) -> None:
+        ordered = sorted((start, end) for _, start, end, *_ in spans)
+        self.starts = [start for start, _ in ordered]
+        self.furthest = list(accumulate((end for _, end in ordered), max))  # of the spans that start up to here
+
+    def meets(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.furthest[before - 1] > start
+
+
 def spans_of(text: str, least: float = NOVELTY) -> list[tuple[str, int, int, float | None]]:
     """(kind, start, end, novelty) by start, then kind; ends are exclusive, in code points."""
     found: list[tuple[str, int, int, float | None]] = []
@@ -74,6 +89,7 @@ def spans_of(text: str, least: float = NOVELTY) -> list[tuple[str, int, int, flo
     if "AKIA" in text:
         found += [("access", *m.span(), None) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", *m.span(), None) for m in _HEX.finditer(text)]
+    taken = Taken(found)
     carried = -CARRY - 1  # the end of the last candidate in sensitive context
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
@@ -83,7 +99,7 @@ def spans_of(text: str, least: float = NOVELTY) -> list[tuple[str, int, int, flo
         carried = end
         if rest := _REST.match(text, end):
             end = rest.end()
-        if any(a < end and start < b for _, a, b, _ in found):
+        if taken.meets(start, end):
             continue
         measured = novelty(text[start:end], before, text[end : end + SURROUNDINGS])
         if measured >= least:

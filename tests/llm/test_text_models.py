@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -122,6 +123,23 @@ def test_novel_strings_and_redaction(spark):
     assert secrets.scan(docs.where("false")).count() == 0
 
 
+def test_very_many_secrets_in_one_text():
+    draw = np.random.default_rng(9)
+    names = ["".join(x) for x in draw.choice([*"abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMN23456789"], (20_000, 24))]
+    text = "\n".join(f"password: {x}" if i % 2 else f"private key {x}" for i, x in enumerate(names))
+    began = time.process_time()
+    found = secrets.spans_of(text)
+    assert time.process_time() - began < 15 and sum(k == "assign" for k, *_ in found) == 10_000 and sum(k == "novel" for k, *_ in found) > 9_000
+    for a, b in zip(found, found[1:]):
+        assert a[2] <= b[1]
+    spans = [("x", int(a), int(a + n), None) for a, n in zip(draw.integers(0, 900, 60), draw.integers(1, 30, 60), strict=True)]
+    taken = secrets.Taken(spans)
+    for a in range(0, 950):
+        for n in (1, 7, 40):
+            assert taken.meets(a, a + n) == any(x < a + n and a < y for _, x, y, _ in spans)
+    assert not secrets.Taken([]).meets(0, 5)
+
+
 def noise(n, chars="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", seed=7):
     return "".join(np.random.default_rng(seed).choice([*chars], n))
 
