@@ -40,7 +40,7 @@ from tessera.llm.common import new_path, written
 from tessera.llm.tokens import CACHE_LENGTH, _Words, byte_alphabet, encoder
 
 #: Bytes of text in a slice, about.
-SLICE = 4_000_000
+SLICE = 2_000_000
 _NONE = np.zeros(0, np.int64)
 
 
