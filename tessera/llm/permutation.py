@@ -54,8 +54,13 @@ def footrules(order: np.ndarray, files: dict[int, tuple[np.ndarray, np.ndarray]]
     return total
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest component: the same digits, and no square leaves the range of doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Row by row and in the same order for each, so that equal vectors have equal cosines."""
+    """Row by row and in the same order for each, so that equal vectors have equal cosines; of ``scaled`` rows."""
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
 
 
@@ -105,10 +110,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVO
         for i, pivot in enumerate(pages["pivot"].to_pylist()):
             if pivot < 0:
                 rows, ids = (np.asarray(pages[n][i].values) for n in ("rows", "ids"))
-                x = np.asarray(pages["points"][i].values).reshape(len(rows), -1)
+                x = scaled(np.asarray(pages["points"][i].values).reshape(len(rows), -1))
             else:
                 files[pivot] = np.asarray(pages["members"][i].values), np.frombuffer(pages["places"][i].as_py(), "<u2")
-        own = dense(queries["v"])
+        own = scaled(dense(queries["v"]))
         want = min(len(rows), max(LEAST, int(np.ceil(share * len(rows)))) + 1)
         rank_id = np.argsort(np.argsort(ids, kind="stable")).astype(np.int64)
         out = []
