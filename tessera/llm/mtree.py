@@ -16,8 +16,10 @@ floating point with a slack; scores are integers, computed exactly.
 Vectors null, empty or with null or non-finite components take no part, nor do
 rows without an id; vectors of other dimensions are other spaces; rows that
 repeat an id are rows of their own; a query leaves out only its own row; an
-empty table gives no rows; other columns are ignored. Scores beyond 64 bits
-raise an error.
+empty table gives no rows; other columns are ignored. Points and queries are
+divided by powers of two, which keep every digit, so that no finite vector is
+too large for the bounds; a score among the best k that exceeds 64 bits raises
+an error, for the result can't hold it.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from tessera.llm.vectors import dense, result, searched, usable
 
 CAPACITY, FANOUT = 192, 16
 SLACK = 1e-9  # of squared distances
-_PAGE = "dim int, shard int, node int, leaf boolean, ids array<long>, refs array<long>, points array<double>, radii array<double>, to_parent array<double>"
+_PAGE = "dim int, shard int, node int, leaf boolean, unit double, ids array<long>, refs array<long>, points array<double>, radii array<double>, to_parent array<double>"
 
 
 @dataclass
@@ -45,6 +47,12 @@ class Page:
     points: np.ndarray
     radii: np.ndarray
     to_parent: np.ndarray
+    unit: float  # by which the tree's points were divided, a power of two
+
+
+def power_above(x: np.ndarray) -> np.ndarray:
+    """For each row a power of two, from 1 to 2**1023, that no component exceeds by more than a factor of two."""
+    return np.ldexp(1.0, np.clip(np.frexp(np.abs(x).max(1, initial=0))[1], 0, 1023))
 
 
 def quantized(x: np.ndarray, scale: float) -> np.ndarray:
@@ -58,6 +66,8 @@ def lifted(x: np.ndarray, longest: float) -> np.ndarray:
 
 def build(ids: np.ndarray, rows: np.ndarray, x: np.ndarray, seed: int = 0) -> list[Page]:
     """Pages of an M-tree over the rows of ``x``; page 0 is the root."""
+    unit = float(power_above(x).max(initial=1))
+    x = x / unit
     points = lifted(x, float((x * x).sum(1).max(initial=0)))
     draw = np.random.default_rng(seed)
     pages: list[Page] = []
@@ -67,7 +77,7 @@ def build(ids: np.ndarray, rows: np.ndarray, x: np.ndarray, seed: int = 0) -> li
 
     def make(at: np.ndarray, centre: np.ndarray) -> int:
         me = len(pages)
-        pages.append(Page(True, ids[at], rows[at], points[at], np.zeros(len(at)), distances(at, centre)))
+        pages.append(Page(True, ids[at], rows[at], points[at], np.zeros(len(at)), distances(at, centre), unit))
         if len(at) <= CAPACITY:
             return me
         pivots = points[draw.choice(at, FANOUT, replace=False)]
@@ -83,7 +93,7 @@ def build(ids: np.ndarray, rows: np.ndarray, x: np.ndarray, seed: int = 0) -> li
             centres.append(routing)
             children.append((make(group, routing), int(ids[group].min())))
         c = np.array(centres)
-        pages[me] = Page(False, np.array([k for k, _ in children]), np.array([m for _, m in children]), c, np.array(radii), np.sqrt(((c - centre) ** 2).sum(1)))
+        pages[me] = Page(False, np.array([k for k, _ in children]), np.array([m for _, m in children]), c, np.array(radii), np.sqrt(((c - centre) ** 2).sum(1)), unit)
         return me
 
     if len(ids):
@@ -103,13 +113,15 @@ def best_first(pages: list[Page], queries: np.ndarray, own: np.ndarray, k: int,
     best: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # heaps of (score, -id), worst first
     if not pages or not n:
         return best
+    exact, units = queries, np.maximum(power_above(queries), pages[0].unit)
+    queries, unit = queries / units[:, None], pages[0].unit
     longest = float((pages[0].points[0] ** 2).sum())
     own_squares = (queries * queries).sum(1)
     square = own_squares + longest
     slack = SLACK * (1 + square)
     limit = np.full(n, np.inf)  # squared distance of each query's k-th best, and some slack
     largest = max(float(np.abs(p.points[:, :-1]).max(initial=0)) for p in pages)
-    safe = largest * float(np.abs(queries).max(initial=0)) * queries.shape[1] < 2**53  # products are exact in floating point
+    safe = largest * unit * float(np.abs(exact).max(initial=0)) < 2**53 / queries.shape[1]  # products are exact in floating point
     queue: list[tuple] = [(0.0, 0, np.zeros(n), None)]
     done = avoided = 0
     while queue:
@@ -148,14 +160,16 @@ def best_first(pages: list[Page], queries: np.ndarray, own: np.ndarray, k: int,
             rank = np.arange(len(row)) - np.searchsorted(row, row)
             row, score, col = (x[rank < k] for x in (row, score, col))
         for r, s, c in zip(row.tolist(), score.tolist(), col.tolist(), strict=True):
-            entry = (int(s) if safe else exact_product(page.points[c, :-1], queries[r]), -int(page.ids[c]))
+            entry = (int(s * unit * units[r]) if safe else exact_product(page.points[c, :-1] * unit, exact[r]), -int(page.ids[c]))
             heap = best[r]
             if len(heap) < k:
                 heapq.heappush(heap, entry)
             elif entry > heap[0]:
                 heapq.heapreplace(heap, entry)
             if len(heap) == k:
-                limit[r] = square[r] - 2 * heap[0][0] + slack[r]
+                limit[r] = square[r] - 2 * (heap[0][0] / (int(unit) * int(units[r]))) + slack[r]
+    if any(not -(2**63) <= s < 2**63 for heap in best for s, _ in heap):
+        raise OverflowError("an inner product exceeds 64 bits")
     if counts is not None:
         counts[0] += done
         counts[1] += avoided
@@ -164,13 +178,9 @@ def best_first(pages: list[Page], queries: np.ndarray, own: np.ndarray, k: int,
 
 def exact_product(a: np.ndarray, b: np.ndarray) -> int:
     """Inner product of integers held as doubles."""
-    largest = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * len(a)
-    if largest < 2**53:
+    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) < 2**53 / len(a):
         return int(a @ b)
-    total = sum(int(x) * int(y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
-    if not -(2**63) <= total < 2**63:
-        raise OverflowError("an inner product exceeds 64 bits")
-    return total
+    return sum(int(x) * int(y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
 
 
 def index(table: DataFrame, scale: float) -> DataFrame:
@@ -178,9 +188,9 @@ def index(table: DataFrame, scale: float) -> DataFrame:
     def built(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("row")
         made = build(rows["vec_id"].to_numpy(), rows["row"].to_numpy(), quantized(dense(rows["v"]), scale), rows["shard"][0].as_py())
-        out = {"dim": [rows["dim"][0].as_py()] * len(made), "shard": [rows["shard"][0].as_py()] * len(made), "node": range(len(made)), "leaf": [p.leaf for p in made]}
+        out = {"dim": [rows["dim"][0].as_py()] * len(made), "shard": [rows["shard"][0].as_py()] * len(made), "node": range(len(made)), "leaf": [p.leaf for p in made], "unit": [p.unit for p in made]}
         out |= {n: [getattr(p, n).ravel() for p in made] for n in ("ids", "refs", "points", "radii", "to_parent")}
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), *(pa.list_(t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), *(pa.list_(t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())))
         return pa.table({n: pa.array(list(c), t) for (n, c), t in zip(out.items(), kinds, strict=True)})
 
     return written(table.groupBy("dim", "shard").applyInArrow(built, _PAGE), "mtree")
@@ -188,8 +198,8 @@ def index(table: DataFrame, scale: float) -> DataFrame:
 
 def read_pages(rows: pa.Table) -> list[Page]:
     rows = rows.sort_by("node")
-    column = {n: rows[n].to_pylist() if n == "leaf" else [np.asarray(v.values) for v in rows[n]] for n in ("leaf", "ids", "refs", "points", "radii", "to_parent")}
-    return [Page(leaf, i, r, p.reshape(len(i), -1), c, d) for leaf, i, r, p, c, d in zip(*column.values(), strict=True)]
+    column = {n: rows[n].to_pylist() if n in ("leaf", "unit") else [np.asarray(v.values) for v in rows[n]] for n in ("leaf", "ids", "refs", "points", "radii", "to_parent", "unit")}
+    return [Page(leaf, i, r, p.reshape(len(i), -1), c, d, u) for leaf, i, r, p, c, d, u in zip(*column.values(), strict=True)]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

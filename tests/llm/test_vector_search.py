@@ -63,6 +63,23 @@ def test_mtree_avoids_distances_and_stays_exact_with_large_numbers():
     assert mtree.exact_product(large, large) == 2**60 + 10
 
 
+def test_finite_vectors_of_any_size_lose_no_rows(spark):
+    rows = [(0, [1e200, 1.0]), (50, [1.0, 2.0]), (1, [-2.0, 1.0]), (2, [3.0, 1.0]), (3, [0.5, 0.5]), (4, [1.0, -1.0])]
+    pages = mtree.build(np.arange(6), np.arange(6), mtree.quantized(np.array([v for _, v in rows]), 256.0))
+    ordinary = mtree.quantized(np.array([[-1.0, 2.0], [-1e-200, 1.0]]), 256.0)
+    got = mtree.best_first(pages, ordinary, np.array([-1, -1]), 3)
+    whole = [[int(c) for c in np.floor(256 * np.array(v))] for _, v in rows]
+    for q, found in zip(ordinary, got, strict=True):
+        want = sorted(((sum(int(a) * b for a, b in zip(q, v, strict=True)), -i) for i, v in enumerate(whole)), reverse=True)[:3]
+        assert found == [(s, -i) for s, i in want]
+    with pytest.raises(OverflowError):
+        mtree.best_first(pages, mtree.quantized(np.array([[1.0, 1.0]]), 256.0), np.array([-1]), 3)
+    odd = spark.createDataFrame([(0, [2e200, 1.0]), (1, [1e200, 1.0]), (2, [1e-200, 1e-200]), (50, [3e-200, 1e-200]), (3, [1.0, 1.0]), (4, [-5e-324, 0.0])], "vec_id long, embedding array<double>")
+    found = {(r["query_id"], r["vec_id"]): r["score"] for r in permutation.nearest(odd, F.col("vec_id") % 50 == 0).collect()}
+    assert len(found) == 10 and all(np.isfinite(s) for s in found.values())
+    assert found[0, 1] == 1.0 and abs(found[0, 3] - 0.5**0.5) < 1e-15 and abs(found[0, 2] - found[0, 3]) < 1e-15 and found[0, 4] == -1.0 and abs(found[50, 2] - 4 / 20**0.5) < 1e-15
+
+
 def test_permutation_recall_and_scores(spark, odd):
     got = permutation.nearest(odd, F.col("vec_id") % 50 == 0)
 
