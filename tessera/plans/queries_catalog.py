@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import inspect
-
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from tessera.functions.ident import cosine
 from tessera.functions.text import identifier
 from tessera.operators import catalog, mapping, tiers
-from tessera.plans import registry
 from tessera.plans.registry import query
 
 # -- catalogs: two versions of the orders' fields, as literals ----------------------------------------------------
@@ -278,44 +273,7 @@ def access_stats(load, spark):
     return load("events").groupBy("user_id").agg(F.count("*").alias("accesses"), F.max("ts").alias("last_at"))
 
 
-# -- vectors and retrieval -------------------------------------------------------------------------------------
-_UNIT = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
-
-
-def similarities(load, queries, corpus):
-    """Exact cosines of a stated set of queries against the corpus. The corpus is dealt to as many cells as there are
-    shuffle partitions and the queries go to every cell, so this is a join on the cell, each of bounded size."""
-    cells = int(load("embeddings").sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = load("embeddings").where(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-    e = load("embeddings").where(corpus).select("vec_id", "embedding", "label", F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int").alias("cell"))
-    met = e.join(q, "cell").where(F.col("vec_id") != F.col("query_id")).drop("cell")
-    return met.withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
-
-
-def ranked(rows, k):
-    at = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= k)
-
-
-def _rank_sql(where, k):
-    return f"(SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, q.label AS q_label, e.label, round({_UNIT}, 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE {where}) QUALIFY rank <= {k})"
-
-
-@query("vector_topk", f"SELECT query_id, rank, vec_id, score FROM {_rank_sql('q.vec_id < 5', 10)}")
-def vector_topk(load, spark, queries="vec_id < 5"):
-    return ranked(similarities(load, queries, "true"), 10).select("query_id", "rank", "vec_id", "score")
-
-
-@query("knn_bruteforce", f"SELECT query_id, vec_id, score FROM {_rank_sql('q.vec_id % 100 = 0', 3)}")
-def knn_bruteforce(load, spark):
-    return ranked(similarities(load, "vec_id % 100 = 0", "true"), 3).select("query_id", "vec_id", "score")
-
-
-@query("hybrid_search", f"SELECT query_id, rank, vec_id, score FROM {_rank_sql('q.vec_id < 5 AND e.label % 2 = 0 AND e.vec_id % 13 <> 0', 5)}")
-def hybrid_search(load, spark, queries="vec_id < 5"):
-    return ranked(similarities(load, queries, "label % 2 = 0 and vec_id % 13 <> 0"), 5).select("query_id", "rank", "vec_id", "score")
-
-
+# -- retrieval without vectors ---------------------------------------------------------------------------------
 @query("filtered_search_predicate", "SELECT vec_id FROM embeddings WHERE label = 3 AND vec_id % 2 = 0")
 def filtered_search_predicate(load, spark):
     tags = F.array(F.col("vec_id") % 2, F.col("label").cast("bigint"))
@@ -327,89 +285,6 @@ def exact_fetch(load, spark):
     return load("embeddings").where("label = 2").orderBy("vec_id").limit(20).select("vec_id", F.lit(1.0).alias("score"))
 
 
-@query("recall_at_k", f"SELECT round(avg(CASE WHEN first <= 1 THEN 1 ELSE 0 END), 6) AS r1, round(avg(CASE WHEN first <= 5 THEN 1 ELSE 0 END), 6) AS r5, round(avg(1 / first), 6) AS mrr FROM (SELECT query_id, coalesce(min(rank) FILTER (label = q_label), 1000000) AS first FROM {_rank_sql('q.vec_id % 100 = 1', 10)} GROUP BY 1)")
-def recall_at_k(load, spark):
-    first = ranked(similarities(load, "vec_id % 100 = 1", "true"), 10).groupBy("query_id").agg(F.coalesce(F.min(F.when(F.col("label") == F.col("q_label"), F.col("rank"))), F.lit(1000000)).alias("first"))
-    return first.agg(F.round(F.avg((F.col("first") <= 1).cast("int")), 6).alias("r1"), F.round(F.avg((F.col("first") <= 5).cast("int")), 6).alias("r5"), F.round(F.avg(1 / F.col("first")), 6).alias("mrr"))
-
-
-@query("retrieval_eval", f"SELECT query_id, min(rank) FILTER (label = q_label) AS rank_of_expected, coalesce(min(rank) FILTER (label = q_label) <= 3, false) AS in_top3 FROM {_rank_sql('q.vec_id % 100 = 2', 10)} GROUP BY 1")
-def retrieval_eval(load, spark):
-    hit = F.min(F.when(F.col("label") == F.col("q_label"), F.col("rank")))
-    return ranked(similarities(load, "vec_id % 100 = 2", "true"), 10).groupBy("query_id").agg(hit.alias("rank_of_expected")).withColumn("in_top3", F.coalesce(F.col("rank_of_expected") <= 3, F.lit(False)))
-
-
-@query("similarity_separation", f"SELECT label = q_label AS related, round(avg(score), 4) AS mean, min(score) AS low, max(score) AS high FROM {_rank_sql('q.vec_id < 20', 100000000)} GROUP BY 1")
-def similarity_separation(load, spark, queries="vec_id < 20"):
-    rows = similarities(load, queries, "true")
-    return rows.groupBy((F.col("label") == F.col("q_label")).alias("related")).agg(F.round(F.avg("score"), 4).alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"))
-
-
-_SCALE = "(SELECT quantile_cont(abs(x), 0.99) AS s FROM (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings))"
-
-
-@query("warm_int8_quantize", f"SELECT vec_id, CAST(list_sum(list_transform(embedding::DOUBLE[], lambda x: CAST(round(greatest(-1.0, least(1.0, x / s)) * 127) AS BIGINT))) AS BIGINT) AS checksum FROM embeddings, {_SCALE}")
-def warm_int8_quantize(load, spark):
-    e = load("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    scale = e.select(F.explode("v").alias("x")).agg(F.percentile(F.abs("x"), F.lit(0.99)).alias("s"))  # one row
-    codes = F.transform("v", lambda x: F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x / F.col("s"))) * 127).cast("tinyint"))
-    return e.join(F.broadcast(scale), F.lit(True)).select("vec_id", F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("checksum"))
-
-
-@query("hot_warm_overlap", None)
-def hot_warm_overlap(load, spark):
-    rows = similarities(load, "vec_id % 100 = 0", "true")
-    scale = 0.4
-    coarse = lambda c: F.transform(c, lambda x: F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x / scale)) * 127))
-    hot = ranked(rows, 5).groupBy("query_id").agg(F.collect_set("vec_id").alias("hot"))
-    warm = ranked(rows.withColumn("score", F.round(cosine(coarse("q"), coarse("embedding")), 6)), 5).groupBy("query_id").agg(F.collect_set("vec_id").alias("warm"))
-    return hot.join(warm, "query_id").select("query_id", (F.size(F.array_intersect("hot", "warm")) / 5).alias("overlap"))
-
-
-@query("hits_join_state", f"SELECT query_id, vec_id, current_tier FROM {_rank_sql('q.vec_id < 5', 10)} JOIN {_STATE} USING (vec_id) WHERE current_tier IS NOT NULL")
-def hits_join_state(load, spark, queries="vec_id < 5"):
-    state = tier_state(load).where("current_tier is not null").select("vec_id", "current_tier")
-    return ranked(similarities(load, queries, "true"), 10).join(state, "vec_id").select("query_id", "vec_id", "current_tier")
-
-
-@query("hits_resolve_text", f"SELECT query_id, h.vec_id, d.text IS NOT NULL AS text_available FROM {_rank_sql('q.vec_id < 5', 10)} h LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 <> 0) d ON d.doc_id = h.vec_id")
-def hits_resolve_text(load, spark, queries="vec_id < 5"):
-    texts = load("documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("vec_id"), F.lit(True).alias("there"))
-    return ranked(similarities(load, queries, "true"), 10).join(texts, "vec_id", "left").select("query_id", "vec_id", F.coalesce("there", F.lit(False)).alias("text_available"))
-
-
-@query("retrieve_min_score", f"SELECT query_id, vec_id FROM {_rank_sql('q.vec_id < 20', 10)} WHERE score >= 0.3")
-def retrieve_min_score(load, spark, queries="vec_id < 20"):
-    return ranked(similarities(load, queries, "true"), 10).where("score >= 0.3").select("query_id", "vec_id")
-
-
-@query("retrieve_text_budget", f"SELECT query_id, rank, greatest(0, least(n_chars, 5000 - before)) AS taken, n_chars > 5000 - before AS truncated FROM (SELECT query_id, rank, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM {_rank_sql('q.vec_id < 5', 10)} JOIN documents ON doc_id = vec_id)")
-def retrieve_text_budget(load, spark, queries="vec_id < 5"):
-    hits = ranked(similarities(load, queries, "true"), 10).join(load("documents").select(F.col("doc_id").alias("vec_id"), "n_chars"), "vec_id")
-    left = F.lit(5000) - F.coalesce(F.sum("n_chars").over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return hits.select("query_id", "rank", F.greatest(F.lit(0), F.least("n_chars", left)).alias("taken"), (F.col("n_chars") > left).alias("truncated"))
-
-
-@query("library_search", f"SELECT query_id, label AS document, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS r FROM {_rank_sql('q.vec_id < 5', 100000000)}) WHERE r = 1")
-def library_search(load, spark, queries="vec_id < 5"):
-    at = W.partitionBy("query_id", "label").orderBy(F.desc("score"), "vec_id")
-    best = similarities(load, queries, "true").withColumn("r", F.row_number().over(at)).where("r = 1")
-    return best.select("query_id", F.col("label").alias("document"), "vec_id", "score")
-
-
-def _every_hundredth(search):
-    """The same search for every vector whose id divides by 100, beside the few of the query itself."""
-    name, few = search.__name__, inspect.signature(search).parameters["queries"].default
-    sql = registry.ORACLES[name]
-    if f"q.{few}" not in sql:
-        raise ValueError(f"{name} does not state its queries")
-    query(f"{name}_hundredths", sql.replace(f"q.{few}", "q.vec_id % 100 = 0"))(lambda load, spark: search(load, spark, "vec_id % 100 = 0"))
-
-
-for _search in (vector_topk, hybrid_search, similarity_separation, hits_join_state, hits_resolve_text, retrieve_min_score, retrieve_text_budget, library_search):
-    _every_hundredth(_search)
-
-
 @query("collection_route", "SELECT label, 'c_' || substr(sha256('w1|schema|' || label), 1, 12) AS collection FROM embeddings GROUP BY label")
 def collection_route(load, spark):
     return load("embeddings").select("label").distinct().select("label", F.concat(F.lit("c_"), F.substring(F.sha2(F.concat_ws("|", F.lit("w1"), F.lit("schema"), F.col("label").cast("string")), 256), 1, 12)).alias("collection"))

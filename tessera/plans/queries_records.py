@@ -245,15 +245,6 @@ def normalize_events(load, spark):
     return load("conversations").where("conv_id is not null").select(F.col("conv_id").cast("string").alias("case_id"), F.col("role").alias("activity"), F.lit("dialogue").alias("process_type"), F.col("turn").alias("ordinal"), F.length("text").cast("bigint").alias("size"))
 
 
-@query("latency_stats", """WITH l AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1)
-SELECT event_type, len(v) AS n, round(median, 6) AS median, round(list_avg(v), 6) AS mean, CASE WHEN len(v) >= 20 THEN round(v[1 + CAST(round_even(0.95 * (len(v) - 1), 0) AS INTEGER)], 6) ELSE 0 END AS p95, round(v[1], 6) AS low FROM (SELECT *, list_median(v) AS median FROM l)""")
-def latency_stats(load, spark):
-    v = F.sort_array(F.collect_list("value"))
-    rows = load("events").groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.median("value"), 6).alias("median"), F.round(F.avg("value"), 6).alias("mean"), v.alias("v"))
-    at = F.bround(F.lit(0.95) * (F.col("n") - 1)).cast("int") + 1
-    return rows.select("event_type", "n", "median", "mean", F.when(F.col("n") >= 20, F.round(F.element_at("v", at), 6)).otherwise(0.0).alias("p95"), F.round(F.get(F.col("v"), F.lit(0)), 6).alias("low"))
-
-
 @query("fixed_chunks", "SELECT doc_id, CAST((s // 850) AS INTEGER) AS chunk_no, substr(text, s + 1, 1000) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 850)) AS s FROM documents)")
 def fixed_chunks(load, spark):
     return documents.fixed_chunks(load("documents"))

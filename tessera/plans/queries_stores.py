@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import secrets
-
 from pyspark.sql import functions as F
 
-from tessera.functions.ident import cosine
 from tessera.functions.text import canonical_tokens, humanized
-from tessera.operators import adapt, catalog, tiers
-from tessera.plans.queries_catalog import ranked, tier_state
+from tessera.operators import adapt, catalog
+from tessera.plans.queries_catalog import tier_state
 from tessera.plans.registry import query
 
-KEY_SETTING = "spark.tessera.archiveKey"
 SCHEMA_CHARS = 900
 
 
-def _key(rows):
-    """The archive's key: a session setting that a deployment fills from its secret store; a session without one gets its own."""
-    conf = rows.sparkSession.conf
-    if conf.get(KEY_SETTING, None) is None:
-        conf.set(KEY_SETTING, secrets.token_hex(16))
-    return F.lit(conf.get(KEY_SETTING))
-
-
 @query("tier_store_merge", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN vec_id % 30 ELSE 0 END AS accesses, CASE WHEN vec_id % 3 = 0 THEN 'kept' ELSE 'new' END AS origin FROM embeddings")
 def tier_store_merge(load, spark):
     prior = tier_state(load).where("vec_id % 3 = 0").select("vec_id", F.col("accesses").alias("had"))
@@ -47,35 +35,6 @@ def schema_text_chunks(load, spark):
     return lines.select("entity", F.posexplode(F.aggregate("lines", header, fold)).alias("chunk_no", "content"))
 
 
-def _archived(load):
-    sealed = F.aes_encrypt(F.to_json(F.struct("vec_id", "embedding")), _key(load("embeddings")), F.lit("GCM"))
-    return load("embeddings").where("vec_id % 3 = 2").select("vec_id", sealed.alias("archive"))
-
-
-def _opened(archives):
-    body = F.from_json(F.aes_decrypt("archive", _key(archives), F.lit("GCM")).cast("string"), "vec_id bigint, embedding array<float>")
-    return archives.select("vec_id", body["embedding"].alias("embedding"))
-
-
-@query("cold_search")
-def cold_search(load, spark):
-    q = load("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    rows = _opened(_archived(load)).join(q, F.col("vec_id") != F.col("query_id")).withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
-    return ranked(rows, 5).select("query_id", "rank", "vec_id", "score")
-
-
-@query("migration_execute")
-def migration_execute(load, spark):
-    """Rows that move, written in the new tier's form, read back and compared: the largest deviation decides what is retired."""
-    moves = tiers.routed(tier_state(load)).where(~F.col("current_tier").eqNullSafe(F.col("selected"))).select("vec_id", "selected")
-    source = load("embeddings").select("vec_id", "embedding").join(moves, "vec_id")
-    coarse = F.transform("embedding", lambda x: (F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x / 0.6)) * 127) / 127 * 0.6).cast("float"))
-    stored = F.when(F.col("selected") == "warm", coarse).otherwise(F.col("embedding"))
-    off = F.array_max(F.zip_with(stored, F.col("embedding"), lambda a, b: F.abs(a - b)))
-    rows = source.select("vec_id", "selected", F.round(off.cast("double"), 6).alias("deviation"))
-    return rows.withColumn("outcome", F.when(F.col("deviation") <= F.when(F.col("selected") == "warm", 0.01).otherwise(1e-6), "retired_source").otherwise("kept_source"))
-
-
 @query("adapt_props")
 def adapt_props(load, spark):
     """Response bodies flattened, their fields scored against a question, the relevant ones kept."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions import ident
-from tessera.operators import adapt, sync
+from tessera.operators import adapt, archive, sync
 from tessera.plans.registry import query
 from tessera.sources import files
 from tessera.streaming import changes
@@ -377,53 +377,18 @@ def ext_session_events(load, spark):
 
 
 # -- results beyond SQL: rows only -----------------------------------------------------------------------------
-@query("sensitive_text_roundtrip")
+@query("sensitive_text_roundtrip", "SELECT c_custkey, true AS restored FROM customer")
 def sensitive_text_roundtrip(load, spark):
-    key = F.lit("0123456789abcdef0123456789abcdef")
+    key = archive.key(spark)
     sealed = F.aes_encrypt(F.col("c_name"), key, F.lit("GCM"))
     return load("customer").select("c_custkey", (F.aes_decrypt(sealed, key, F.lit("GCM")).cast("string") == F.col("c_name")).alias("restored"))
 
 
-@query("cold_roundtrip")
-def cold_roundtrip(load, spark):
-    key = F.lit("0123456789abcdef0123456789abcdef")
-    e = load("embeddings").withColumn("archive", F.aes_encrypt(F.to_json(F.struct("vec_id", "embedding")), key, F.lit("GCM")))
-    back = F.from_json(F.aes_decrypt("archive", key, F.lit("GCM")).cast("string"), "vec_id bigint, embedding array<float>")
-    return e.withColumn("back", back).select("vec_id", (F.col("back.embedding") == F.col("embedding")).alias("lossless"), F.octet_length("archive").alias("bytes"))
-
-
 @query("scan_documents_snapshot")
 def scan_documents_snapshot(load, spark):
     return load("documents").orderBy("doc_id").limit(5000).select(F.col("doc_id").cast("string").alias("source_object_id"), "lang", "source")
 
 
-def _json_leaves(load):
-    flat = F.variant_get(F.try_parse_json("props"), "$", "map<string,variant>")
-    return load("events").select("event_id", F.explode(flat).alias("path", "value"))
-
-
-@query("flatten_props")
-def flatten_props(load, spark):
-    return _json_leaves(load).select("event_id", "path", F.to_json("value").alias("value"))
-
-
-@query("json_leaf_count")
-def json_leaf_count(load, spark):
-    return _json_leaves(load).groupBy("event_id").agg(F.count("*").alias("leaves"))
-
-
-@query("json_type_alias")
-def json_type_alias(load, spark):
-    return _json_leaves(load).groupBy("path", F.schema_of_variant("value").alias("type")).agg(F.count("*").alias("n"))
-
-
-@query("infer_document_structure")
-def infer_document_structure(load, spark):
-    total = load("events").count()
-    rows = _json_leaves(load).groupBy("path").agg(F.count("*").alias("present"), F.array_join(F.sort_array(F.collect_set(F.schema_of_variant("value"))), "|").alias("types"))
-    return rows.withColumn("presence", F.round(F.col("present") / total, 6))
-
-
 @query("cast_structural")
 def cast_structural(load, spark):
     return load("events").select("event_id", F.schema_of_variant(F.try_parse_json("props")).startswith("OBJECT").alias("is_object"))
