@@ -1,7 +1,7 @@
 """Records to canonical records: validation, issues, duplicates, run summary, stopping early.
 
 Every operator that depends on an order takes a total order column; windows are
-partitioned by key or run, so nothing is sorted in one place unless a run is.
+partitioned by key, and runs are summed up by range, so nothing is sorted in one place.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessera.operators.prefix import sums_before
+
 ERROR, WARNING = "error", "warning"
 
 
@@ -107,9 +109,7 @@ def run_summary(records: DataFrame, outcome: str = "outcome", max_failed: float
 
 def before_threshold(records: DataFrame, run: str, order: str, failed: Column, most: int) -> DataFrame:
     """The records of each run up to the one whose failure is the ``most``-th and one more."""
-    at = W.partitionBy(run).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum(failed.cast("long")).over(at), F.lit(0))
-    return records.withColumn("failures_before", earlier).where(F.col("failures_before") <= most)
+    return sums_before(records, [run], [order], {"failures_before": failed.cast("long")}).where(F.col("failures_before") <= most)
 
 
 JSON_KINDS = {"string": ("STRING",), "integer": ("BIGINT",), "decimal": ("BIGINT", "DECIMAL", "DOUBLE"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",)}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions import casts, ident, text
-from tessera.operators import documents, process, transform
+from tessera.operators import documents, prefix, process, transform
 from tessera.plans.queries_scalar import RAW_TOTAL, raw_total
 from tessera.plans.registry import query
 
@@ -274,15 +274,8 @@ def _class_sql(window="length(text) - 100 + 1"):
 SELECT item_id, CASE WHEN list_max(v) > 0 THEN {kinds}[list_position(v, list_max(v))] ELSE 'unclassified_document' END AS kind, CASE WHEN list_sum(v) > 0 THEN round(list_max(v) / list_sum(v), 6) ELSE 0.0 END AS confidence FROM s"""
 
 
-@query("classify_documents", _class_sql())
+@query("classify_documents", _class_sql("1, 2000"))
 def classify_documents(load, spark):
-    """The classes by the texts' ends; classify_whole_documents reads them from the start."""
-    whole = _marked_text()
-    return _classes(load, whole.substr(F.length("text") - 100 + 1, F.length(whole)))
-
-
-@query("classify_whole_documents", _class_sql("1, 2000"))
-def classify_whole_documents(load, spark):
     return _classes(load, _marked_text())
 
 
@@ -298,8 +291,8 @@ def _classes(load, body):
 
 @query("page_text_budget", "SELECT doc_id, source, CASE WHEN before >= 20000 THEN 0 ELSE least(n_chars, 20000 - before) END AS taken FROM (SELECT doc_id, source, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM documents)")
 def page_text_budget(load, spark):
-    before = F.coalesce(F.sum("n_chars").over(W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return load("documents").select("doc_id", "source", F.greatest(F.lit(0), F.least(F.col("n_chars"), F.lit(20000) - before)).alias("taken"))
+    rows = prefix.sums_before(load("documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], {"before": F.col("n_chars")})
+    return rows.select("doc_id", "source", F.greatest(F.lit(0), F.least(F.col("n_chars"), F.lit(20000) - F.col("before"))).alias("taken"))
 
 
 @query("chunk_page_spans", "SELECT doc_id, CAST(s // 850 AS INTEGER) AS chunk_no, CAST(s // 2000 + 1 AS BIGINT) AS first_page, CAST((least(s + 1000, n) - 1) // 2000 + 1 AS BIGINT) AS last_page FROM (SELECT doc_id, length(text) AS n, unnest(range(0, length(text), 850)) AS s FROM documents)")

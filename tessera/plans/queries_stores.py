@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.text import canonical_tokens, humanized
-from tessera.operators import adapt, catalog
+from tessera.functions.text import humanized
+from tessera.operators import catalog
 from tessera.plans.queries_catalog import tier_state
 from tessera.plans.registry import query
 
@@ -33,13 +33,3 @@ def schema_text_chunks(load, spark):
 
     header = F.array(F.concat(F.lit("Entity: "), humanized(F.col("entity"))))
     return lines.select("entity", F.posexplode(F.aggregate("lines", header, fold)).alias("chunk_no", "content"))
-
-
-@query("adapt_props")
-def adapt_props(load, spark):
-    """Response bodies flattened, their fields scored against a question, the relevant ones kept."""
-    flat = F.variant_get(F.try_parse_json("props"), "$", "map<string,variant>")
-    fields = load("events").select("event_id", "event_type", F.explode(flat).alias("field", "value"))
-    words = adapt.query_tokens(F.concat_ws(" ", F.lit("show the value of"), "field"))
-    scored = fields.withColumn("score", adapt.coverage(canonical_tokens(F.col("field")), words)).withColumn("is_identity", F.lit(False))
-    return adapt.selected(scored, "event_id").where("selected").select("event_id", "field", F.to_json("value").alias("value"), "reason")

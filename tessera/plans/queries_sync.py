@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions import ident
-from tessera.operators import adapt, archive, sync
+from tessera.operators import adapt, archive, fingerprint, sync
 from tessera.plans.registry import query
 from tessera.sources import files
 from tessera.streaming import changes
@@ -50,11 +50,12 @@ def change_idempotency(load, spark):
     return load("events").select("event_id", made.alias("change_id")).dropDuplicates(["change_id"])
 
 
-@query("content_hash_changes", "SELECT source, sha256(string_agg(sha256(text), '' ORDER BY sha256(text), doc_id)) <> sha256(string_agg(sha256(text), '' ORDER BY sha256(text), doc_id) FILTER (doc_id % 50 <> 0)) AS changed FROM documents GROUP BY 1")
+# the second version lacks every fiftieth document, and every seventy-seventh has another text
+@query("content_hash_changes", "SELECT source, doc_id, CASE WHEN doc_id % 50 = 0 THEN 'delete' ELSE 'update' END AS operation FROM documents WHERE doc_id % 50 = 0 OR (doc_id % 77 = 0 AND text IS NOT NULL)")
 def content_hash_changes(load, spark):
-    digest = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ""), 256)
-    one = F.sha2("text", 256)
-    return load("documents").groupBy("source").agg((digest(one) != digest(F.when(F.col("doc_id") % 50 != 0, one))).alias("changed"))
+    old = load("documents").select("source", "doc_id", "text")
+    new = old.where("doc_id % 50 <> 0").withColumn("text", F.when(F.col("doc_id") % 77 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return fingerprint.changes(old, new, "source", "doc_id", F.sha2("text", 256))
 
 
 @query("watermark_advance", "SELECT user_id, max(ts) AS ts, arg_max(event_id, ROW(ts, event_id)) AS tie FROM events GROUP BY 1")
@@ -129,16 +130,9 @@ def lifecycle_replace(load, spark):
     return out
 
 
-@query("lifecycle_retire_slot", "SELECT doc_id, 'superseded' AS state, true AS cleanup_pending FROM documents WHERE source = 'src1'")
-def lifecycle_retire_slot(load, spark):
-    return sync.retired(load("documents").where("source = 'src1'"), "doc_id")
-
-
-# the first 50 rows that await cleanup, by id; what is retired is said by lifecycle_retire_slot
-@query("lifecycle_retire", "SELECT doc_id, 'superseded' AS state FROM documents WHERE source = 'src1' ORDER BY doc_id LIMIT 50")
+@query("lifecycle_retire", "SELECT doc_id, 'superseded' AS state, true AS cleanup_pending FROM documents WHERE source = 'src1'")
 def lifecycle_retire(load, spark):
-    pending = sync.retired(load("documents").where("source = 'src1'"), "doc_id").where("cleanup_pending")
-    return pending.orderBy("doc_id").limit(50).select("doc_id", "state")
+    return sync.retired(load("documents").where("source = 'src1'"), "doc_id")
 
 
 @query("slot_keys", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'record:' || doc_id WHEN 1 THEN 'attachment:' || source || '|' || lang END AS slot FROM documents")
@@ -147,10 +141,13 @@ def slot_keys(load, spark):
     return load("documents").select("doc_id", F.when(k == 0, F.concat(F.lit("record:"), F.col("doc_id").cast("string"))).when(k == 1, F.concat(F.lit("attachment:"), "source", F.lit("|"), "lang")).alias("slot"))
 
 
-@query("slot_generation", "SELECT source, sha256(string_agg(lpad(doc_id || '', 12, '0'), '|' ORDER BY lpad(doc_id || '', 12, '0'))) AS generation FROM documents GROUP BY 1")
+_RANGES = "(SELECT source, substr(sha256(m), 1, 3) AS range, sha256(string_agg(m, '|' ORDER BY m)) AS digest, count(*) AS n FROM (SELECT DISTINCT source, lpad(doc_id || '', 12, '0') AS m FROM documents) GROUP BY 1, 2)"
+
+
+@query("slot_generation", f"SELECT source, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(range || ':' || digest, '|' ORDER BY range)) AS generation FROM {_RANGES} GROUP BY 1")
 def slot_generation(load, spark):
     member = F.lpad(F.col("doc_id").cast("string"), 12, "0")
-    return load("documents").groupBy("source").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(member)), "|"), 256).alias("generation"))
+    return fingerprint.of_sets(fingerprint.ranges(load("documents"), "source", member), "source").withColumnRenamed("fingerprint", "generation")
 
 
 @query("idempotency_conflicts", "SELECT o_custkey, count(DISTINCT o_orderstatus) AS fingerprints FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
@@ -229,49 +226,6 @@ def pair_records(load, spark):
     return load("orders").join(load("lineitem").where("l_linenumber = 1"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_linenumber", "l_quantity")
 
 
-# -- response adaptation ---------------------------------------------------------------------------------------
-_QUERY = "show me the total amount and status of the invoice"
-# field, name and aliases of its canonical field, whether it identifies; then the words that count of its names, for the SQL
-_PAYLOAD = [
-    ("invoice_id", ["invoice_id", "invoice_number"], True), ("total_amt", ["amount", "invoice_amount", "total_amount"], False), ("status", ["status", "invoice_status"], False),
-    ("currency", ["currency", "currency_code"], False), ("created_by", None, False), ("invoice_date", ["invoice_date", "date"], False),
-]
-_WORDS = """(VALUES ('invoice_id', [], [[], []], true, true), ('total_amt', ['total', 'amount'], [['amount'], ['amount'], ['total', 'amount']], true, false), ('status', ['status'], [['status'], ['status']], true, false),
- ('currency', ['currency'], [['currency'], ['currency']], true, false), ('created_by', ['created', 'by'], [[]], false, false), ('invoice_date', ['date'], [['date'], ['date']], true, false)) w(field, own, names, mapped, is_identity)"""
-_COVER = "CASE WHEN len({t}) = 0 THEN 0 ELSE round(len(list_intersect({t}, ['total', 'amount', 'status'])) / least(len({t}), 3), 6) END"
-_SCORED = f"(SELECT field, is_identity, round(0.45 * list_max(list_transform(names, lambda t: {_COVER.format(t='t')})) + 0.3 * {_COVER.format(t='own')} + CASE WHEN mapped THEN 0.15 ELSE 0 END + CASE WHEN is_identity THEN 0.1 ELSE 0 END, 6) AS score FROM {_WORDS})"
-_REASON = f"(SELECT field, CASE WHEN is_identity THEN 'IDENTITY' WHEN score < 0.25 THEN 'IRRELEVANT' WHEN row_number() OVER (PARTITION BY is_identity OR score < 0.25 ORDER BY score DESC, field) <= 1 THEN 'RELEVANT' ELSE 'OVER_BUDGET' END AS reason FROM {_SCORED})"
-
-
-def _values(rows, names):
-    return "(VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + f") t({names})"
-
-
-def _scored(spark):
-    rows = spark.createDataFrame(_PAYLOAD, "field string, names array<string>, is_identity boolean").withColumn("case_id", F.lit("c1"))
-    return rows.withColumn("score", adapt.relevance(F.col("field"), F.col("names"), F.lit("invoice"), F.col("is_identity"), F.lit("invoice"), F.lit(_QUERY)))
-
-
-@query("query_tokens", "SELECT array_to_string(list_filter(string_split('show me the total amount and status of the invoice', ' '), lambda w: NOT list_contains(['show', 'me', 'the', 'and', 'of'], w)), ' ') AS tokens")
-def query_tokens(load, spark):
-    return spark.range(1).select(F.array_join(adapt.query_tokens(F.lit(_QUERY)), " ").alias("tokens"))
-
-
-@query("field_relevance", f"SELECT field, CAST(score AS DOUBLE) AS score FROM {_SCORED}")
-def field_relevance(load, spark):
-    return _scored(spark).select("field", "score")
-
-
-@query("field_selection", f"SELECT * FROM {_REASON}")
-def field_selection(load, spark):
-    return adapt.selected(_scored(spark), "case_id", most=1).select("field", "reason")
-
-
-@query("removal_summary", f"SELECT reason, count(*) AS n FROM {_REASON} WHERE reason IN ('IRRELEVANT', 'OVER_BUDGET') GROUP BY 1")
-def removal_summary(load, spark):
-    return adapt.selected(_scored(spark), "case_id", most=1).where("not selected").groupBy("reason").agg(F.count("*").alias("n"))
-
-
 @query("character_budget", "SELECT event_id, sum(length(props)) OVER (PARTITION BY user_id ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING) <= 200 AS kept FROM events")
 def character_budget(load, spark):
     fields = load("events").select("user_id", "event_id", "props", F.col("value").alias("score"), F.col("event_id").alias("field"))
@@ -284,11 +238,6 @@ def limit_decisions(load, spark):
     return load("events").select("event_id", F.row_number().over(at).alias("place")).where("place <= 10")
 
 
-@query("adaptation_eval", "SELECT label AS entity, round(avg(CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END), 6) AS recall, count(*) AS n FROM embeddings GROUP BY ROLLUP (label)")
-def adaptation_eval(load, spark):
-    return load("embeddings").rollup("label").agg(F.round(F.avg(F.when(F.col("vec_id") % 3 == 0, 1).otherwise(0)), 6).alias("recall"), F.count("*").alias("n")).withColumnRenamed("label", "entity")
-
-
 # -- sources ---------------------------------------------------------------------------------------------------
 _ODD_URL = "CASE page_id % 5 WHEN 0 THEN 'ftp://files.example.com/x' WHEN 1 THEN 'http://u:p@example.com/a?k=1#f' WHEN 2 THEN 'http://127.0.0.1/admin' WHEN 3 THEN 'https://example.com:8443/x' ELSE 'https://example.com/p/' || page_id || '?q=1' END"
 
@@ -338,8 +287,10 @@ def asset_outcomes(load, spark):
 
 @query("form_duplicates", "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) > 1")
 def form_duplicates(load, spark):
-    at = W.partitionBy("source", "lang").orderBy("doc_id")
-    return load("documents").withColumn("r", F.row_number().over(at)).where("r > 1").select("doc_id", "source")
+    docs = load("documents").select("doc_id", "source", "lang")
+    first = docs.groupBy(F.col("source").alias("s"), F.col("lang").alias("l")).agg(F.min("doc_id").alias("first"))
+    later = docs.join(first, F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l")))
+    return later.where("doc_id > first").select("doc_id", "source")
 
 
 @query("library_inventory", "SELECT lang, count(*) AS documents, count(*) FILTER (n_chars > 1000) AS searchable FROM documents GROUP BY 1")

@@ -17,14 +17,14 @@ def run(spark, path, query, **tables):
 
 def test_every_row_of_a_slot_is_retired(spark, tmp_path):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 > 0, "src1").otherwise("src2").alias("source"))
-    got = run(spark, tmp_path, "lifecycle_retire_slot", documents=docs)
+    got = run(spark, tmp_path, "lifecycle_retire", documents=docs)
     assert sorted(r["doc_id"] for r in got) == [i for i in range(400) if i % 4] and {(r["state"], r["cleanup_pending"]) for r in got} == {("superseded", True)}
     assert sync.retired(docs.where("false"), "doc_id").count() == 0
 
 
 def test_words_anywhere_in_a_text_classify_it(spark, tmp_path):
     texts = [(3, "invoice " + "x " * 150), (7, "x " * 150), (11, "an invoice " + "x " * 40)]
-    got = run(spark, tmp_path, "classify_whole_documents", benchmark=spark.createDataFrame(texts, "item_id long, text string"))
+    got = run(spark, tmp_path, "classify_documents", benchmark=spark.createDataFrame(texts, "item_id long, text string"))
     kinds = {r["item_id"]: r["kind"] for r in got}
     assert kinds[7] == "unclassified_document" and kinds[3] == kinds[11] != kinds[7]
 
