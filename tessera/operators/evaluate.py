@@ -26,11 +26,16 @@ def unwrapped(body: Column, key: str = "data") -> Column:
 
 def scored_fields(cases: DataFrame, mapping: DataFrame) -> DataFrame:
     """(case_id, entity, field, value, is_identity, score) of the cases' records. ``mapping`` (field, names, of_entity,
-    is_identity) says which canonical fields the record's fields stand for; it has a row for each field at most."""
+    is_identity) says which canonical fields the record's fields stand for; it has a row for each field at most.
+
+    A score follows from field, entity and question, so each different one is worked out once and joined back.
+    """
     fields = cases.select("case_id", "entity", "question", F.explode(nested.flattened(unwrapped(F.col("body")))).alias("field", "value"))
-    known = fields.join(mapping, "field", "left").withColumn("is_identity", F.coalesce("is_identity", F.lit(False)))
+    known = fields.select("field", "entity", "question").distinct().join(mapping, "field", "left").withColumn("is_identity", F.coalesce("is_identity", F.lit(False)))
     score = adapt.relevance(F.col("field"), F.col("names"), F.col("of_entity"), F.col("is_identity"), F.col("entity"), F.col("question"))
-    return known.select("case_id", "entity", "field", "value", "is_identity", score.alias("score"))
+    scores = known.select(F.struct("field", "entity", "question").alias("asked"), "is_identity", score.alias("score"))
+    met = fields.withColumn("asked", F.struct("field", "entity", "question")).join(scores, "asked")  # a struct is never null itself
+    return met.select("case_id", "entity", "field", "value", "is_identity", "score")
 
 
 def produced(cases: DataFrame, mapping: DataFrame, most: int = adapt.MOST_FIELDS) -> DataFrame:

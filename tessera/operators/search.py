@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessera.operators.staging import staged
+
 SHARD_ROWS, BLOCK_ROWS, AT_ONCE = 32_768, 16_384, 8_000_000
 TIERS = ("hot", "warm", "cold")
 #: Candidates asked of each tier for one wanted, and at most.
@@ -45,7 +47,8 @@ def _units(column: pa.ChunkedArray) -> np.ndarray:
 def _cells(queries: DataFrame, corpus: DataFrame, scope: list[str], reduce: Callable, fields: str) -> DataFrame:
     """``reduce(cosines, queries, vectors)`` over bands of each cell, as one table of ``fields``. The queries hold
     ``query_id`` and ``vector``, the corpus ``vec_id`` and ``vector``."""
-    queries, corpus = usable(queries, "vector"), usable(corpus, "vector")
+    # written: both are counted, then copied to their cells
+    queries, corpus = staged(usable(queries, "vector"), "queries"), staged(usable(corpus, "vector"), "vectors")
     spark = queries.sparkSession
     blocks = max(1, -(-queries.count() // BLOCK_ROWS))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // SHARD_ROWS))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.operators import archive, library, search, selection, tiers
+from tessera.operators.staging import staged
 from tessera.plans.queries_catalog import _ROUTED, _STATE, tier_state
 from tessera.plans.registry import query
 
@@ -108,7 +109,7 @@ _WARM = f"(SELECT vec_id, label, scale, {_CODES} AS codes FROM embeddings, {_SCA
 def _scale(load):
     """One row: the quantile of all components' sizes beyond which a component is clipped."""
     components = load("embeddings").select(F.explode(F.col("embedding").cast("array<double>")).alias("x")).select(F.abs("x").alias("x"))
-    return selection.quantiles(components, [], "x", {"scale": 0.99}).select("scale")
+    return staged(selection.quantiles(components, [], "x", {"scale": 0.99}).select("scale"), "scale")
 
 
 @query("warm_int8_quantize", f"SELECT vec_id, CAST(list_sum(codes) AS BIGINT) AS checksum, round(scale, 6) AS scale FROM {_WARM}")
@@ -139,13 +140,14 @@ _TIER_HITS = " UNION ALL ".join(
 
 
 def placed(load):
-    routed = tiers.routed(tier_state(load)).where("current_tier <> selected").select("vec_id", F.col("selected").alias("tier"))
+    # written, for a filter on a tier would otherwise copy the whole policy's expression into itself
+    routed = staged(tiers.routed(tier_state(load)).select("vec_id", "current_tier", F.col("selected").alias("tier")), "routed").where("current_tier <> tier").drop("current_tier")
     return tier_state(load).select("vec_id", F.coalesce("current_tier", F.lit("hot")).alias("tier")).unionByName(routed).distinct()
 
 
 def _stored(load, spark):
     """Each tier's vectors in its own form: floats, codes, and archives that are opened to be searched."""
-    rows = _corpus(load, "label").where("label % 2 = 0").join(placed(load), "vec_id")
+    rows = staged(_corpus(load, "label").where("label % 2 = 0").join(placed(load), "vec_id"), "placed")
     cold = rows.where("tier = 'cold'").withColumn("archive", archive.sealed(F.col("vec_id"), F.col("vector"), archive.key(spark))).select("vec_id", "archive")
     return {
         "hot": rows.where("tier = 'hot'").select("vec_id", "vector"),
@@ -187,7 +189,8 @@ SELECT vec_id, selected, round(off, 6) AS deviation, CASE WHEN off <= CASE WHEN
 def migration_execute(load, spark):
     """Rows that move, written in the new tier's form, read back and compared: the largest deviation decides what is retired.
     A component that was clipped is off by more than a step of the codes, so its source stays."""
-    moves = tiers.routed(tier_state(load)).where(~F.col("current_tier").eqNullSafe(F.col("selected"))).select("vec_id", "selected")
+    routed = staged(tiers.routed(tier_state(load)).select("vec_id", "current_tier", "selected"), "routed")
+    moves = routed.where(~F.col("current_tier").eqNullSafe(F.col("selected"))).select("vec_id", "selected")
     source = search.quantised(_corpus(load).join(moves, "vec_id"), "vector", _scale(load)).withColumn("vector", F.col("vector").cast("array<double>"))
     sealed = source.withColumn("archive", archive.sealed(F.col("vec_id"), F.col("vector"), archive.key(spark))).withColumnRenamed("vector", "source")
     opened = archive.opened(sealed, "archive", "vec_id", archive.key(spark))
