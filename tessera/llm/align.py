@@ -37,10 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import new_path, written
-from tessera.llm.tokens import CACHE_LENGTH, _Words, byte_alphabet, encoder
+from tessera.llm.tokens import CACHE_LENGTH, Encoder, _Words, byte_alphabet
 
 #: Bytes of text in a slice, about.
 SLICE = 2_000_000
+#: Words that a worker remembers of each side, in each of two generations.
+CACHED = 200_000
 _NONE = np.zeros(0, np.int64)
 
 
@@ -52,7 +54,8 @@ class ByteSide:
 
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
-        self.cached = encoder(path)
+        self.cached = Encoder(path)
+        self.cached.words.most = CACHED
         back = {c: b for b, c in byte_alphabet().items()}
         vocabulary = self.plain.get_vocab()
         self.bytes_of = np.full(max(vocabulary.values()) + 1, b"", object)
@@ -81,7 +84,7 @@ class PieceSide:
         self.bytes_of = np.full(len(pieces), b"", object)
         for i, p in enumerate(pieces):
             self.bytes_of[i] = bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
-        self.words = _Words(self._word)
+        self.words = _Words(self._word, CACHED)
 
     def _word(self, word: str) -> bytes:
         return np.array(self.model.encode(word), "<u4").tobytes()
