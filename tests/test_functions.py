@@ -129,16 +129,6 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     assert got == {(r["start"], r["event_type"]): r["n"] for r in changes.tumbling(events, "ts", "event_type").collect()}
 
 
-def test_running_cases_equal_batch(spark, tmp_path):
-    events = _split(spark, tmp_path)
-    live = changes.running_cases(changes.file_stream(spark, str(tmp_path / "in"), events.schema), "user_id", "event_type", "event_id")
-    q = live.writeStream.outputMode("update").format("memory").queryName("live").trigger(availableNow=True).start()
-    q.awaitTermination(180)
-    got = {r["user_id"]: (r["n"], r["s"]) for r in spark.sql("select user_id, max(n_events) n, max_by(current_state, n_events) s from live group by 1").collect()}
-    want = {r["user_id"]: (r["n"], r["s"]) for r in events.groupBy("user_id").agg(F.count("*").alias("n"), F.max_by("event_type", "event_id").alias("s")).collect()}
-    assert got == want
-
-
 def plain_relevance(field, names, of_entity, is_identity, entity, query):
     """The scores from their definition."""
     def words(text):
