@@ -40,17 +40,49 @@ def entity_score(source: Column, target: Column) -> Column:
     return F.when(F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)) == 0, 1.0).when(F.size(F.array_except(b, a)) == 0, 0.85).when(F.size(F.array_except(a, b)) == 0, 0.75).otherwise(F.greatest(jaccard(a, b), F.lit(NEUTRAL)))
 
 
+def path_score(path: Column, name: Column, entity: Column, target: Column) -> Column:
+    """How well a nested field's whole path fits the target; a flat field has nothing to say."""
+    own, other = canonical_tokens(F.concat_ws(".", path, name)), F.concat(canonical_tokens(entity), canonical_tokens(target))
+    return F.when(path.isNull(), NEUTRAL).otherwise(jaccard(own, F.array_distinct(other)))
+
+
+def pairs(fields: DataFrame, model: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The fields with the targets they may stand for: those that share a word of their names, the same identifier, or an
+    alias. Only these can have a name score, so no field meets the whole model."""
+    def index(rows: DataFrame, name: str) -> Column:
+        words = F.transform(F.array_distinct(canonical_tokens(F.col(name))), lambda w: F.concat(F.lit("word:"), w))
+        return F.array_distinct(F.concat(words, F.array(F.concat(F.lit("name:"), identifier(F.col(name))))))
+
+    left = fields.withColumn("_word_", F.explode(F.concat(index(fields, "field"), F.array(F.concat(F.lit("alias:"), identifier(F.col("field")))))))
+    known = aliases.select(F.concat(F.lit("alias:"), identifier(F.col("alias"))).alias("_word_"), "target_entity", "target").distinct()
+    targets = model.withColumn("_word_", F.explode(index(model, "target")))
+    targets = targets.unionByName(known.join(model, ["target_entity", "target"]).select(*model.columns, "_word_"))
+    met = left.join(targets, "_word_").withColumn("_alias_", F.col("_word_").startswith("alias:"))
+    return met.groupBy(*fields.columns, *model.columns).agg(F.max("_alias_").alias("_alias_"))
+
+
 def scored(fields: DataFrame, model: DataFrame, aliases: DataFrame) -> DataFrame:
-    """All candidates above the least score. ``model`` is the canonical model, a few hundred fields at most by
-    construction, so each source field meets it by broadcast."""
-    known = aliases.select(identifier(F.col("alias")).alias("_alias_"), F.col("target_entity").alias("_ae_"), F.col("target").alias("_at_"))
-    pairs = fields.join(F.broadcast(model), F.lit(True))
-    pairs = pairs.join(F.broadcast(known), (identifier(F.col("field")) == F.col("_alias_")) & (F.col("target_entity") == F.col("_ae_")) & (F.col("target") == F.col("_at_")), "left")
-    out = pairs.withColumns({"name_score": name_score(F.col("field"), F.col("target"), F.col("_alias_").isNotNull()), "fit": type_fit(F.col("type"), F.col("target_type")), "entity_score": entity_score(F.col("entity"), F.col("target_entity"))})
-    out = out.where("name_score is not null").withColumn("score", F.round(NAME * F.col("name_score") + TYPE * fit_score(F.col("fit")) + ENTITY * F.col("entity_score") + PATH * NEUTRAL, 6))
+    """All candidates above the least score. ``fields`` may have a dotted ``path`` of what encloses the field."""
+    if "path" not in fields.columns:
+        fields = fields.withColumn("path", F.lit(None).cast("string"))
+    out = pairs(fields, model, aliases).withColumns({
+        "name_score": name_score(F.col("field"), F.col("target"), F.col("_alias_")), "fit": type_fit(F.col("type"), F.col("target_type")),
+        "entity_score": entity_score(F.col("entity"), F.col("target_entity")), "path_score": path_score(F.col("path"), F.col("field"), F.col("target_entity"), F.col("target")),
+    })
+    total = NAME * F.col("name_score") + TYPE * fit_score(F.col("fit")) + ENTITY * F.col("entity_score") + PATH * F.col("path_score")
+    out = out.where("name_score is not null").withColumn("score", F.round(total, 6))
     return out.where(F.col("score") >= LEAST).select("entity", "field", "type", "target_entity", "target", "fit", "name_score", "entity_score", "score")
 
 
+def matched_entities(entities: DataFrame, model: DataFrame, least: float = 0.6) -> DataFrame:
+    """(entity, matched): the model's entity that each one fits best, by shared words, null where none fits well."""
+    left = entities.select("entity").distinct().withColumn("_word_", F.explode(F.array_distinct(canonical_tokens(F.col("entity")))))
+    right = model.select("target_entity").distinct().withColumn("_word_", F.explode(F.array_distinct(canonical_tokens(F.col("target_entity")))))
+    met = left.join(right, "_word_").select("entity", "target_entity").distinct().withColumn("s", entity_score(F.col("entity"), F.col("target_entity")))
+    best = met.where(F.col("s") >= least).groupBy("entity").agg(F.max_by("target_entity", F.struct("s", "target_entity")).alias("matched"))
+    return entities.select("entity").distinct().join(best, "entity", "left")
+
+
 def candidates(scores: DataFrame, most: int = CANDIDATES) -> DataFrame:
     at = W.partitionBy("entity", "field").orderBy(F.desc("score"), "target_entity", "target")
     return scores.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= most)

@@ -4,63 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.text import identifier
-from tessera.operators import catalog, mapping, tiers
+from tessera.operators import catalog, tiers
 from tessera.plans.registry import query
 
-# -- catalogs: two versions of the orders' fields, as literals ----------------------------------------------------
-_V1 = [("orders", "o_orderkey", "integer"), ("orders", "o_custkey", "integer"), ("orders", "o_totalprice", "integer"), ("orders", "o_comment", "string"), ("orders", "o_orderdate", "string")]
-_V2 = [("orders", "o_orderkey", "integer"), ("orders", "o_custkey", "string"), ("orders", "o_totalprice", "decimal"), ("orders", "o_orderdate", "datetime"), ("orders", "o_channel", "string")]
-
-
-def _values(rows):
-    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + ")"
-
-
-def _catalogs(spark):
-    return (spark.createDataFrame(v, "entity string, field string, type string") for v in (_V1, _V2))
-
-
-_DIFF = f"""(SELECT coalesce(a.entity, b.entity) AS entity, coalesce(a.field, b.field) AS field, CASE WHEN a.field IS NULL THEN 'added' WHEN b.field IS NULL THEN 'removed' ELSE 'changed' END AS change,
- CASE WHEN a.field IS NOT NULL AND b.field IS NOT NULL THEN 'type' END AS attribute, CASE WHEN b.field IS NOT NULL THEN a.type END AS before, CASE WHEN a.field IS NOT NULL THEN b.type END AS after
- FROM {_values(_V1)} a(entity, field, type) FULL JOIN {_values(_V2)} b(entity, field, type) ON a.entity = b.entity AND a.field = b.field WHERE a.type IS DISTINCT FROM b.type)"""
-_DRIFT = f"""(SELECT *, CASE WHEN change = 'added' THEN 'FIELD_ADDED' WHEN change = 'removed' THEN 'FIELD_REMOVED' WHEN before = 'integer' AND after = 'decimal' THEN 'TYPE_WIDENED' ELSE 'TYPE_CHANGED' END AS drift FROM {_DIFF})"""
-_SEVERE = "CASE WHEN drift IN ('FIELD_REMOVED', 'TYPE_CHANGED') THEN 'breaking' ELSE 'info' END"
-
-
-@query("schema_diff", f"SELECT * FROM {_DIFF}")
-def schema_diff(load, spark):
-    return catalog.diff(*_catalogs(spark), ("type",))
-
-
-@query("schema_set_diff", f"SELECT change, count(*) AS n FROM {_DIFF} WHERE change <> 'changed' GROUP BY 1")
-def schema_set_diff(load, spark):
-    old, new = (c.select("entity", "field") for c in _catalogs(spark))
-    added, removed = new.exceptAll(old).withColumn("change", F.lit("added")), old.exceptAll(new).withColumn("change", F.lit("removed"))
-    return added.unionByName(removed).groupBy("change").agg(F.count("*").alias("n"))
-
-
-@query("drift_findings", f"SELECT entity, field, drift, {_SEVERE} AS severity FROM {_DRIFT}")
-def drift_findings(load, spark):
-    return catalog.drift(catalog.diff(*_catalogs(spark), ("type",))).select("entity", "field", "drift", "severity")
-
-
-@query("drift_gate", f"SELECT count(*) FILTER ({_SEVERE} = 'breaking') AS breaking, count(*) FILTER ({_SEVERE} = 'breaking') > 0 AS blocked FROM {_DRIFT}")
-def drift_gate(load, spark):
-    found = catalog.drift(catalog.diff(*_catalogs(spark), ("type",)))
-    return found.agg(F.count_if(F.col("severity") == "breaking").alias("breaking")).withColumn("blocked", F.col("breaking") > 0)
-
-
-_MAPPED = [("orders", "o_orderkey", "order_id"), ("orders", "o_comment", "note"), ("orders", "o_totalprice", "amount"), ("orders", "o_custkey", "customer_id")]
-
-
-@query("mapping_impact", f"SELECT m.field, m.target, d.drift, CASE WHEN {_SEVERE} = 'breaking' THEN 'blocked' WHEN d.drift IS NOT NULL THEN 'review' ELSE 'unaffected' END AS impact FROM {_values(_MAPPED)} m(entity, field, target) LEFT JOIN {_DRIFT} d ON m.field = d.field")
-def mapping_impact(load, spark):
-    found = catalog.drift(catalog.diff(*_catalogs(spark), ("type",))).select("entity", "field", "drift", "severity")
-    mapped = spark.createDataFrame(_MAPPED, "entity string, field string, target string")
-    return mapped.join(found, ["entity", "field"], "left").select("field", "target", "drift", F.when(F.col("severity") == "breaking", "blocked").when(F.col("drift").isNotNull(), "review").otherwise("unaffected").alias("impact"))
-
-
 @query("schema_version_sequence", "SELECT event_id, user_id, CAST(sum(CASE WHEN p IS NULL OR p <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS version FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)")
 def schema_version_sequence(load, spark):
     return catalog.versions(load("events"), "user_id", "event_id", "event_type").select("event_id", "user_id", "version")
@@ -105,103 +51,6 @@ def catalog_orphans(load, spark):
     return load("customer").select("c_custkey").join(load("orders").where("o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
-# -- mappings --------------------------------------------------------------------------------------------------
-_FIELDS = [("invoice", "inv_no", "string"), ("invoice", "total_amt", "decimal"), ("invoice", "cust_no", "string"), ("invoice", "currency", "string"), ("invoice", "status", "string"), ("invoice", "flag_74", "integer"), ("invoice", "amount", "string"), ("invoice", "issued_on", "binary")]
-_MODEL = [("invoice", "invoice_number", "string"), ("invoice", "amount", "decimal"), ("invoice", "customer_number", "string"), ("invoice", "currency", "string"), ("invoice", "status", "string"), ("invoice", "issued_on", "date")]
-_ALIASES = [("total_amt", "invoice", "amount")]
-
-
-def _mapping(spark):
-    fields = spark.createDataFrame(_FIELDS, "entity string, field string, type string")
-    model = spark.createDataFrame(_MODEL, "target_entity string, target string, target_type string")
-    aliases = spark.createDataFrame(_ALIASES, "alias string, target_entity string, target string")
-    return fields, mapping.scored(fields, model, aliases)
-
-
-# worked out by hand from the weights: 0.5 name + 0.2 type + 0.2 entity + 0.1 neutral path
-_SCORES = [("amount", "amount", 0.84), ("currency", "currency", 0.95), ("cust_no", "customer_number", 0.95 - 0.0), ("cust_no", "invoice_number", 0.616667), ("inv_no", "customer_number", 0.616667), ("inv_no", "invoice_number", 0.95), ("issued_on", "issued_on", 0.75), ("status", "status", 0.95), ("total_amt", "amount", 0.92)]
-
-
-@query("mapping_scores", f"SELECT * FROM {_values(_SCORES)} t(field, target, score)")
-def mapping_scores(load, spark):
-    return _mapping(spark)[1].select("field", "target", F.col("score"))
-
-
-@query("mapping_candidates", f"SELECT field, target, CAST(row_number() OVER (PARTITION BY field ORDER BY score DESC, target) AS INTEGER) AS rank FROM {_values(_SCORES)} t(field, target, score)")
-def mapping_candidates(load, spark):
-    return mapping.candidates(_mapping(spark)[1]).select("field", "target", "rank")
-
-
-_DECIDED = [("amount", "auto"), ("currency", "auto"), ("cust_no", "auto"), ("flag_74", "unmapped"), ("inv_no", "auto"), ("issued_on", "review_type"), ("status", "auto"), ("total_amt", "auto")]
-
-
-@query("mapping_decisions", f"SELECT * FROM {_values(_DECIDED)} t(field, decision)")
-def mapping_decisions(load, spark):
-    fields, scores = _mapping(spark)
-    return mapping.decided(mapping.candidates(scores), fields).select("field", "decision")
-
-
-@query("mapping_collisions", f"SELECT field, CASE WHEN field = 'amount' THEN 'review_collision' ELSE decision END AS decision FROM {_values(_DECIDED)} t(field, decision)")
-def mapping_collisions(load, spark):
-    fields, scores = _mapping(spark)
-    return mapping.without_collisions(mapping.decided(mapping.candidates(scores), fields)).select("field", "decision")
-
-
-@query("mapping_coverage", "SELECT unnest(['invoice', NULL]) AS entity, 8::BIGINT AS fields, 6::BIGINT AS mapped, 0.75 AS share")
-def mapping_coverage(load, spark):
-    fields, scores = _mapping(spark)
-    rows = mapping.decided(mapping.candidates(scores), fields)
-    return rows.rollup("entity").agg(F.count("*").alias("fields"), F.count_if(F.col("decision") == "auto").alias("mapped")).withColumn("share", F.round(F.col("mapped") / F.col("fields"), 6))
-
-
-@query("mapping_profiles", f"SELECT field, 'map.' || substr(sha256('invoice|' || field), 1, 16) AS mapping_id FROM {_values(_DECIDED)} t(field, decision) WHERE decision = 'auto'")
-def mapping_profiles(load, spark):
-    fields, scores = _mapping(spark)
-    auto = mapping.decided(mapping.candidates(scores), fields).where("decision = 'auto'")
-    return auto.select("field", F.concat(F.lit("map."), F.substring(F.sha2(F.concat_ws("|", "entity", "field"), 256), 1, 16)).alias("mapping_id"))
-
-
-@query("profile_findings", "SELECT 'amount' AS target, 'TARGET_COLLISION' AS finding UNION ALL SELECT 'issued_on', 'REQUIRED_TARGET_MISSING'")
-def profile_findings(load, spark):
-    fields, scores = _mapping(spark)
-    auto = mapping.decided(mapping.candidates(scores), fields).where("decision = 'auto'")
-    twice = auto.groupBy("target").agg(F.count("*").alias("n")).where("n > 1").select("target", F.lit("TARGET_COLLISION").alias("finding"))
-    needed = spark.createDataFrame([(t,) for _, t, _ in _MODEL], "target string")
-    return twice.unionByName(needed.join(auto, "target", "left_anti").withColumn("finding", F.lit("REQUIRED_TARGET_MISSING")))
-
-
-@query("mapping_overrides", f"SELECT field, CASE WHEN field = 'flag_74' THEN 'override' WHEN field = 'status' THEN 'unmapped' ELSE decision END AS decision FROM {_values(_DECIDED)} t(field, decision)")
-def mapping_overrides(load, spark):
-    fields, scores = _mapping(spark)
-    rejected = spark.createDataFrame([("status", "status")], "field string, target string")
-    overrides = spark.createDataFrame([("flag_74", "status")], "field string, forced string")
-    rows = mapping.decided(mapping.candidates(scores.join(rejected, ["field", "target"], "left_anti")), fields)
-    return rows.join(overrides, "field", "left").select("field", F.when(F.col("forced").isNotNull(), "override").otherwise(F.col("decision")).alias("decision"))
-
-
-@query("type_compatibility", "SELECT unnest(['integer', 'decimal', 'string', 'object', 'unknown']) AS source, unnest(['widening', 'exact', 'lossy', 'incompatible', 'unknown']) AS fit, unnest([0.85, 1.0, 0.45, 0.0, 0.3]) AS score")
-def type_compatibility(load, spark):
-    rows = spark.createDataFrame([("integer",), ("decimal",), ("string",), ("object",), ("unknown",)], "source string")
-    return rows.withColumn("fit", mapping.type_fit(F.col("source"), F.lit("decimal"))).withColumn("score", mapping.fit_score(F.col("fit")))
-
-
-@query("alias_lookup", "SELECT unnest(['cust no', 'CUST-NO', 'Total']) AS name, unnest(['customer_number', 'customer_number', NULL]) AS target")
-def alias_lookup(load, spark):
-    names = spark.createDataFrame([("cust no",), ("CUST-NO",), ("Total",)], "name string")
-    aliases = spark.createDataFrame([("cust_no", "customer_number")], "alias string, target string")
-    key = lambda c: F.regexp_replace(identifier(F.col(c)), "[-.]", "_")
-    return names.withColumn("k", key("name")).join(F.broadcast(aliases.withColumn("k", key("alias"))), "k", "left").select("name", "target")
-
-
-@query("entity_match", "SELECT unnest(['tbl_invoice', 'inv', 'shipment']) AS entity, unnest(['invoice', 'invoice', NULL]) AS matched")
-def entity_match(load, spark):
-    names = spark.createDataFrame([("tbl_invoice",), ("inv",), ("shipment",)], "entity string")
-    model = spark.createDataFrame([("invoice",), ("customer",)], "target string")
-    pairs = names.join(F.broadcast(model), F.lit(True)).withColumn("s", mapping.entity_score(F.col("entity"), F.col("target")))
-    best = pairs.groupBy("entity").agg(F.max(F.struct("s", "target")).alias("b"))
-    return best.select("entity", F.when(F.col("b.s") >= 0.6, F.col("b.target")).alias("matched"))
-
-
 # -- tiers -----------------------------------------------------------------------------------------------------
 _STATE = """(SELECT vec_id, vec_id % 250 AS age_days, CASE WHEN vec_id % 10 <> 0 THEN vec_id % 130 END AS idle_days, vec_id % 30 AS accesses, ['low', 'medium', 'high'][1 + vec_id % 3] AS criticality, ['low', 'medium', 'high'][1 + vec_id % 7 % 3] AS latency,
  ['public', 'restricted'][1 + CASE WHEN vec_id % 11 = 0 THEN 1 ELSE 0 END] AS sensitivity, vec_id % 17 = 0 AS legal_hold, CASE WHEN vec_id % 19 = 0 THEN 10 ELSE 0 END AS retention_days, CASE WHEN vec_id % 8 = 0 THEN NULL ELSE ['hot', 'warm', 'cold'][1 + vec_id % 3] END AS current_tier, vec_id % 20 AS resident_days FROM embeddings)"""
@@ -290,10 +139,17 @@ def collection_route(load, spark):
     return load("embeddings").select("label").distinct().select("label", F.concat(F.lit("c_"), F.substring(F.sha2(F.concat_ws("|", F.lit("w1"), F.lit("schema"), F.col("label").cast("string")), 256), 1, 12)).alias("collection"))
 
 
-@query("indexed_field_intersection", "SELECT 'a' AS field UNION ALL SELECT 'c'")
+_INDEXED = ("idle_days", "criticality", "latency", "sensitivity", "legal_hold", "retention_days")
+
+
+@query("indexed_field_intersection", "WITH f AS (SELECT current_tier AS tier, unnest(['" + "', '".join(_INDEXED) + "']) AS field, unnest([" + ", ".join(f"CAST({c} AS VARCHAR)" for c in _INDEXED) + f"]) AS v FROM {_STATE} WHERE current_tier IS NOT NULL), k AS (SELECT tier, field FROM f GROUP BY 1, 2 HAVING count(DISTINCT v) > 1) SELECT field FROM k GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT current_tier) FROM {_STATE})")
 def indexed_field_intersection(load, spark):
-    tiers_of = [spark.createDataFrame([(x,) for x in names], "field string") for names in ("abc", "acd", "ace")]
-    return tiers_of[0].intersect(tiers_of[1]).intersect(tiers_of[2])
+    """Fields worth an index (two values or more) in every tier."""
+    state = tier_state(load).where("current_tier is not null")
+    entries = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("v")) for c in _INDEXED))
+    worth = state.select("current_tier", F.explode(entries).alias("e")).groupBy("current_tier", "e.field").agg(F.min("e.v").alias("a"), F.max("e.v").alias("b")).where("a <> b")
+    n = state.agg(F.countDistinct("current_tier").alias("n"))  # one row
+    return worth.groupBy("field").agg(F.count("*").alias("held")).crossJoin(F.broadcast(n)).where("held = n").select("field")
 
 
 @query("paged_listing", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100")

@@ -128,11 +128,6 @@ def token_jaccard(load, spark):
     return load("part").select("p_partkey", text.jaccard(a, b).alias("similarity"))
 
 
-@query("humanize_label", """SELECT unnest(['order_total', 'invoiceId', 'a.b_c']) AS name, unnest(['Order Total', 'InvoiceId', 'A B C']) AS label""")
-def humanize_label(load, spark):
-    return spark.createDataFrame([("order_total",), ("invoiceId",), ("a.b_c",)], "name string").select("name", text.humanized(F.col("name")).alias("label"))
-
-
 @query("clip_text", "SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 197) || '...' ELSE text END AS clipped FROM documents")
 def clip_text(load, spark):
     return load("documents").select("doc_id", text.clipped(F.col("text"), 200, "...").alias("clipped"))

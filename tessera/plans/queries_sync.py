@@ -306,11 +306,11 @@ def representations_orders(load, spark):
     return load("orders").select("o_orderkey", F.concat(F.lit("ai:order:"), F.col("o_orderkey").cast("string")).alias("representation_id"), F.sha2(text, 256).alias("content_hash"))
 
 
-@query("bench_corpus", "SELECT i AS record, 'Invoice ' || lpad(i || '', 4, '0') || ' of supplier ' || i % 17 || ' is ' || ['open', 'paid', 'late'][1 + i % 3] AS text FROM range(500) t(i)")
+@query("bench_corpus", "SELECT o_orderkey AS record, 'Order ' || lpad(o_orderkey || '', 8, '0') || ' of customer ' || o_custkey || ' is ' || CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE 'pending' END AS text FROM orders")
 def bench_corpus(load, spark):
-    i = F.col("id")
-    state = F.get(F.array(F.lit("open"), F.lit("paid"), F.lit("late")), (i % 3).cast("int"))
-    return spark.range(500).select(i.alias("record"), F.concat(F.lit("Invoice "), F.lpad(i.cast("string"), 4, "0"), F.lit(" of supplier "), (i % 17).cast("string"), F.lit(" is "), state).alias("text"))
+    state = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "filled").otherwise("pending")
+    said = F.concat(F.lit("Order "), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit(" of customer "), F.col("o_custkey").cast("string"), F.lit(" is "), state)
+    return load("orders").select(F.col("o_orderkey").alias("record"), said.alias("text"))
 
 
 # -- event-time windows: beyond what the cursors offer ----------------------------------------------------------
