@@ -52,3 +52,18 @@ def replaced(current: DataFrame, incoming: DataFrame, slot: str, item: str) -> D
     arriving = incoming.select(slot).distinct()
     both = a.join(arriving, slot, "left_semi").join(b, [slot, item], "full")
     return both.select(slot, item, F.when(F.col("_old_").isNull(), "promoted").when(F.col("_new_").isNull(), "superseded").otherwise("unchanged").alias("outcome"))
+
+
+def embedding_status(rows: DataFrame, content: str, was: str) -> DataFrame:
+    """Adds ``status``: EMPTY_CONTENT, SKIPPED_UNCHANGED where the content has the hash that the ledger holds, else GENERATED."""
+    now = F.sha2(F.col(content), 256)
+    empty = F.btrim(F.coalesce(F.col(content), F.lit(""))) == ""
+    return rows.withColumn("status", F.when(empty, "EMPTY_CONTENT").when(F.coalesce(now == F.col(was), F.lit(False)), "SKIPPED_UNCHANGED").otherwise("GENERATED"))
+
+
+def identity_issues(rows: DataFrame, key: str, stored: str, derived: Column) -> DataFrame:
+    """(key, issue): WRONG_ID where the stored id is not the one derived from the key, ID_TAKEN where another row lies under it."""
+    named = rows.select(key, F.col(stored).alias("_stored_"), derived.alias("_derived_"))
+    taken = named.where(~F.col("_stored_").eqNullSafe(F.col("_derived_"))).select(F.col("_stored_").alias("_derived_"), F.lit(True).alias("_taken_")).where("_derived_ is not null").distinct()
+    issue = F.when(~F.col("_stored_").eqNullSafe(F.col("_derived_")), "WRONG_ID").when(F.col("_taken_"), "ID_TAKEN")
+    return named.join(taken, "_derived_", "left").select(key, issue.alias("issue")).where("issue is not null")

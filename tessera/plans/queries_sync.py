@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from tessera.functions import ident
 from tessera.operators import adapt, archive, fingerprint, sync
 from tessera.plans.registry import query
-from tessera.sources import files
+from tessera.sources import files, payloads
 from tessera.streaming import changes
 
 
@@ -103,24 +103,21 @@ def hash_skip(load, spark):
     return docs.join(ledger, "doc_id", "left").select("doc_id", (~F.col("h").eqNullSafe(F.col("was"))).alias("reembed"))
 
 
-_STATUS = "CASE WHEN doc_id % 5 = 0 THEN 'EMPTY_CONTENT' WHEN doc_id % 4 = 0 THEN 'SKIPPED_UNCHANGED' ELSE 'GENERATED' END"
+# texts of an hour's run: emptied ones, ones that the ledger holds under the same hash, and the rest
+_STATUS = "CASE WHEN trim(coalesce(content, '')) = '' THEN 'EMPTY_CONTENT' WHEN sha256(content) = was THEN 'SKIPPED_UNCHANGED' ELSE 'GENERATED' END"
+_CONTENT = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '  ' ELSE text END AS content, CASE WHEN doc_id % 4 = 0 THEN sha256(text) WHEN doc_id % 4 = 1 THEN sha256(text || '!') END AS was FROM documents)"
 
 
-def _embedding_status(load):
-    k = F.col("doc_id")
-    return load("documents").select("doc_id", F.when(k % 5 == 0, "EMPTY_CONTENT").when(k % 4 == 0, "SKIPPED_UNCHANGED").otherwise("GENERATED").alias("status"))
-
-
-@query("embedding_status", f"SELECT doc_id, {_STATUS} AS status FROM documents")
+@query("embedding_status", f"SELECT doc_id, {_STATUS} AS status FROM {_CONTENT}")
 def embedding_status(load, spark):
-    content = F.when(F.col("doc_id") % 5 != 0, F.col("text")).otherwise("")
-    rows = load("documents").select("doc_id", content.alias("content"), F.sha2(content, 256).alias("h"), F.when(F.col("doc_id") % 4 == 0, F.sha2(content, 256)).alias("was"))
-    return rows.select("doc_id", F.when(F.btrim("content") == "", "EMPTY_CONTENT").when(F.col("h").eqNullSafe(F.col("was")), "SKIPPED_UNCHANGED").otherwise("GENERATED").alias("status"))
+    k, text = F.col("doc_id"), F.col("text")
+    was = F.when(k % 4 == 0, F.sha2(text, 256)).when(k % 4 == 1, F.sha2(F.concat(text, F.lit("!")), 256))
+    return sync.embedding_status(load("documents").select("doc_id", F.when(k % 5 == 0, "  ").otherwise(text).alias("content"), was.alias("was")), "content", "was").select("doc_id", "status")
 
 
-@query("embedding_run_summary", f"SELECT s AS status, count(*) AS n FROM (SELECT {_STATUS} AS s FROM documents) GROUP BY 1")
+@query("embedding_run_summary", f"SELECT {_STATUS} AS status, count(*) AS n FROM {_CONTENT} GROUP BY 1")
 def embedding_run_summary(load, spark):
-    return _embedding_status(load).groupBy("status").agg(F.count("*").alias("n"))
+    return embedding_status(load, spark).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("lifecycle_replace", "SELECT source, doc_id, CASE WHEN doc_id % 4 = 0 THEN 'unchanged' WHEN doc_id % 4 = 2 THEN 'superseded' ELSE 'promoted' END AS outcome FROM documents d WHERE doc_id % 4 IN (0, 1) OR (doc_id % 4 = 2 AND EXISTS (SELECT 1 FROM documents e WHERE e.source = d.source AND e.doc_id % 4 IN (0, 1)))")
@@ -169,11 +166,12 @@ def identity_issues(load, spark):
     return load("orders").select("o_orderkey", F.explode(F.array_compact(codes)).alias("code"))
 
 
-@query("vector_identity", "SELECT count(*) AS n, count(*) FILTER (vec_id % 9 = 0) AS wrong FROM embeddings")
+# every ninth vector lies under the id of the one before it: its id is taken, and it has none of its own
+@query("vector_identity", "SELECT vec_id, CASE WHEN vec_id % 9 = 0 THEN 'WRONG_ID' WHEN vec_id % 9 = 8 AND EXISTS (SELECT 1 FROM embeddings n WHERE n.vec_id = e.vec_id + 1) THEN 'ID_TAKEN' END AS issue FROM embeddings e WHERE issue IS NOT NULL")
 def vector_identity(load, spark):
-    right = ident.uuid5(F.concat(F.lit("engine/"), F.col("vec_id")))
-    stored = F.when(F.col("vec_id") % 9 == 0, "00000000-0000-0000-0000-000000000000").otherwise(right)
-    return load("embeddings").agg(F.count("*").alias("n"), F.count_if(stored != right).alias("wrong"))
+    owner = F.col("vec_id") - F.when(F.col("vec_id") % 9 == 0, 1).otherwise(0)
+    stored = load("embeddings").select("vec_id", ident.uuid5(F.concat(F.lit("engine/"), owner.cast("string"))).alias("stored"))
+    return sync.identity_issues(stored, "vec_id", "stored", ident.uuid5(F.concat(F.lit("engine/"), F.col("vec_id").cast("string"))))
 
 
 @query("orphan_vectors", "SELECT vec_id FROM embeddings WHERE vec_id % 3 = 1")
@@ -278,12 +276,34 @@ def identity_declaration_checks(load, spark):
     return load("customer").select("c_custkey", issue.alias("issue"))
 
 
-@query("asset_outcomes", "SELECT outcome, count(*) AS n FROM (SELECT unnest([CASE WHEN doc_id % 3 = 0 THEN 'extracted' ELSE 'unreadable' END, CASE WHEN doc_id % 5 = 0 THEN 'too_large' ELSE 'extracted' END]) AS outcome FROM documents) GROUP BY 1")
+# pages as bytes: in UTF-16 after its mark, in UTF-8 after its mark or without one, cut inside a character, under the
+# signature of another format, larger than is read, or not there
+_ASSET_CAP = 3000
+_ASSET = f"(SELECT page_id, html, CASE WHEN html IS NULL OR html = '' OR page_id % 7 = 5 THEN 'empty' WHEN CASE page_id % 7 WHEN 0 THEN 2 + 2 * length(html) WHEN 1 THEN 3 + strlen(html) WHEN 2 THEN 9 + strlen(html) WHEN 3 THEN 1 + strlen(html) ELSE strlen(html) END > {_ASSET_CAP} THEN 'too_large' WHEN page_id % 7 = 2 THEN 'unsupported_binary' WHEN page_id % 7 = 3 THEN 'unreadable' ELSE 'extracted' END AS outcome FROM pages)"
+
+
+def _assets(load):
+    k, html = F.col("page_id") % 7, F.col("html")
+    utf8 = F.encode(html, "UTF-8")
+    content = (
+        F.when(k == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(html, "UTF-16LE"))).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).when(k == 2, F.concat(F.encode(F.lit("%PDF-1.7\n"), "UTF-8"), utf8))
+        .when(k == 3, F.concat(utf8, F.unhex(F.lit("C3")))).when(k != 5, utf8)
+    )
+    rows = load("pages").select("page_id", "url", F.when(html != "", content).alias("body"))
+    return rows, payloads.scanned(rows, "page_id", ["body"], _ASSET_CAP)
+
+
+@query("asset_outcomes", f"SELECT outcome, count(*) AS n, CAST(coalesce(sum(length(html)) FILTER (outcome = 'extracted'), 0) AS BIGINT) AS characters FROM {_ASSET} GROUP BY 1")
 def asset_outcomes(load, spark):
-    k = F.col("doc_id")
-    found = F.array(F.when(k % 3 == 0, "extracted").otherwise("unreadable"), F.when(k % 5 == 0, "too_large").otherwise("extracted"))
-    return load("documents").select(F.explode(found).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+    return _assets(load)[1].groupBy("outcome").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"))
+
 
+# the same bytes under two addresses of a host are one attachment there
+@query("attachment_representations", """WITH a AS (SELECT page_id % 10 AS scope, sha256(h) AS document_id, page_id, h FROM (SELECT page_id, substr(html, 1, 60) AS h FROM pages) WHERE h <> '')
+SELECT 'att.' || substr(sha256(scope || '|' || document_id), 1, 20) AS attachment_id, scope, document_id, count(DISTINCT page_id) AS owners, min(page_id) AS first_owner, min(h) AS text FROM a GROUP BY scope, document_id""")
+def attachment_representations(load, spark):
+    rows = load("pages").select("page_id", F.encode(F.substring("html", 1, 60), "UTF-8").alias("head"))
+    return payloads.attachments(payloads.scanned(rows, "page_id", ["head"]).withColumn("scope", F.col("page_id") % 10), "scope", "page_id")
 
 @query("form_duplicates", "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) > 1")
 def form_duplicates(load, spark):
