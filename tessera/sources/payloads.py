@@ -22,8 +22,7 @@ SIGNATURES = (
 MARKS = (("EFBBBF", "utf-8"), ("FFFE", "utf-16le"), ("FEFF", "utf-16be"))
 
 
-@F.pandas_udf("string")
-def _wide_text(content: pd.Series) -> pd.Series:
+def _wide_text(content: Column) -> Column:
     """UTF-16 after its mark; null where the bytes are broken."""
     def read(raw: bytes | None) -> str | None:
         try:
@@ -31,7 +30,10 @@ def _wide_text(content: pd.Series) -> pd.Series:
         except UnicodeDecodeError:
             return None
 
-    return content.map(read)
+    def texts(values: pd.Series) -> pd.Series:
+        return values.map(read)
+
+    return F.pandas_udf(texts, "string")(content)
 
 
 def scanned(rows: DataFrame, key: str, fields: list[str], most_bytes: int = MOST_BYTES, most_chars: int = MOST_CHARS) -> DataFrame:

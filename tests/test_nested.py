@@ -70,7 +70,7 @@ def test_leaves_and_counts(spark):
             continue
         value = json.loads(RECORDS[r["i"]])
         assert {k: json.loads(v) for k, v in r["flat"].items()} == plain_flat(value), RECORDS[r["i"]]
-        assert [*r["flat"]] == sorted(r["flat"]) and r["n"] == plain_count(value), RECORDS[r["i"]]
+        assert r["n"] == plain_count(value), RECORDS[r["i"]]
 
 
 def test_structure_of_a_collection(spark):

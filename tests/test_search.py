@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import archive, fingerprint, library, prefix, search, selection
 
-KEY = F.lit("0123456789abcdef0123456789abcdef")
+KEY = "0123456789abcdef0123456789abcdef"
 
 
 def cosine(a, b):
@@ -89,12 +89,12 @@ def test_library_rights_and_revisions(spark):
 
 def test_archives_open_under_their_own_header_only(spark):
     rows = spark.createDataFrame([(1, [0.5, 1.0]), (2, [2.0]), (3, []), (4, None)], "k long, vector array<double>")
-    kept = rows.withColumn("archive", archive.sealed(F.col("k"), F.col("vector"), KEY)).drop("vector")
-    found = {r["k"]: (r["vector"], r["refused"]) for r in archive.opened(kept, "archive", "k", KEY).collect()}
+    kept = rows.withColumn("archive", archive.sealed(F.col("k"), F.col("vector"), F.lit(KEY))).drop("vector")
+    found = {r["k"]: (r["vector"], r["refused"]) for r in archive.opened(kept, "archive", "k", F.lit(KEY)).collect()}
     assert found[1] == ([0.5, 1.0], None) and found[2] == ([2.0], None) and found[3] == ([], None) and found[4] == (None, "SEAL")
     whole = {r["k"]: r["archive"] for r in kept.collect()}
     swapped = spark.createDataFrame([(1, (whole[2]["header"], whole[1]["body"])), (2, (whole[2]["header"].replace('"dimension":1', '"dimension":9'), whole[2]["body"])), (3, ("no json", whole[3]["body"])), (4, (None, None))], "k long, archive struct<header: string, body: binary>")
-    assert {r["k"]: r["refused"] for r in archive.opened(swapped, "archive", "k", KEY).collect()} == {1: "OWNER", 2: "SEAL", 3: "FORMAT", 4: "FORMAT"}
+    assert {r["k"]: r["refused"] for r in archive.opened(swapped, "archive", "k", F.lit(KEY)).collect()} == {1: "OWNER", 2: "SEAL", 3: "FORMAT", 4: "FORMAT"}
     assert {r["refused"] for r in archive.opened(kept.where("k < 3"), "archive", "k", F.lit("another key of 32 characters ...")).collect()} == {"SEAL"}
 
 
