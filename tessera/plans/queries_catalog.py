@@ -110,13 +110,6 @@ def retention_guard(load, spark):
     return asked.select("vec_id", F.when(F.col("legal_hold"), "LEGAL_HOLD").when(F.col("retention_days") > 0, "RETENTION").alias("refused"))
 
 
-@query("optimistic_version_conflicts", "SELECT vec_id, CASE WHEN vec_id % 4 <> vec_id % 3 THEN 'conflict' ELSE 'applied' END AS outcome FROM embeddings")
-def optimistic_version_conflicts(load, spark):
-    stored = load("embeddings").select("vec_id", (F.col("vec_id") % 4).alias("version"))
-    writes = load("embeddings").select("vec_id", (F.col("vec_id") % 3).alias("expected"))
-    return stored.join(writes, "vec_id").select("vec_id", F.when(F.col("version") != F.col("expected"), "conflict").otherwise("applied").alias("outcome"))
-
-
 @query("access_stats", "SELECT user_id, count(*) AS accesses, max(ts) AS last_at FROM events GROUP BY 1")
 def access_stats(load, spark):
     return load("events").groupBy("user_id").agg(F.count("*").alias("accesses"), F.max("ts").alias("last_at"))

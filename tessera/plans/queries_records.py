@@ -126,23 +126,6 @@ def duplicate_ids(load, spark):
     return load("orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _profile_sql(columns):
-    part = "SELECT '{c}' AS column_name, count(*) AS n, count(*) - count({c}) AS n_null, round((count(*) - count({c})) / count(*), 4) AS null_share, count(DISTINCT {c}) AS n_distinct, min(CAST({c} AS DOUBLE)) AS low, max(CAST({c} AS DOUBLE)) AS high FROM lineitem"
-    return " UNION ALL ".join(part.format(c=c) for c in columns)
-
-
-_PROFILED = ("l_orderkey", "l_quantity", "l_extendedprice", "l_discount")
-
-
-@query("profile_columns", _profile_sql(_PROFILED))
-def profile_columns(load, spark):
-    one = [F.count("*").alias("n")]
-    for c in _PROFILED:
-        one += [F.count(c).alias(f"{c}_count"), F.countDistinct(c).alias(f"{c}_distinct"), F.min(c).cast("double").alias(f"{c}_low"), F.max(c).cast("double").alias(f"{c}_high")]
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n"), (F.col("n") - F.col(f"{c}_count")).alias("n_null"), F.round((F.col("n") - F.col(f"{c}_count")) / F.col("n"), 4).alias("null_share"), F.col(f"{c}_distinct").alias("n_distinct"), F.col(f"{c}_low").alias("low"), F.col(f"{c}_high").alias("high")) for c in _PROFILED])
-    return load("lineitem").agg(*one).select(F.inline(rows))
-
-
 @query("infer_csv_types", f"""WITH v AS (SELECT 'date' AS c, 'date' AS k, count(*) AS n FROM orders UNION ALL SELECT 'total', CASE WHEN v = '' THEN 'empty' WHEN v = 'n/a' THEN 'null_marker' ELSE 'decimal' END, count(*) FROM {_ORDERS} GROUP BY 2 UNION ALL SELECT 'key', 'integer', count(*) FROM orders)
 SELECT c AS column_name, string_agg(k || '=' || n, ',' ORDER BY k) AS kinds, max(CASE c WHEN 'total' THEN 'decimal' WHEN 'key' THEN 'integer' ELSE 'date' END) AS inferred FROM v GROUP BY c""")
 def infer_csv_types(load, spark):
