@@ -20,17 +20,23 @@ def latest_snapshot(load, spark):
 _TABLES = ("customer", "orders", "part", "supplier", "documents")
 
 
-@query("schema_catalog_listing")
+_LISTING = " UNION ALL ".join(
+    f"SELECT '{t}' AS entity, column_name AS field, CASE WHEN column_type LIKE '%[]' THEN 'array' ELSE coalesce(MAP {{'BIGINT': 'integer', 'INTEGER': 'integer', 'DOUBLE': 'decimal', 'VARCHAR': 'string', 'TIMESTAMP': 'datetime', 'BOOLEAN': 'boolean'}}[column_type], 'unknown') END AS type, CAST(row_number() OVER () - 1 AS INTEGER) AS position FROM (DESCRIBE SELECT * FROM {t})"
+    for t in _TABLES
+)
+
+
+@query("schema_catalog_listing", _LISTING)
 def schema_catalog_listing(load, spark):
     return catalog.listing(spark, {t: load(t) for t in _TABLES})
 
 
-@query("schema_summary", "SELECT 5::BIGINT AS entities, 26::BIGINT AS fields")
+@query("schema_summary", f"SELECT count(DISTINCT entity) AS entities, count(*) AS fields FROM ({_LISTING})")
 def schema_summary(load, spark):
     return catalog.listing(spark, {t: load(t) for t in _TABLES}).agg(F.countDistinct("entity").alias("entities"), F.count("*").alias("fields"))
 
 
-@query("search_field_catalog", """SELECT unnest(['customer', 'orders']) AS entity, unnest(['c_acctbal,c_custkey,c_mktsegment,c_name,c_nationkey', 'o_custkey,o_orderdate,o_orderkey,o_orderpriority,o_orderstatus,o_totalprice']) AS fields""")
+@query("search_field_catalog", f"SELECT entity, array_to_string(list(field ORDER BY field), ',') AS fields FROM ({_LISTING}) WHERE entity IN ('customer', 'orders') AND type <> 'array' GROUP BY 1")
 def search_field_catalog(load, spark):
     rows = catalog.listing(spark, {t: load(t) for t in ("customer", "orders")}).where(~F.col("type").isin("array", "binary"))
     return rows.groupBy("entity").agg(F.array_join(F.sort_array(F.collect_list("field")), ",").alias("fields"))

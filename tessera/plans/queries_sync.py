@@ -355,17 +355,17 @@ def sensitive_text_roundtrip(load, spark):
     return load("customer").select("c_custkey", (F.aes_decrypt(sealed, key, F.lit("GCM")).cast("string") == F.col("c_name")).alias("restored"))
 
 
-@query("scan_documents_snapshot")
+@query("scan_documents_snapshot", "SELECT CAST(doc_id AS VARCHAR) AS source_object_id, lang, source FROM documents ORDER BY doc_id LIMIT 5000")
 def scan_documents_snapshot(load, spark):
     return load("documents").orderBy("doc_id").limit(5000).select(F.col("doc_id").cast("string").alias("source_object_id"), "lang", "source")
 
 
-@query("cast_structural")
+@query("cast_structural", "SELECT event_id, json_type(props) = 'OBJECT' AS is_object FROM events")
 def cast_structural(load, spark):
     return load("events").select("event_id", F.schema_of_variant(F.try_parse_json("props")).startswith("OBJECT").alias("is_object"))
 
 
-@query("unwrap_envelope")
+@query("unwrap_envelope", """SELECT event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS body FROM events""")
 def unwrap_envelope(load, spark):
     wrapped = F.to_json(F.struct(F.lit("ok").alias("status"), F.struct(F.col("event_id"), F.col("event_type")).alias("data")))
     return load("events").select("event_id", F.when(F.array_contains(F.json_object_keys(wrapped), "data"), F.get_json_object(wrapped, "$.data")).otherwise(wrapped).alias("body"))

@@ -38,7 +38,7 @@ def test_first_key_of_more_than_fifty_key_lists(spark, tmp_path):
 
 
 def test_searches_answer_every_hundredth_vector(spark, tmp_path):
-    vectors = spark.range(700).select(F.col("id").alias("vec_id"), F.array(*[F.sin(F.col("id") * k).cast("float") for k in (1, 2, 3, 5)]).alias("embedding"), (F.col("id") % 5).cast("int").alias("label"))
+    vectors = spark.range(700).select(F.col("id").alias("vec_id"), F.array(*[F.sin((F.col("id") + 1) * k).cast("float") for k in (1, 2, 3, 5)]).alias("embedding"), (F.col("id") % 5).cast("int").alias("label"))
     documents = spark.range(350).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("src"), F.col("id") % 7).alias("source"))
     people = spark.range(1, 101).select(F.col("id").alias("c_custkey"), F.lit("BUILDING").alias("c_mktsegment"))
     for i, name in enumerate(("cold_search", "vector_topk", "hybrid_search", "library_search")):
