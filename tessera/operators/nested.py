@@ -1,8 +1,8 @@
 """Nested records: walks over variants of any shape, their leaves, and the structure of a collection.
 
-A walk is one expression on a record: an array of nodes that grows by a level
-each time its open containers are replaced by themselves and their children, so
-a record never leaves its row and no level is computed twice. Paths are dotted;
+A walk is one expression on a record, a loop over levels: the containers of one
+level give the nodes of the next, and ends where none is left, so a record never
+leaves its row and no node is visited twice. Paths are dotted;
 ``[]`` stands for the elements of a list.
 
 Lists of records are walked through their first element (``flattened``,
@@ -13,14 +13,12 @@ hold. A null record has no nodes; a text that is no JSON is a null record.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Levels below which a container is a leaf; elements of a list that are observed; depth of observed names.
 DEEPEST, ELEMENTS, NAMES_DEEP = 12, 100, 8
-_NODE = "struct<path: string, depth: int, value: variant, open: boolean>"
+_NODE = "struct<path: string, depth: int, value: variant>"
 
 
 def _fields(value: Column) -> Column:
@@ -46,38 +44,52 @@ def kind(value: Column) -> Column:
     )
 
 
-def _node(path: Column, depth: Column, value: Column, is_open: Column) -> Column:
-    return F.struct(path.alias("path"), depth.cast("int").alias("depth"), value.alias("value"), is_open.alias("open")).cast(_NODE)
+def _node(path: Column, depth: Column, value: Column) -> Column:
+    return F.struct(path.alias("path"), depth.cast("int").alias("depth"), value.alias("value")).cast(_NODE)
 
 
 def _below(path: Column, key: Column) -> Column:
     return F.when(path == "", key).otherwise(F.concat(path, F.lit("."), key))
 
 
-def _first_shape(node: Column, lists: str, hidden: tuple[str, ...] = ()) -> Column:
-    """An open node's children, or the node itself, closed. ``lists``: which lists are gone into through their first
-    element, those of ``records``, ``all`` or ``none``; ``hidden`` names fields left out at any level."""
-    fields, elements = _fields(node["value"]), _elements(node["value"])
-    here = node["depth"] <= DEEPEST
-    first = F.get(elements, 0)
-    into = {"records": F.coalesce(_fields(first).isNotNull(), F.lit(False)), "all": F.size(elements) > 0, "none": F.lit(False)}[lists]
-    entries = F.map_entries(fields)
-    if hidden:
-        entries = F.filter(entries, lambda e: ~F.lower(e["key"]).isin(*hidden))
-    children = F.transform(entries, lambda e: _node(_below(node["path"], e["key"]), node["depth"] + 1, e["value"], F.lit(True)))
-    shape = F.array(_node(F.concat(node["path"], F.lit("[]")), node["depth"] + 1, first, F.lit(True)))
-    closed = F.array(_node(node["path"], node["depth"], node["value"], F.lit(False)))
-    return F.when(~node["open"] | ~here, closed).when(F.size(fields) > 0, children).when((F.size(elements) > 0) & into, shape).otherwise(closed)
+def _shapes(record: Column, lists: str, hidden: tuple[str, ...] = ()) -> Column:
+    """The leaves of a record. ``lists``: which lists are gone into through their first element, those of ``records``,
+    ``all`` or ``none``; ``hidden`` names fields left out at any level."""
+    def into(node: Column) -> Column:
+        elements = _elements(node["value"])
+        return {"records": F.coalesce(_fields(F.get(elements, 0)).isNotNull(), F.lit(False)), "all": F.coalesce(F.size(elements) > 0, F.lit(False)), "none": F.lit(False)}[lists]
+
+    def opens(node: Column) -> Column:
+        return (node["depth"] <= DEEPEST) & (F.coalesce(F.size(_fields(node["value"])) > 0, F.lit(False)) | into(node))
+
+    def children(node: Column) -> Column:
+        fields = _fields(node["value"])
+        entries = F.map_entries(fields)
+        if hidden:
+            entries = F.filter(entries, lambda e: ~F.lower(e["key"]).isin(*hidden))
+        named = F.transform(entries, lambda e: _node(_below(node["path"], e["key"]), node["depth"] + 1, e["value"]))
+        first = F.array(_node(F.concat(node["path"], F.lit("[]")), node["depth"] + 1, F.get(_elements(node["value"]), 0)))
+        return F.when(fields.isNotNull(), named).otherwise(first)
+
+    return _walked(record, opens, children, DEEPEST + 1, keep_opened=False)
 
 
-def _walked(record: Column, step, levels: int) -> Column:
-    nodes = F.when(record.isNotNull(), F.array(_node(F.lit(""), F.lit(0), record, F.lit(True)))).otherwise(F.array().cast(f"array<{_NODE}>"))
-    return reduce(lambda level, _: F.flatten(F.transform(level, step)), range(levels), nodes)
+def _walked(record: Column, opens, children, levels: int, keep_opened: bool) -> Column:
+    """Nodes of a record, level by level: those that ``opens`` says are replaced by (or, with ``keep_opened``, followed by) their children."""
+    start = F.when(record.isNotNull(), F.array(_node(F.lit(""), F.lit(0), record))).otherwise(F.array().cast(f"array<{_NODE}>"))
+    state = F.struct(F.array().cast(f"array<{_NODE}>").alias("done"), start.alias("front"))
+
+    def level(held: Column, _: Column) -> Column:
+        done = held["front"] if keep_opened else F.filter(held["front"], lambda n: ~opens(n))
+        front = F.flatten(F.transform(F.filter(held["front"], opens), children))
+        return F.struct(F.concat(held["done"], done).alias("done"), front.alias("front"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), state, level, lambda held: F.concat(held["done"], held["front"]))
 
 
 def leaves(record: Column) -> Column:
     """array<struct<path, value>> of a variant: its leaves under dotted paths; a bare value is under ``value``."""
-    return _named(_walked(record, lambda n: _first_shape(n, "records"), DEEPEST + 1))
+    return _named(_shapes(record, "records"))
 
 
 def _named(nodes: Column) -> Column:
@@ -97,30 +109,32 @@ def business_leaves(record: Column, operational: tuple[str, ...]) -> Column:
     """map<path, JSON text> of the leaves that tell something of the business: lists are values, and fields of the
     ``operational`` names are left out at any level, with all below them."""
     hidden = tuple(name.lower() for name in operational)
-    return _in_order(F.filter(_named(_walked(record, lambda n: _first_shape(n, "none", hidden), DEEPEST + 1)), lambda x: ~F.coalesce(_fields(x["value"]).isNotNull(), F.lit(False)) | (x["path"] == "value")))
+    return _in_order(F.filter(_named(_shapes(record, "none", hidden)), lambda x: ~F.coalesce(_fields(x["value"]).isNotNull(), F.lit(False)) | (x["path"] == "value")))
 
 
 def leaf_count(record: Column) -> Column:
     """How many leaves a variant has; a list counts as its first element, an empty container as one."""
-    return F.size(_walked(record, lambda n: _first_shape(n, "all"), DEEPEST + 1))
-
-
-def _observed_step(node: Column, names_deep: int, most: int) -> Column:
-    """The node, closed, and all that is seen inside it. ``depth`` counts names; elements carry ``[]`` and no name."""
-    fields = _fields(node["value"])
-    elements = F.slice(_elements(node["value"]), 1, most)
-    is_element = node["path"].endswith("[]")
-    closed = F.array(_node(node["path"], node["depth"], node["value"], F.lit(False)))
-    children = F.transform(F.map_entries(fields), lambda e: _node(_below(node["path"], e["key"]), node["depth"] + 1, e["value"], F.lit(True)))
-    inside = F.transform(elements, lambda x: _node(F.concat(node["path"], F.lit("[]")), node["depth"], x, F.lit(True)))
-    # a list of lists says that its elements are lists and no more
-    return F.when(node["open"] & (F.size(fields) > 0) & (node["depth"] < names_deep), F.concat(closed, children)).when(node["open"] & (F.size(elements) > 0) & ~is_element, F.concat(closed, inside)).otherwise(closed)
+    return F.size(_shapes(record, "all"))
 
 
 def observed(record: Column, names_deep: int = NAMES_DEEP, most: int = ELEMENTS) -> Column:
-    """array<struct<path, kind, deeper>>: every field and list element of a record; ``deeper``: an object whose fields were not looked at."""
-    found = _walked(record, lambda n: _observed_step(n, names_deep, most), 2 * names_deep + 1)
-    return F.transform(F.filter(found, lambda n: n["path"] != ""), lambda n: F.struct(n["path"].alias("path"), kind(n["value"]).alias("kind"), ((n["depth"] >= names_deep) & (F.size(_fields(n["value"])) > 0)).alias("deeper")))
+    """array<struct<path, kind, deeper>>: every field and list element of a record; ``deeper``: an object whose fields were
+    not looked at. Here ``depth`` counts names; elements carry ``[]`` and no name."""
+    def has_fields(node: Column) -> Column:
+        return F.coalesce(F.size(_fields(node["value"])) > 0, F.lit(False))
+
+    def opens(node: Column) -> Column:
+        # a list of lists says that its elements are lists and no more
+        return (has_fields(node) & (node["depth"] < names_deep)) | (~node["path"].endswith("[]") & F.coalesce(F.size(_elements(node["value"])) > 0, F.lit(False)))
+
+    def children(node: Column) -> Column:
+        fields = _fields(node["value"])
+        named = F.transform(F.map_entries(fields), lambda e: _node(_below(node["path"], e["key"]), node["depth"] + 1, e["value"]))
+        inside = F.transform(F.slice(_elements(node["value"]), 1, most), lambda x: _node(F.concat(node["path"], F.lit("[]")), node["depth"], x))
+        return F.when(fields.isNotNull(), named).otherwise(inside)
+
+    found = F.filter(_walked(record, opens, children, 2 * names_deep + 1, keep_opened=True), lambda n: n["path"] != "")
+    return F.transform(found, lambda n: F.struct(n["path"].alias("path"), kind(n["value"]).alias("kind"), ((n["depth"] >= names_deep) & has_fields(n)).alias("deeper")))
 
 
 def structure(rows: DataFrame, record: Column, names_deep: int = NAMES_DEEP, most: int = ELEMENTS) -> DataFrame:
