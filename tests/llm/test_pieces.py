@@ -82,6 +82,26 @@ def test_words_learnt_together_equal_words_asked_one_by_one():
     assert [together.encode(t) for t in texts] == [alone.encode(t) for t in texts]
 
 
+def test_texts_together_equal_texts_alone_though_words_are_forgotten():
+    draw = random.Random(5)
+    words = ["".join(draw.choices("aenrstABü字.,-\n\u2581", k=draw.randint(1, 14))) for _ in range(400)] + ["x" * 200, "1.5-" * 40, "²" * 70]
+    together, free, alone = (pieces.Lattice(pieces_of()) for _ in range(3))
+    together.lists = pieces.Pairs(150)
+    for n in range(8):
+        texts = [None, "", " ", "  a", "b ", *(draw.choice([" ", "  "]).join(draw.choices(words, k=30)) for _ in range(20))][n % 2 :]
+        assert together.of_texts(texts) == free.of_texts(texts) == [alone.encode(text or "") for text in texts]
+    assert together.lists.n < free.lists.n and max(map(len, free.lists.words)) < pieces.CACHE_LENGTH
+    assert together.of_texts([]) == [] and together.of_texts([None, ""]) == [(b"", 0.0, ())] * 2
+
+
+def test_new_words_of_a_batch_are_searched_together(monkeypatch):
+    lattice, calls, searched = pieces.Lattice(pieces_of()), [], pieces.Lattice._searched
+    monkeypatch.setattr(pieces.Lattice, "_searched", lambda self, units: calls.append(len(units)) or searched(self, units))
+    draw = random.Random(6)
+    lattice.of_texts([" ".join("".join(draw.choices("aenrst.-", k=draw.choice([5, 90]))) for _ in range(20)) for _ in range(20)])
+    assert len(calls) == 1  # long words were searched one by one
+
+
 def test_edge_cases_decode_as_the_library_does(spark):
     docs = spark.createDataFrame([(i, t, "n") for i, t in enumerate(TEXTS)] + [(None, "no id", "n"), (0, None, "n")], "doc_id long, text string, nbest string")
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
