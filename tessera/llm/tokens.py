@@ -9,8 +9,9 @@ vocabulary go through the library's whole encoder, whose defaults hold.
 The byte vocabulary takes many texts at once: each different word of them is
 looked up once, the new ones go to the library's model in one call (the space
 before a word begins a token of its own, which tells the words apart), and the
-texts' ids are gathered by word. Words outside plain Latin letters, and in the
-byte vocabulary texts with runs of white space, go through the whole encoder.
+texts' ids are gathered by word, each word's from those of its letters and of
+what follows them. Words outside plain Latin letters, and in the byte vocabulary
+texts with runs of white space, go through the whole encoder.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ _PLAIN = re.compile("[!-~¡-¬®-įı-ɏ]+").fullmatch
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 _PLAIN_LINES = re.compile("[!-~¡-¬®-įı-ɏ][\n!-~¡-¬®-įı-ɏ]*(?<!\n)").fullmatch
 _BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+").findall
-_BEYOND = "\u0250"
+#: Latin letters, other signs of ASCII than the apostrophe after them, and a line end with the letters after it.
+_LETTERS = "[A-Za-zªµºÀ-ÖØ-öø-ɏ]+"
+_PARTS = rf"\A(?P<head>{_LETTERS})(?P<signs>[!-&(-/:-@\[-`{{-~]*)(?P<line>\n?)(?P<after>(?:{_LETTERS})?)\z"
 _STOPS = ".,;:!?"
 _RUN = re.compile(r"\s\s").search
 _NO_IDS = np.zeros(0, "<u4")
@@ -76,7 +79,7 @@ class _Words(dict):
 class Encoder:
     """Encodes whole texts to the bytes of their ids, as the tokenizer file at ``path`` does."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -86,10 +89,10 @@ class Encoder:
         alphabet = byte_alphabet()
         self.spelled = {c: "".join([alphabet[b] for b in c.encode()]) for c in map(chr, range(0x250))}
         if self.whole.normalizer is not None:
-            self.words = _Words(self._word)
+            self.words = _Words(self._word, remembered)
             self.begins = None
         else:
-            self.words, self.firsts, self.tails = _Words(self._spaced), _Words(self._exactly), _Words(self._piece)
+            self.words, self.firsts, self.tails = _Words(self._spaced, remembered), _Words(self._exactly, remembered), _Words(self._piece, remembered)
             self.pieces = Tokenizer(self.whole.model)  # takes pre-tokens as they are, between spaces
             self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.space, self.spell = alphabet[32], str.maketrans(self.spelled)
@@ -153,80 +156,89 @@ class Encoder:
     def _spaced(self, word: str) -> bytes:
         return self._exactly(" " + word)
 
-    def _found(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a space before it; the new words' first pre-tokens are encoded in one call."""
-        known, tails = self.words, self.tails
+    def _heads(self, words: list[str]) -> list[bytes]:
+        """Ids of different words of letters with a space before each; the new ones are encoded in one call."""
+        known, older = self.words, self.words.older
         out = list(map(known.get, words))
-        new, asked = [], {}
+        new = []
         for i in [i for i, ids in enumerate(out) if ids is None]:
-            word, rest, odd = words[i], b"", False
-            if word.isascii() and word.isalpha():
-                head = word
+            if (ids := older.get(words[i])) is None:
+                new.append(i)
             else:
-                before, line, after = word.partition("\n")
-                head = before.rstrip(_STOPS)  # stops and line ends are pre-tokens of their own after a letter
-                if head.isalpha() and (head.isascii() or max(head) < _BEYOND) and (not line or after.isascii() and after.isalpha()):
-                    if len(head) < len(before):
-                        rest = tails[before[len(head) :]]
-                    if line:
-                        rest += tails[line] + tails[after]
-                elif (ids := known.older.get(word)) is not None:
-                    out[i] = ids
-                    known.keep(word, ids)
-                    continue
-                elif _PLAIN_LINES(word):
-                    first, *others = _BYTE_PIECES(" " + word)
-                    head, rest, odd = first[1:], b"".join(map(tails.__getitem__, others)), len(word) <= CACHE_LENGTH
-                else:
-                    out[i] = known[word]
-                    continue
-            ids = known.get(head)
-            if ids is None and (ids := known.older.get(head)) is not None:
-                known.keep(head, ids)
-            if ids is None:
-                asked[head] = None
-                new.append((i, head, rest, odd))
-                continue
-            out[i] = ids + rest
-            if odd:
-                known.keep(word, out[i])
-        if asked:
-            text = self.space + f" {self.space}".join([x if x.isascii() else x.translate(self.spell) for x in asked])
+                out[i] = ids
+                known.keep(words[i], ids)
+        if new:
+            asked = [words[i] for i in new]
+            text = self.space + f" {self.space}".join(asked)
+            if not text.isascii():
+                text = f" {self.space}".join([x if x.isascii() else x.translate(self.spell) for x in asked])
+                text = self.space + text
             ids = np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            starts, data = np.flatnonzero(self.begins[ids]).tolist(), ids.tobytes()
-            for head, a, b in zip(list(asked), starts, [*starts[1:], len(ids)], strict=True):
-                asked[head] = made = data[4 * a : 4 * b]
-                if len(head) <= CACHE_LENGTH:
-                    known.keep(head, made)
-        for i, head, rest, odd in new:
-            out[i] = asked[head] + rest
-            if odd:
-                known.keep(words[i], out[i])
+            starts, data = (4 * np.flatnonzero(self.begins[ids])).tolist(), ids.tobytes()
+            for i, word, a, b in zip(new, asked, starts, [*starts[1:], len(data)], strict=True):
+                out[i] = made = data[a:b]
+                if len(word) <= CACHE_LENGTH:
+                    known.keep(word, made)
         return out
 
+    def _odd(self, word: str) -> bytes:
+        """Ids of any word with a space before it."""
+        known = self.words
+        ids = known.get(word) or known.older.get(word)
+        if ids is None and _PLAIN_LINES(word):
+            first, *others = _BYTE_PIECES(" " + word)
+            ids = self._heads([first[1:]])[0] + b"".join(map(self.tails.__getitem__, others))
+        if ids is None:
+            return known[word]
+        if len(word) <= CACHE_LENGTH:
+            known.keep(word, ids)
+        return ids
+
+    def _found(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of different words with a space before each: how many ids each has, and all ids. Letters, punctuation after
+        them, a line end and the letters of the next line are pre-tokens of their own."""
+        cut = pc.extract_regex(words, _PARTS)
+        fits = pc.is_valid(cut).to_numpy(zero_copy_only=False)
+        parts = [part.dictionary_encode() for part in cut.filter(pa.array(fits)).flatten()]
+        odd = np.flatnonzero(~fits)
+        ids_of = [self._odd(word) for word in words.take(pa.array(odd)).to_pylist()]
+        at = np.empty((len(words), 4), np.int64)
+        at[odd, 0] = np.arange(len(odd))
+        for k, part in enumerate(parts):
+            different = part.dictionary.to_numpy(zero_copy_only=False).tolist()
+            at[fits, k] = part.indices.to_numpy(zero_copy_only=False) + len(ids_of)
+            ids_of += self._heads(different) if not k else [self.tails[x] if x else b"" for x in different]
+        at[odd, 1:] = len(ids_of)
+        sizes = np.fromiter(map(len, [*ids_of, b""]), np.int64, len(ids_of) + 1) // 4
+        return sizes[at].sum(1), _gathered(np.frombuffer(b"".join(ids_of), "<u4"), (np.cumsum(sizes) - sizes)[at.ravel()], sizes[at.ravel()])
+
     def _encode_spaced(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts without runs of white space; only a text's first word has no space before it."""
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = split.values.dictionary_encode()
-        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         codes, bounds = coded.indices.to_numpy().copy(), split.offsets.to_numpy()
-        firsts = [self.firsts[different[c]] for c in codes[bounds[:-1]].tolist()]
-        codes[bounds[:-1]] = np.arange(len(different), len(different) + len(texts))
-        ids_of = self._found(different) + firsts
-        sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
-        begin, count = np.cumsum(sizes) - sizes, sizes[codes]
-        ends = np.cumsum(count)
-        at = np.repeat(begin[codes] - (ends - count), count)
-        at += np.arange(len(at))
-        ids = np.frombuffer(b"".join(ids_of), "<u4")[at]
-        return np.split(ids, ends[bounds[1:-1] - 1])
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; loaded once."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        begins = bounds[:-1]
+        firsts = [self.firsts[word] for word in coded.take(pa.array(begins)).to_pylist()]
+        codes[begins] = np.arange(len(coded.dictionary), len(coded.dictionary) + len(texts))
+        sizes, data = self._found(coded.dictionary)
+        sizes = np.concatenate([sizes, np.fromiter(map(len, firsts), np.int64, len(firsts)) // 4])
+        count = sizes[codes]
+        ids = _gathered(np.concatenate([data, np.frombuffer(b"".join(firsts), "<u4")]), (np.cumsum(sizes) - sizes)[codes], count)
+        return np.split(ids, np.cumsum(count)[bounds[1:-1] - 1])
+
+
+def _gathered(data: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs of ``data`` that begin there, one after the other."""
+    at = np.repeat(begin - np.cumsum(count) + count, count)
+    at += np.arange(len(at))
+    return data[at]
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, remembered: int = CACHE_WORDS) -> Encoder:
+    """The worker's encoder for a tokenizer file, with so many words in a generation; loaded once."""
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = Encoder(path, remembered)
+    return _encoders[path, remembered]

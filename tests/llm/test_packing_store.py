@@ -1,5 +1,6 @@
 """Packing and the content-addressed store against the tokenizers library itself."""
 
+import random
 import zlib
 from functools import cache
 
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import packing, queries, store
+import corpus_pipeline
+from tessera.llm import packing, queries, store, tokens
 from tessera.llm.common import new_path
 
 SF = "/root/testdata/sf0.001"
@@ -128,3 +130,32 @@ def test_altered_recipes_are_refused(spark, docs, change):
     assert store.verify_manifest(spark, path) and not store.verify_manifest(spark, altered)
     with pytest.raises(ValueError, match="manifest"):
         store.read_checksums(spark, altered)
+
+
+def test_words_put_together_from_parts_equal_the_whole_encoder():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, draw = tokens.Encoder(path, 60), random.Random(9)
+    words = ["".join(draw.choices("aehnrstABüÑɏʒ字1.,-!'$_|~\n", k=draw.randint(1, 12))).strip() or "a" for _ in range(600)]
+    words += ["don't", "ab.cd", "ab-'s", "'s", "a.\nNext", "Ab!!\nÄnd,", "...", "$$$", "x" * 90, "ªµº", "a\u00a0b", "a\tb", "a.\n1"]
+    texts = [" ".join(draw.choices(words, k=25)) for _ in range(80)] + [None, "", "a", " a", "a ", "a\n", *words]
+    assert [x.tolist() for x in own.encode_all(texts)] == [own.whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert max(len(own.words), len(own.words.older)) <= 60
+
+
+def test_new_words_need_no_lookup_of_their_own(monkeypatch):
+    own, draw = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    texts = [" ".join("".join(draw.choices("aehnrst", k=9)) + draw.choice(["", ".", "$$$", "#!"]) for _ in range(50)) for _ in range(40)]
+    asked = []
+    monkeypatch.setattr(tokens._Words, "keep", lambda self, word, ids: asked.append(word) or self.__setitem__(word, ids))
+    own.encode_all(texts)
+    assert asked and all(word.isalpha() for word in asked)  # words with signs after them were remembered one by one
+
+
+def test_pipeline_packs_with_few_words_remembered(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"{w}{chr(97 + i % 26)}" for w in ("alpha", "beta", "gamma"))) for i in range(60)], "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    few = {(r["doc_id"], r["start"]): bytes(r["ids"]) for r in packing.pack(docs, path, 1, remembered=5).collect()}
+    assert few == {(r["doc_id"], r["start"]): bytes(r["ids"]) for r in packing.pack(docs, path, 1).collect()}
+    own = tokens.encoder(path, 5)
+    own.encode_all([r["text"] for r in docs.collect()])
+    assert max(len(own.words), len(own.words.older)) <= 5 and 2 * corpus_pipeline.REMEMBERED < tokens.CACHE_WORDS
