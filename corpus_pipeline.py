@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import neardup, packing, quality, repeats, secrets
 from tessera.llm.common import table, written
 
+#: Words that a worker remembers in each of two generations while it packs: it still holds them in the stages of a next run.
+REMEMBERED = 100_000
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble scores 0.3 or more."""
@@ -37,7 +40,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pieces of power-of-two length, with their ids."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, remembered=REMEMBERED)
 
 
 STAGES = [

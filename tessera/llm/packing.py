@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices
-from tessera.llm.tokens import encoder
+from tessera.llm.tokens import CACHE_WORDS, encoder
 
 MAX_LENGTH = 2048
 
@@ -35,16 +35,17 @@ def binary_lengths(total: int, max_length: int = MAX_LENGTH) -> list[int]:
     return [max_length] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", max_length: int = MAX_LENGTH) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", max_length: int = MAX_LENGTH, remembered: int = CACHE_WORDS) -> DataFrame:
     """One row a piece: id, ``start``, ``length``, ``ids`` (binary, little-endian unsigned 32 bits),
-    ``doc_tokens``, ``bucket`` (the power), ``sequence_id`` (unique) and ``offset`` (0)."""
+    ``doc_tokens``, ``bucket`` (the power), ``sequence_id`` (unique) and ``offset`` (0). A worker keeps up to twice
+    ``remembered`` words and their ids, for as long as it lives."""
     binary_lengths(0, max_length)
     end = end_id.to_bytes(4, "little")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, remembered).encode
         for batch in slices(batches, "text", 1_000_000):
             row, start, length, ids, total = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
