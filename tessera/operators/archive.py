@@ -27,6 +27,12 @@ def key(spark: SparkSession) -> Column:
     return F.lit(spark.conf.get(KEY_SETTING))
 
 
+def passing_key(spark: SparkSession) -> Column:
+    """A key for what is sealed and opened within one query, on any cluster: the setting's, or else one made for this call and
+    kept nowhere. Seal and open with the same returned column; for what is to be opened later, take ``key``."""
+    return F.lit(spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16))
+
+
 def sealed(owner: Column, vector: Column, secret: Column) -> Column:
     """struct<header, body> of a vector."""
     header = F.to_json(F.struct(F.lit(FORMAT).alias("format"), owner.cast("string").alias("owner"), F.size(vector).alias("dimension")))
