@@ -166,9 +166,9 @@ def hybrid_search(load, spark):
 
 @query("cold_search", f"SELECT query_id, rank, vec_id, score FROM {_rank_sql('q.vec_id % 100 = 0', 5, f'(SELECT * FROM embeddings JOIN {_STATE} s USING (vec_id) WHERE s.current_tier = {chr(39)}cold{chr(39)})')}")
 def cold_search(load, spark):
-    rows = _corpus(load).join(tier_state(load).where("current_tier = 'cold'").select("vec_id"), "vec_id")
-    kept = rows.select("vec_id", archive.sealed(F.col("vec_id"), F.col("vector"), archive.key(spark)).alias("archive"))
-    found = archive.opened(kept, "archive", "vec_id", archive.key(spark)).where("refused is null").select("vec_id", "vector")
+    rows, secret = _corpus(load).join(tier_state(load).where("current_tier = 'cold'").select("vec_id"), "vec_id"), archive.passing_key(spark)
+    kept = rows.select("vec_id", archive.sealed(F.col("vec_id"), F.col("vector"), secret).alias("archive"))
+    found = archive.opened(kept, "archive", "vec_id", secret).where("refused is null").select("vec_id", "vector")
     return search.best(_asked(load), found, 5).select("query_id", "rank", "vec_id", "score")
 
 
