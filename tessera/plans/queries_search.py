@@ -147,12 +147,12 @@ def placed(load):
 
 def _stored(load, spark):
     """Each tier's vectors in its own form: floats, codes, and archives that are opened to be searched."""
-    rows = staged(_corpus(load, "label").where("label % 2 = 0").join(placed(load), "vec_id"), "placed")
-    cold = rows.where("tier = 'cold'").withColumn("archive", archive.sealed(F.col("vec_id"), F.col("vector"), archive.key(spark))).select("vec_id", "archive")
+    rows, secret = staged(_corpus(load, "label").where("label % 2 = 0").join(placed(load), "vec_id"), "placed"), archive.passing_key(spark)
+    cold = rows.where("tier = 'cold'").withColumn("archive", archive.sealed(F.col("vec_id"), F.col("vector"), secret)).select("vec_id", "archive")
     return {
         "hot": rows.where("tier = 'hot'").select("vec_id", "vector"),
         "warm": search.quantised(rows.where("tier = 'warm'").select("vec_id", "vector"), "vector", _scale(load)).select("vec_id", F.col("codes").alias("vector")),
-        "cold": archive.opened(cold, "archive", "vec_id", archive.key(spark)).where("refused is null").select("vec_id", "vector"),
+        "cold": archive.opened(cold, "archive", "vec_id", secret).where("refused is null").select("vec_id", "vector"),
     }
 
 
