@@ -350,7 +350,7 @@ def ext_session_events(load, spark):
 # -- results beyond SQL: rows only -----------------------------------------------------------------------------
 @query("sensitive_text_roundtrip", "SELECT c_custkey, true AS restored FROM customer")
 def sensitive_text_roundtrip(load, spark):
-    key = archive.key(spark)
+    key = archive.passing_key(spark)
     sealed = F.aes_encrypt(F.col("c_name"), key, F.lit("GCM"))
     return load("customer").select("c_custkey", (F.aes_decrypt(sealed, key, F.lit("GCM")).cast("string") == F.col("c_name")).alias("restored"))
 
