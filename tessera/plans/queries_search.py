@@ -192,8 +192,9 @@ def migration_execute(load, spark):
     routed = staged(tiers.routed(tier_state(load)).select("vec_id", "current_tier", "selected"), "routed")
     moves = routed.where(~F.col("current_tier").eqNullSafe(F.col("selected"))).select("vec_id", "selected")
     source = search.quantised(_corpus(load).join(moves, "vec_id"), "vector", _scale(load)).withColumn("vector", F.col("vector").cast("array<double>"))
-    sealed = source.withColumn("archive", archive.sealed(F.col("vec_id"), F.col("vector"), archive.key(spark))).withColumnRenamed("vector", "source")
-    opened = archive.opened(sealed, "archive", "vec_id", archive.key(spark))
+    secret = archive.passing_key(spark)
+    sealed = source.withColumn("archive", archive.sealed(F.col("vec_id"), F.col("vector"), secret)).withColumnRenamed("vector", "source")
+    opened = archive.opened(sealed, "archive", "vec_id", secret)
     stored = F.when(F.col("selected") == "warm", search.restored()).when(F.col("selected") == "cold", F.col("vector")).otherwise(F.col("source"))
     off = F.array_max(F.zip_with(stored, "source", lambda a, b: F.abs(a - b)))
     rows = opened.select("vec_id", "selected", off.alias("off"), "scale")

@@ -21,7 +21,7 @@ def cluster(spark, monkeypatch):
         spark.conf.set(archive.KEY_SETTING, before)
 
 
-@pytest.mark.parametrize("name", ["cold_roundtrip", "cold_search", "hybrid_search", "sensitive_text_roundtrip"])
+@pytest.mark.parametrize("name", ["cold_roundtrip", "cold_search", "hybrid_search", "migration_execute", "sensitive_text_roundtrip"])
 def test_query_needs_no_stored_key(cluster, duck, name):  # noqa: F811
     test_oracles.test_query(cluster, duck, name)
     assert cluster.conf.get(archive.KEY_SETTING, None) is None  # what is made in passing never becomes the key of stored archives
