@@ -130,11 +130,11 @@ class SealedEntries:
     """Entries of workspaces, their content sealed under their own name, with a revision that an update must name.
 
     What is stored is (name, workspace, entry_id, kind, owner, payload, version). The name is part of the seal, so a
-    payload moved to another entry does not open.
+    payload moved to another entry does not open. Without ``secret`` the session's stored key seals and opens.
     """
 
-    def __init__(self, spark: SparkSession, path: str, n_buckets: int = 64) -> None:
-        self.table, self.secret = VersionedTable(spark, path, "name", n_buckets), archive.key(spark)
+    def __init__(self, spark: SparkSession, path: str, n_buckets: int = 64, secret: Column | None = None) -> None:
+        self.table, self.secret = VersionedTable(spark, path, "name", n_buckets), archive.key(spark) if secret is None else secret
 
     def _sealed(self, entries: DataFrame) -> DataFrame:
         name = F.to_json(F.array("workspace", "entry_id"))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.operators import workspace
+from tessera.operators import archive, workspace
 from tessera.operators.staging import shared_dir
 from tessera.plans.registry import query
 
@@ -84,7 +84,7 @@ FROM documents LEFT JOIN labels USING (doc_id)""")
 def workspace_entries(load, spark):
     """Texts kept sealed; reviews of good ones name the revision that is stored, those of the others an older one."""
     docs = load("documents").select(F.col("lang").alias("workspace"), F.col("doc_id").cast("string").alias("entry_id"), F.lit("upload").alias("kind"), F.col("source").alias("owner"), F.col("text").alias("payload"), "doc_id", "source")
-    store = workspace.SealedEntries(spark, f"{shared_dir(spark)}/entries-{uuid.uuid4().hex}")
+    store = workspace.SealedEntries(spark, f"{shared_dir(spark)}/entries-{uuid.uuid4().hex}", secret=archive.passing_key(spark))  # a table of this query alone
     store.create(docs.drop("doc_id", "source"))
     reviews = docs.join(load("labels").select("doc_id", "quality"), "doc_id").withColumns({"payload": F.concat(F.lit("reviewed "), F.col("source")), "expected": F.col("quality").cast("int")})
     store.put(reviews.select("workspace", "entry_id", "kind", "owner", "payload", "expected"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tessera.operators import archive
+from tessera.operators import archive, workspace
 from tessera.operators.staging import shared_dir
 from tests import test_oracles
 from tests.test_oracles import duck  # noqa: F401  a fixture
@@ -21,12 +21,14 @@ def cluster(spark, monkeypatch):
         spark.conf.set(archive.KEY_SETTING, before)
 
 
-@pytest.mark.parametrize("name", ["cold_roundtrip", "cold_search", "hybrid_search", "migration_execute", "sensitive_text_roundtrip"])
+@pytest.mark.parametrize("name", ["cold_roundtrip", "cold_search", "hybrid_search", "migration_execute", "sensitive_text_roundtrip", "workspace_entries"])
 def test_query_needs_no_stored_key(cluster, duck, name):  # noqa: F811
     test_oracles.test_query(cluster, duck, name)
     assert cluster.conf.get(archive.KEY_SETTING, None) is None  # what is made in passing never becomes the key of stored archives
     with pytest.raises(ValueError):
         archive.key(cluster)
+    with pytest.raises(ValueError):
+        workspace.SealedEntries(cluster, "file:///nowhere")
 
 
 def test_a_key_that_is_set_is_taken(cluster):
