@@ -9,6 +9,8 @@ Lists of records are walked through their first element (``flattened``,
 ``leaf_count``: the shape counts, not the number of rows) or all of them up to a
 cap (``observed``). Containers below the deepest level are leaves with all they
 hold. A null record has no nodes; a text that is no JSON is a null record.
+
+``structure`` needs counts only and walks the records' bytes (``census``), in the same order and to the same depth.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import census
+from tessera.operators.staging import staged
+
 #: Levels below which a container is a leaf; elements of a list that are observed; depth of observed names.
 DEEPEST, ELEMENTS, NAMES_DEEP = 12, 100, 8
 _NODE = "struct<path: string, depth: int, value: variant>"
@@ -140,12 +145,8 @@ def observed(record: Column, names_deep: int = NAMES_DEEP, most: int = ELEMENTS)
 def structure(rows: DataFrame, record: Column, names_deep: int = NAMES_DEEP, most: int = ELEMENTS) -> DataFrame:
     """(path, present, n_values, nulls, presence, types, element_types, source_type, field_type, truncated) of a collection, one aggregate
     whose parts add up. ``present``: records that hold the path; ``types`` and ``element_types``: how many values of each kind."""
-    seen = rows.select(observed(record, names_deep, most).alias("nodes"))
-    entry = "struct<path: string, kind: string, whole: boolean, truncated: boolean, once: boolean>"
-    values = F.transform("nodes", lambda n: F.struct(n["path"], n["kind"], F.lit(False).alias("whole"), n["deeper"], F.lit(False)).cast(entry))
-    once = F.transform(F.array_distinct(F.transform("nodes", lambda n: n["path"])), lambda p: F.struct(p, F.lit("present"), F.lit(False), F.lit(False), F.lit(True)).cast(entry))
-    record_itself = F.array(F.struct(F.lit(""), F.lit("record"), F.lit(True), F.lit(False), F.lit(False)).cast(entry))
-    counts = seen.select(F.explode(F.concat(record_itself, values, once)).alias("e")).groupBy("e.path", "e.kind").agg(F.count("*").alias("n"), F.max("e.truncated").alias("truncated"))
+    counts = census.counted(rows, record, names_deep, most).groupBy("path", "kind").agg(F.sum("n").alias("n"), F.max("truncated").alias("truncated"))
+    counts = staged(counts, "paths")  # written, for the number of records is read from it besides, and would be counted by a second walk
     # what follows has a row for each path and kind, not for records
     element_of = F.when(F.col("path").endswith("[]"), F.substring("path", F.lit(1), F.length("path") - 2))
     by_path = counts.withColumn("of", F.coalesce(element_of, "path")).withColumn("side", F.when(element_of.isNotNull(), "element").otherwise("value"))

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluate, nested
+from tessera.operators import census, evaluate, nested
 
 DEEP = '{"a":' * 15 + "1" + "}" * 15
 RECORDS = [
@@ -96,3 +96,38 @@ def test_envelopes_and_labels(spark):
     assert [r["x"] for r in rows.select(F.to_json(evaluate.unwrapped(F.col("v"))).alias("x")).collect()] == ['{"a":1}', '{"b":2,"data":[1]}', '{"c":3}']
     met = spark.range(1).select(*(evaluate.is_present(F.lit(x), F.array(F.lit("customer.contact.email"), F.lit("amount"))).alias(f"c{i}") for i, x in enumerate(("contact.email", "email", "amount", "act.email", "customer"))))
     assert [*met.collect()[0]] == [True, True, True, False, False]
+
+
+ODD = [
+    '{"":{"a":1,"b":[]},"a.b":1,"a":{"b":[{"c":null}]},"x[]":[1,[2]],"é":"ü"}', '[[1],{"k":[[{"z":1}]]},null]', '{"x[]":{"y":[[1,2],{"q":true}]},"empty":{},"none":null}',
+    json.dumps({f"k{i:03}": {"v": i, "w": "x" * 300} for i in range(300)}), json.dumps({"long": [*range(250), *["t"] * 60], "far": [{"v": "y" * 70_000}, {"v": 2**40}, {"v": -(2**31)}, {"v": -(2**31) - 1}, {"v": 2**31}]}),
+    json.dumps({"huge": ["z" * 9_000_000, "z" * 9_000_000, {"last": 1e300}]}), '{"d":[1.25,1e5,1E-3,123456789012345678901234567890,-0.5],"e":{"f":{"g":{}}}}',
+]
+
+
+def test_counts_from_bytes_equal_the_walk_by_expressions(spark):
+    rows = frame(spark, [*ODD, *RECORDS, *ODD[:3], "no json", None, '{"k000":{"v":[]},"k001":{"w":7}}'])
+    for deep, most, remembered in ((8, 100, 50_000), (2, 3, 50_000), (1, 300, 5)):
+        nodes = rows.select("i", F.explode(nested.observed(F.col("v"), deep, most)).alias("x")).select("i", "x.*").collect()
+        want, there, cut = Counter((r["path"], r["kind"]) for r in nodes), Counter(p for _, p in {(r["i"], r["path"]) for r in nodes}), {r["path"] for r in nodes if r["deeper"]}
+        want |= {("", "record"): rows.count()} | {(p, "present"): n for p, n in there.items()}
+        got = census.counted(rows.coalesce(1), F.col("v"), deep, most, remembered).groupBy("path", "kind").agg(F.sum("n").alias("n"), F.max("truncated").alias("cut")).collect()
+        assert {(r["path"], r["kind"]): r["n"] for r in got} == want and {r["path"] for r in got if r["cut"]} == cut
+
+
+def test_a_decimal_point_makes_a_double_as_in_the_sql(spark):
+    got = nested.structure(frame(spark, ['{"a":1.0,"b":[2.0,3]}', '{"a":100.0,"b":[]}']), F.col("v")).collect()
+    assert {r["path"]: (r["types"], r["element_types"], r["field_type"]) for r in got} == {"a": ("double:2", "", "decimal"), "b": ("array:2", "double:1,int:1", "array")}
+
+
+def test_records_are_walked_once(spark):
+    walked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        walked.add(1)
+        return text
+
+    rows = spark.range(20).select(F.try_parse_json(told(F.lit('{"a":[1,{"b":2}]}'))).alias("v"))
+    got = nested.structure(rows, F.col("v")).collect()
+    assert {(r["path"], r["present"], r["presence"]) for r in got} == {("a", 20, 1.0), ("a[].b", 20, 1.0)} and walked.value == 20
