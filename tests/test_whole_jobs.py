@@ -44,3 +44,10 @@ def test_searches_answer_every_hundredth_vector(spark, tmp_path):
     for i, name in enumerate(("cold_search", "vector_topk", "hybrid_search", "library_search")):
         got = run(spark, tmp_path / str(i), name, embeddings=vectors, documents=documents, customer=people)
         assert {r["query_id"] for r in got} == {*range(0, 700, 100)}, name
+
+
+def test_labels_come_from_counted_paths(spark):
+    labels = registry.QUERIES["humanize_label"](spark, "/root/testdata/sf0.001")
+    plan = labels._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_parse_json" not in plan and "o_orderkey" not in plan  # the records are behind it, walked once in batches
+    assert ("order.customer.id", "Order Customer Id") in {tuple(r) for r in labels.collect()}
