@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import adapt, evaluate
+from tessera.operators import adapt, evaluate, forms
 from tessera.plans.registry import query
 
 #: Question, the fields its answer needs, those it doesn't, and, for the SQL, its content words with what its phrasing implies.
@@ -92,5 +92,5 @@ met AS (SELECT method, c.entity, len(list_filter(relevant, lambda r: len(list_fi
 SELECT method, entity, CAST(grouping(method, entity) AS BIGINT) AS level, count(*) AS cases, round(sum(kept) / sum(wanted), 6) AS recall, round(count(*) FILTER (kept = wanted) / count(*), 6) AS perfect, round(sum(removed) / sum(unwanted), 6) AS removal,
  round(1 - sum(output_fields) / sum(input_fields), 6) AS field_reduction, round(1 - sum(output_bytes) / sum(input_bytes), 6) AS byte_reduction FROM met GROUP BY GROUPING SETS ((method, entity), (method))""")
 def adaptation_eval(load, spark):
-    cases = _cases(load)
-    return evaluate.totals(cases, evaluate.produced(cases, _mapping(spark), _MOST))
+    held = forms.summed(_cases(load))
+    return evaluate.totals(held, evaluate.produced(held, _mapping(spark), _MOST))
