@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from tessera.operators import archive
 from tessera.operators.staging import shared_dir, staged
@@ -126,11 +128,33 @@ def committed(requests: DataFrame, members: DataFrame, uploads: DataFrame, schem
     return gated.join(fates, "request_id", "left").select("request_id", code.alias("outcome"), "lost")
 
 
+_CODEC, _PACKED = "zstd", b"\xff"  # no text begins with this byte
+
+
+@F.arrow_udf(BinaryType())
+def packed(texts: pa.Array) -> pa.Array:
+    """Texts as bytes, compressed where that is shorter: sealed bytes no longer are."""
+    codec, out = pa.Codec(_CODEC, compression_level=1), []
+    for data in texts.cast(pa.binary()).to_pylist():
+        if data is not None and len(small := _PACKED + len(data).to_bytes(8, "little") + codec.compress(data, asbytes=True)) < len(data):
+            data = small
+        out.append(data)
+    return pa.array(out, pa.binary())
+
+
+@F.arrow_udf(StringType())
+def unpacked(datas: pa.Array) -> pa.Array:
+    """The texts of what ``packed`` made, or of plain bytes."""
+    codec = pa.Codec(_CODEC)
+    texts = (x if x is None or x[:1] != _PACKED else codec.decompress(x[9:], int.from_bytes(x[1:9], "little"), asbytes=True) for x in datas.to_pylist())
+    return pa.array([x if x is None else x.decode() for x in texts], pa.string())
+
+
 class SealedEntries:
     """Entries of workspaces, their content sealed under their own name, with a revision that an update must name.
 
     What is stored is (name, workspace, entry_id, kind, owner, payload, version). The name is part of the seal, so a
-    payload moved to another entry does not open. Without ``secret`` the session's stored key seals and opens.
+    payload moved to another entry does not open. Payloads are compressed before they are sealed. Without ``secret`` the session's stored key seals and opens.
     """
 
     def __init__(self, spark: SparkSession, path: str, n_buckets: int = 64, secret: Column | None = None) -> None:
@@ -138,7 +162,7 @@ class SealedEntries:
 
     def _sealed(self, entries: DataFrame) -> DataFrame:
         name = F.to_json(F.array("workspace", "entry_id"))
-        payload = F.aes_encrypt(F.col("payload"), self.secret, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), name)
+        payload = F.aes_encrypt(packed("payload"), self.secret, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), name)
         return entries.select(name.alias("name"), "workspace", "entry_id", "kind", "owner", payload.alias("payload"), *(c for c in ("expected", "version") if c in entries.columns))
 
     def create(self, entries: DataFrame) -> Snapshot:
@@ -154,5 +178,5 @@ class SealedEntries:
         rows = self.table.read(snapshot)
         for column, value in (("workspace", workspace), ("kind", kind), ("owner", owner)):
             rows = rows if value is None else rows.where(F.col(column) == value)
-        plain = F.try_aes_decrypt("payload", self.secret, F.lit("GCM"), F.lit("DEFAULT"), F.col("name")).cast("string")
-        return rows.select("workspace", "entry_id", "kind", "owner", F.col("version").alias("revision"), plain.alias("plain"), (F.col("payload").isNotNull() & plain.isNull()).alias("refused")).withColumnRenamed("plain", "payload")
+        plain = F.try_aes_decrypt("payload", self.secret, F.lit("GCM"), F.lit("DEFAULT"), F.col("name"))
+        return rows.select("workspace", "entry_id", "kind", "owner", F.col("version").alias("revision"), unpacked(plain).alias("plain"), (F.col("payload").isNotNull() & plain.isNull()).alias("refused")).withColumnRenamed("plain", "payload")

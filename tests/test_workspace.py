@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import workspace
 
@@ -87,3 +88,16 @@ def test_sealed_entries(spark, tmp_path):
     moved = rows.where("entry_id = '1'").select("payload").crossJoin(rows.where("entry_id = '2'").drop("payload")).select(*rows.columns)
     store.table.replace(made, rows.where("entry_id <> '2'").unionByName(moved), sorted(made.buckets))
     assert ("2", 1, None, True) in said(store.read("w"))
+
+
+def test_long_texts_are_kept_small_and_come_back_whole(spark, tmp_path):
+    store = workspace.SealedEntries(spark, f"file://{tmp_path}/w", 2)
+    texts = ["word of a long text " * 5_000, "", "\u00ff\U0001f600 short", None, "\x00\x01", "ü" * 300_000]
+    store.create(spark.createDataFrame([("w", str(i), "upload", "ann", t) for i, t in enumerate(texts)], "workspace string, entry_id string, kind string, owner string, payload string").coalesce(1))
+    assert [(r["payload"], r["refused"]) for r in store.read().orderBy("entry_id").collect()] == [(t, False) for t in texts]
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 50_000
+    name = F.to_json(F.array(F.lit("w"), F.lit("0")))  # as entries were sealed before they were compressed
+    old = spark.range(1).select(F.aes_encrypt(F.lit("old text"), store.secret, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), name).alias("payload"), *(F.lit(x).alias(c) for c, x in (("workspace", "w"), ("entry_id", "0"), ("kind", "upload"), ("owner", "ann"), ("version", 1)))).withColumn("name", name)
+    base = store.table.snapshot()
+    store.table.replace(base, old.select(*store.table.read().columns), sorted(base.buckets))
+    assert [(r["payload"], r["refused"]) for r in store.read().collect()] == [("old text", False)]
