@@ -92,5 +92,7 @@ met AS (SELECT method, c.entity, len(list_filter(relevant, lambda r: len(list_fi
 SELECT method, entity, CAST(grouping(method, entity) AS BIGINT) AS level, count(*) AS cases, round(sum(kept) / sum(wanted), 6) AS recall, round(count(*) FILTER (kept = wanted) / count(*), 6) AS perfect, round(sum(removed) / sum(unwanted), 6) AS removal,
  round(1 - sum(output_fields) / sum(input_fields), 6) AS field_reduction, round(1 - sum(output_bytes) / sum(input_bytes), 6) AS byte_reduction FROM met GROUP BY GROUPING SETS ((method, entity), (method))""")
 def adaptation_eval(load, spark):
-    held = forms.summed(_cases(load))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out: a few megabytes of events are much work
+    held = forms.summed(_cases(lambda name: load(name).select("event_id", "user_id", "event_type", "value").repartition(n, "event_id")))
     return evaluate.totals(held, evaluate.produced(held, _mapping(spark), _MOST))
