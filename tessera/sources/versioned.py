@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 class VersionConflict(RuntimeError):
@@ -90,9 +91,12 @@ class VersionedTable:
     def bucket_of(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("bucket", F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.n_buckets)).cast("int"))
 
-    def _write(self, rows: DataFrame) -> dict[int, str]:
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return self.bucket_of(rows).repartition("bucket")
+
+    def _write(self, dealt: DataFrame) -> dict[int, str]:
         name = f"data/{uuid.uuid4().hex}"
-        self.bucket_of(rows).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        dealt.write.partitionBy("bucket").parquet(f"{self.path}/{name}")
         files = self._files()
         found = [s.getPath().getName() for s in files.listStatus(self._path(name))]
         return {int(f.removeprefix("bucket=")): f"{name}/{f}" for f in found if f.startswith("bucket=")}
@@ -103,12 +107,15 @@ class VersionedTable:
         return Snapshot(number, schema, buckets)
 
     def create(self, rows: DataFrame) -> Snapshot:
-        return self._commit(None, rows.schema.json(), self._write(rows))
+        return self._commit(None, rows.schema.json(), self._write(self._dealt(rows)))
 
     def replace(self, base: Snapshot, rows: DataFrame, touched: list[int]) -> Snapshot:
         """The next version, where ``rows`` are all there is in the touched buckets and the others stay as they are."""
+        return self._replaced(base, self._dealt(rows), touched)
+
+    def _replaced(self, base: Snapshot, dealt: DataFrame, touched: list[int]) -> Snapshot:
         kept = {k: v for k, v in base.buckets.items() if k not in touched}
-        return self._commit(base, base.schema, kept | self._write(rows))
+        return self._commit(base, base.schema, kept | self._write(dealt))
 
     def merge(self, updates: DataFrame, base: Snapshot | None = None) -> tuple[Snapshot, int]:
         """Applies updates to a version and makes the next one, or raises VersionConflict; how many updates were refused is returned.
@@ -129,9 +136,12 @@ class VersionedTable:
         met = asked.join(known, asked[self.key] == F.col("_key_"), "left")
         met = staged(met.withColumn("applies", (F.col("turn") == 1) & (F.col("expected") == F.coalesce("_stored_", F.lit(0)))), "decisions")
         applied = met.where("applies").select(*columns, (F.col("expected") + 1).cast(stored.schema["version"].dataType).alias("version"))
-        untouched = stored.join(applied.select(self.key), self.key, "left_anti")
+        # stored rows move once, to their buckets, and there give way to what was applied; null keys are nobody's
+        both = self._dealt(stored.withColumn("_new_", F.lit(0)).unionByName(applied.withColumn("_new_", F.lit(1))))
+        newest = both.withColumn("_newest_", F.max("_new_").over(W.partitionBy("bucket", self.key)))
+        rows = newest.where(F.col(self.key).isNull() | (F.col("_new_") == F.col("_newest_"))).drop("_new_", "_newest_")
         refused = met.where("not applies").select(*columns, "expected", F.coalesce("_stored_", F.lit(0)).alias("stored"))
-        made = self.replace(base, untouched.unionByName(applied), touched)
+        made = self._replaced(base, rows, touched)
         moves = met.where("applies").select(F.col(self.key).cast("string").alias("key"), F.col("_before_").alias("before"), F.xxhash64(*columns).alias("after"), (F.col("expected") + 1).alias("version"), F.lit(made.number).alias("table_version"))
         self._append("audit", moves)
         return made, self._append("conflicts", refused)
@@ -150,6 +160,4 @@ class VersionedTable:
 
 
 def _by(key: str, order):
-    from pyspark.sql.window import Window as W
-
     return W.partitionBy(key).orderBy(order)

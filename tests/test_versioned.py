@@ -46,3 +46,15 @@ def test_a_merge_touches_its_buckets_only(spark, table):
     assert table.read(before).inputFiles() != table.read(made).inputFiles() and table.read(made, [*changed]).where("k = 7").count() == 1
     same, refused = table.merge(update(spark))
     assert (same.number, refused) == (2, 0) and table.read().count() == 100
+
+
+def test_a_merge_moves_stored_rows_once_and_keeps_null_keys_and_copies(spark, tmp_path):
+    table = VersionedTable(spark, f"file://{tmp_path}/u", "k", 2)
+    rows = [(None, "n", 1), (None, "m", 1), (1, "a", 1), (2, "b", 1), (2, "c", 1), (3, "d", 1)]
+    base = table.create(spark.createDataFrame(rows, "k long, state string, version int"))
+    plans, write = [], table._write
+    table._write = lambda dealt: (plans.append(dealt._jdf.queryExecution().executedPlan().toString()), write(dealt))[1]
+    table.merge(update(spark, (3, "new", 1), (None, "new", 0), (4, "four", 0)), base)
+    said = lambda r: (r["k"] is None, r["k"] or 0, r["state"], r["version"])
+    assert sorted(map(said, table.read().collect())) == [(False, 1, "a", 1), (False, 2, "b", 1), (False, 2, "c", 1), (False, 3, "new", 2), (False, 4, "four", 1), (True, 0, "m", 1), (True, 0, "n", 1), (True, 0, "new", 1)]
+    assert plans[0].count("Exchange ") == 1
